@@ -185,7 +185,8 @@ def _stream(spark: SparkSession, sf_dir: str, publish: Callable[[DataFrame, int]
     """Run the streaming job over all events and wait until they are processed."""
     session = job.streaming_session(spark)
     events = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = session.readStream.schema(events).parquet(f"{sf_dir}/events.parquet")
+    # A glob, because the source takes a plain path for a directory.
+    stream = session.readStream.schema(events).parquet(f"{sf_dir}/events[.]parquet")
     pages = session.read.parquet(f"{sf_dir}/pages.parquet")
     counts = job.running_counts(_submissions(stream, pages), descriptions(pages, CONTAINER))
     job.start(counts, publish, workspace.fresh_dir(spark, "checkpoint"),
