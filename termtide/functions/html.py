@@ -20,7 +20,6 @@ BLOCK_TAGS = (
 
 _HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
 _PARAGRAPH = (r"(?is)<p(?:[\s/][^>]*)?>.*?(?=</?(?:" + "|".join(BLOCK_TAGS) + r")[\s>/]|\z)")
-_REPLACEMENT_CHAR = "�"
 
 
 def _open_tag(container: str) -> str:
@@ -42,75 +41,82 @@ def _named_characters() -> list[tuple[str, str]]:
     return [(name, html5[name + ";"]) for name in names]
 
 
-def decode_entities(text: Column) -> Column:
-    """Decode ``&name;``, ``&#10;`` and ``&#x0A;`` in one pass, so ``&amp;lt;`` gives ``&lt;``."""
-    named = F.str_to_map(
-        F.lit("\x01".join(f"{name}\x02{value}" for name, value in _named_characters())),
-        F.lit("\x01"), F.lit("\x02"))
-
-    def character(code: Column) -> Column:
-        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        encoded = F.unhex(F.lpad(F.hex(code), 8, "0"))
-        return F.when(valid, F.decode(encoded, "UTF-32")).otherwise(_REPLACEMENT_CHAR)
-
-    def piece(s: Column, i: Column) -> Column:
-        name = F.substring_index(s, ";", 1)
-        rest = F.substring(s, F.length(name) + 2, F.length(s))
-        return (
-            F.when(i == 0, s)
-            .when(s.rlike(r"^#[0-9]+;"), F.concat(
-                character(F.substring(name, F.lit(2), F.length(name)).try_cast("bigint")), rest))
-            .when(s.rlike(r"^#[xX][0-9a-fA-F]+;"), F.concat(
-                character(F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)
-                          .try_cast("bigint")), rest))
-            .when(s.rlike(r"^[A-Za-z][A-Za-z0-9]*;"),
-                  F.coalesce(F.concat(named[name], rest), F.concat(F.lit("&"), s)))
-            .otherwise(F.concat(F.lit("&"), s)))
-
-    decoded = F.array_join(F.transform(F.split(text, "&", -1), piece), "")
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
-
-
-def visible_text(html: Column) -> Column:
-    """Text of inline HTML: a line break is a space, other tags vanish, white space collapses."""
-    text = F.regexp_replace(html, r"(?i)<br\b[^>]*>", " ")
-    text = decode_entities(F.regexp_replace(text, r"<[/!]?[a-zA-Z][^>]*>", ""))
+def _sql_string(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _character(code: str) -> str:
+    """SQL for the character with the number ``code``, U+FFFD if there is none."""
+    return rf"""CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111
+                THEN decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32') ELSE '\uFFFD' END"""
+
+
+def _decode_piece() -> str:
+    """SQL for a piece ``s`` of the text between two ``&``, the ``i``-th one."""
+    named = r"str_to_map({}, '\u0001', '\u0002')".format(_sql_string(
+        "\x01".join(f"{name}\x02{value}" for name, value in _named_characters())))
+    name = "substring_index(s, ';', 1)"
+    rest = "substr(s, instr(s, ';') + 1)"
+    decimal = f"try_cast(substr({name}, 2) AS BIGINT)"
+    hexadecimal = f"try_cast(conv(substr({name}, 3), 16, 10) AS BIGINT)"
+    return rf"""CASE
+        WHEN i = 0 THEN s
+        WHEN s RLIKE '^#[0-9]+;' THEN {_character(decimal)} || {rest}
+        WHEN s RLIKE '^#[xX][0-9a-fA-F]+;' THEN {_character(hexadecimal)} || {rest}
+        WHEN s RLIKE '^[A-Za-z][A-Za-z0-9]*;'
+        THEN coalesce({named}[{name}] || {rest}, '&' || s)
+        ELSE '&' || s END"""
+
+
+def decode_entities(text: str) -> Column:
+    """Decode ``&name;``, ``&#10;`` and ``&#x0A;`` in column ``text`` in one pass, so ``&amp;lt;``
+    gives ``&lt;``."""
+    return F.expr(f"""CASE WHEN contains({text}, '&')
+        THEN array_join(transform(split({text}, '&', -1), (s, i) -> {_decode_piece()}), '')
+        ELSE {text} END""")
+
+
+def without_tags(html: Column) -> Column:
+    """Text of inline HTML, not decoded: a line break is a space, other tags vanish."""
+    broken = F.regexp_replace(html, r"(?i)<br\b[^>]*>", " ")
+    return F.regexp_replace(broken, r"<[/!]?[a-zA-Z][^>]*>", "")
+
+
+def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\n\f\r]+", " "))
 
 
-def with_first_paragraph(df: DataFrame, container: str, html: str = "html",
-                         out: str = "description") -> DataFrame:
-    """Add ``out``: text of the first ``<p>`` inside the first ``container``, or NULL.
+def first_paragraph(df: DataFrame, container: str, html: str = "html",
+                    out: str = "description") -> DataFrame:
+    """Replace ``html`` by ``out``: text of the first ``<p>`` inside the first ``container``.
 
-    An open paragraph ends at its end tag, at the next block tag or at the container's end.
-    The container's end is found by counting nested elements of the same name. A paragraph
-    without text gives ``''``.
+    A row without one is dropped; a paragraph without text gives ``''``. An open paragraph
+    ends at its end tag, at the next block tag or at the container's end, which is found by
+    counting nested elements of the same name.
     """
     start = _open_tag(container)
-    body, tail, tag, pieces, inner = map(F.col, ("_body", "_tail", "_tag", "_pieces", "_inner"))
-    boundary = F.concat(F.lit("(?i)</?"), tag, F.lit(r"(?=[\s>/])[^>]*>"))
-    mark = F.concat(F.lit("(?i)<(/?)"), tag, F.lit(r"(?=[\s>/])"))
-
+    keep = [c for c in df.columns if c != html]
     df = df.withColumn("_body", F.regexp_replace(html, _HIDDEN, ""))
-    df = df.withColumn("_tag", F.lower(F.regexp_extract(body, start, 1)))
+    df = df.withColumn("_tag", F.lower(F.regexp_extract("_body", start, 1)))
     df = df.withColumn("_tail", F.when(
-        tag != "", F.regexp_extract(body, rf"{start}((?s:.*))", 2)))
-
-    # Number of pieces before the end tag that matches the container's start tag.
-    kept = F.aggregate(
-        F.regexp_extract_all(tail, mark, F.lit(1)),
-        F.struct(F.lit(1).alias("depth"), F.lit(1).alias("kept")),
-        lambda acc, m: _enter_tag(acc, F.when(m == "/", -1).otherwise(1)))["kept"]
-    df = df.withColumn("_pieces", F.slice(F.split(tail, boundary, -1), 1, kept))
-    df = df.withColumn("_inner", F.regexp_extract(
-        F.call_function("array_join", pieces, F.concat(F.lit("<"), tag, F.lit(">"))), _PARAGRAPH, 0))
-
-    df = df.withColumn(out, F.when(inner != "", visible_text(inner)))
-    return df.drop("_body", "_tail", "_tag", "_pieces", "_inner")
-
-
-def _enter_tag(acc: Column, step: Column) -> Column:
-    depth = acc["depth"] + step
-    return F.when(acc["depth"] == 0, acc).otherwise(F.struct(
-        depth.alias("depth"),
-        (acc["kept"] + F.when(depth > 0, 1).otherwise(0)).alias("kept")))
+        F.col("_tag") != "", F.regexp_extract("_body", rf"{start}((?s:.*))", 2)))
+    # The pieces between tags of the same name, up to the end tag that closes the container.
+    df = df.withColumn("_inner", F.expr(r"""array_join(
+        slice(split(_tail, r'(?i)</?' || _tag || r'(?=[\s>/])[^>]*>', -1), 1,
+              aggregate(
+                  regexp_extract_all(_tail, r'(?i)<(/?)' || _tag || r'(?=[\s>/])', 1),
+                  struct(1 AS depth, 1 AS pieces),
+                  (a, m) -> CASE
+                      WHEN a.depth = 0 THEN a
+                      WHEN m = '' THEN struct(a.depth + 1 AS depth, a.pieces + 1 AS pieces)
+                      WHEN a.depth = 1 THEN struct(0 AS depth, a.pieces AS pieces)
+                      ELSE struct(a.depth - 1 AS depth, a.pieces + 1 AS pieces) END,
+                  a -> a.pieces)),
+        '<' || _tag || '>')"""))
+    df = df.withColumn("_paragraph", F.regexp_extract("_inner", _PARAGRAPH, 0))
+    df = df.withColumn("_text", without_tags(F.col("_paragraph")))
+
+    # Zero or one row per page by a generator, not by a filter: a filter would be pushed below
+    # the projections and repeat all of their work.
+    return df.select(*keep, F.explode(
+        F.when(F.col("_paragraph") != "", F.array(collapsed(decode_entities("_text"))))).alias(out))

@@ -11,7 +11,7 @@ vocabulary, not for a token stream: count first, stem the distinct words, sum ag
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termtide.functions.text import longer_than
@@ -50,56 +50,61 @@ ENDS_CVC = rf"(?:[^aeiouy]|{_CONSONANT_Y})[aeiouy][^aeiouwxy]\z"
 ENDS_DOUBLE = r"([^aeiouy])\1\z|[^aeiouy](?:yy)+\z|(?:^|[aeiou])y(?:yy)+\z"
 
 
-def _drop(word: Column, chars: int | Column) -> Column:
-    return F.left(word, F.length(word) - chars)
-
-
-def _longest_suffix(word: Column, suffixes) -> Column:
-    # The leftmost match that reaches the end is the longest suffix.
-    return F.regexp_extract(word, rf"(?:{'|'.join(suffixes)})\z", 0)
+# In the SQL below, ``_w`` is the word as far as it is stemmed.
+_REST = "left(_w, length(_w) - length(_cut))"
+_LAST = "left(_w, length(_w) - 1)"
+
+
+def _suffixes(suffixes) -> str:
+    """SQL for the longest of ``suffixes`` that ends the word: the leftmost match."""
+    return rf"regexp_extract(_w, r'(?:{'|'.join(suffixes)})\z', 0)"
+
+
+def _replace(rules: dict[str, str]) -> str:
+    """SQL that replaces the suffix in ``_cut``, if the rest has a measure above 0."""
+    pairs = ", ".join(f"'{a}', '{b}'" for a, b in rules.items())
+    return f"""CASE WHEN _cut <> '' AND {_REST} RLIKE r'{MEASURE_GT0}'
+                    THEN {_REST} || map({pairs})[_cut] ELSE _w END"""
+
+
+# One projection each: a column and the SQL of its new value.
+_STEPS = [
+    # 1a: plurals
+    ("_w", r"regexp_replace({word}, r'(ss|i)es\z|([^s])s\z', '$1$2')"),
+    # 1b: -eed, -ed, -ing; ``_cut`` is the word without -ed or -ing
+    ("_cut", rf"""CASE WHEN _w RLIKE r'(?:ing|[^e]ed)\z'
+                  THEN regexp_extract(_w, r'^({HAS_VOWEL}.*)(?:ed|ing)\z', 1) ELSE '' END"""),
+    ("_w", rf"""CASE
+        WHEN _cut = '' THEN
+            CASE WHEN endswith(_w, 'eed') AND left(_w, length(_w) - 3) RLIKE r'{MEASURE_GT0}'
+                 THEN {_LAST} ELSE _w END
+        WHEN _cut RLIKE r'(?:at|bl|iz)\z' THEN _cut || 'e'
+        WHEN _cut RLIKE r'{ENDS_DOUBLE}' THEN
+            CASE WHEN _cut RLIKE r'[lsz]\z' THEN _cut ELSE left(_cut, length(_cut) - 1) END
+        WHEN _cut RLIKE r'{MEASURE_EQ1}' AND _cut RLIKE r'{ENDS_CVC}' THEN _cut || 'e'
+        ELSE _cut END"""),
+    # 1c: -y
+    ("_w", rf"""CASE WHEN endswith(_w, 'y')
+                THEN regexp_replace(_w, r'^({HAS_VOWEL}.*)y\z', '$1i') ELSE _w END"""),
+    # 2 and 3: double suffixes
+    ("_cut", _suffixes(STEP2)), ("_w", _replace(STEP2)),
+    ("_cut", _suffixes(STEP3)), ("_w", _replace(STEP3)),
+    # 4: single suffixes
+    ("_cut", _suffixes("(?<=[st])ion" if s == "ion" else s for s in STEP4)),
+    ("_w", f"CASE WHEN _cut <> '' AND {_REST} RLIKE r'{MEASURE_GT1}' THEN {_REST} ELSE _w END"),
+    # 5: -e, -ll
+    ("_w", f"""CASE WHEN endswith(_w, 'e') AND ({_LAST} RLIKE r'{MEASURE_GT1}'
+                OR ({_LAST} RLIKE r'{MEASURE_EQ1}' AND NOT {_LAST} RLIKE r'{ENDS_CVC}'))
+                THEN {_LAST} ELSE _w END"""),
+    ("_w", f"""CASE WHEN endswith(_w, 'll') AND _w RLIKE r'{MEASURE_GT1}'
+                THEN {_LAST} ELSE _w END"""),
+]
 
 
 def with_stem(df: DataFrame, word: str = "word", out: str = "stem") -> DataFrame:
     """Add ``out``, the stem of column ``word``."""
-    w, cut = F.col("_w"), F.col("_cut")
-    stem = _drop(w, F.length(cut))
-
-    df = df.withColumn("_w", F.regexp_replace(word, r"(ss|i)es\z|([^s])s\z", "$1$2"))
-
-    df = df.withColumn("_cut", F.when(
-        w.rlike(r"(?:ing|[^e]ed)\z"),
-        F.regexp_extract(w, rf"^({HAS_VOWEL}.*)(?:ed|ing)\z", 1)).otherwise(""))
-    df = df.withColumn("_w", F.when(
-        cut == "",
-        F.when(w.endswith("eed") & _drop(w, 3).rlike(MEASURE_GT0), _drop(w, 1)).otherwise(w))
-        .when(cut.rlike(r"(?:at|bl|iz)\z"), F.concat(cut, F.lit("e")))
-        .when(cut.rlike(ENDS_DOUBLE),
-              F.when(cut.rlike(r"[lsz]\z"), cut).otherwise(_drop(cut, 1)))
-        .when(cut.rlike(MEASURE_EQ1) & cut.rlike(ENDS_CVC), F.concat(cut, F.lit("e")))
-        .otherwise(cut))
-
-    df = df.withColumn("_w", F.when(
-        w.endswith("y"), F.regexp_replace(w, rf"^({HAS_VOWEL}.*)y\z", "$1i")).otherwise(w))
-
-    for rules in (STEP2, STEP3):
-        replacement = F.create_map(*[F.lit(s) for pair in rules.items() for s in pair])
-        df = df.withColumn("_cut", _longest_suffix(w, rules))
-        df = df.withColumn("_w", F.when(
-            (cut != "") & stem.rlike(MEASURE_GT0),
-            F.concat(stem, replacement[cut])).otherwise(w))
-
-    df = df.withColumn("_cut", _longest_suffix(
-        w, [f"(?<=[st]){s}" if s == "ion" else s for s in STEP4]))
-    df = df.withColumn("_w", F.when(
-        (cut != "") & stem.rlike(MEASURE_GT1), stem).otherwise(w))
-
-    last = _drop(w, 1)
-    df = df.withColumn("_w", F.when(
-        w.endswith("e") & (last.rlike(MEASURE_GT1)
-                           | (last.rlike(MEASURE_EQ1) & ~last.rlike(ENDS_CVC))),
-        last).otherwise(w))
-    df = df.withColumn("_w", F.when(
-        w.endswith("ll") & w.rlike(MEASURE_GT1), last).otherwise(w))
-
-    return df.withColumn(out, F.when(longer_than(F.col(word), 2), w).otherwise(F.col(word))) \
-        .drop("_w", "_cut")
+    original = F.col(word)
+    for column, sql in _STEPS:
+        df = df.withColumn(column, F.expr(sql.replace("{word}", f"`{word}`")))
+    stem = F.when(longer_than(original, 2), F.col("_w")).otherwise(original)
+    return df.withColumn(out, stem).drop("_w", "_cut")

@@ -6,16 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termtide import params
-from termtide.functions.html import with_first_paragraph
+from termtide.functions.html import first_paragraph
 from termtide.sizing import MIB, fits
 
 
 def descriptions(pages: DataFrame, container: str = params.CONTAINER) -> DataFrame:
     """Replace ``html`` by ``description``; a page without one gives no row."""
-    return (
-        with_first_paragraph(pages, container)
-        .drop("html")
-        .where(F.col("description").isNotNull()))
+    return first_paragraph(pages, container)
 
 
 def submitted_descriptions(accepted: DataFrame, pages: DataFrame, *,

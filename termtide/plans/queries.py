@@ -188,7 +188,8 @@ def _stream(spark: SparkSession, sf_dir: str, publish: Callable[[DataFrame, int]
     # A glob, because the source takes a plain path for a directory.
     stream = session.readStream.schema(events).parquet(f"{sf_dir}/events[.]parquet")
     pages = session.read.parquet(f"{sf_dir}/pages.parquet")
-    counts = job.running_counts(_submissions(stream, pages), descriptions(pages, CONTAINER))
+    found = descriptions(_pages(session, sf_dir), CONTAINER)
+    counts = job.running_counts(_submissions(stream, pages), found)
     job.start(counts, publish, workspace.fresh_dir(spark, "checkpoint"),
               trigger={"availableNow": True}).awaitTermination()
 

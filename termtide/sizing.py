@@ -10,7 +10,7 @@ MIB = 1024 * 1024
 def plan_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate for ``df`` without running it, or None where it is not known."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except AttributeError:  # Spark Connect has no local plan to ask
         return None
 

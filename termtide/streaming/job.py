@@ -44,14 +44,18 @@ def _distinct_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def accepted_urls(submissions: DataFrame, *, check_duplicates: bool = True,
                   forget_after: str | None = None) -> DataFrame:
-    """The accepted URLs of a stream.
+    """The accepted URLs of a stream. Received and malformed messages are counted in the
+    progress of the query, as the metric ``submissions``.
 
     Deduplication has no partial stage, so every Arrow batch first drops its own repeats: a URL that
     makes up a third of the stream reaches its state partition once per batch of
     ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows. With ``forget_after``, such
     as ``"30 days"``, state is bounded by event time and an older URL is accepted again.
     """
-    valid = submissions.where(is_valid_url(F.col("url")))
+    marked = submissions.select("ts", "url", is_valid_url(F.col("url")).alias("valid"))
+    valid = marked.observe(
+        "submissions", F.count("*").alias("received"),
+        F.count_if(~F.col("valid")).alias("malformed")).where("valid")
     if not check_duplicates:
         return valid.select("url")
     if forget_after:
@@ -72,11 +76,8 @@ def running_counts(submissions: DataFrame, descriptions: DataFrame, *,
     extraction from pages runs again in every batch, so a job on many pages should pass
     a table saved by ``save_descriptions``.
     """
-    received = submissions.observe(
-        "submissions", F.count("*").alias("received"),
-        F.count_if(~is_valid_url(F.col("url"))).alias("malformed"))
     urls = accepted_urls(
-        received, check_duplicates=check_duplicates, forget_after=forget_after)
+        submissions, check_duplicates=check_duplicates, forget_after=forget_after)
     texts = urls.join(descriptions.select("url", "description"), "url")
     return word_counts(prepared_words(
         texts, "description", min_len=min_len, fold_case=fold_case, stop_words=stop_words))

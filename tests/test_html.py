@@ -71,4 +71,4 @@ def test_character_references(spark):
         "&#38;lt;": "&lt;",
     }
     df = spark.createDataFrame([(k,) for k in cases], "t string")
-    assert {r.t: r.d for r in df.select("t", decode_entities(df.t).alias("d")).collect()} == cases
+    assert {r.t: r.d for r in df.select("t", decode_entities("t").alias("d")).collect()} == cases
