@@ -29,11 +29,9 @@ def depth_of(delta: float) -> int:
 
 def _with_cells(counts: DataFrame, eps: float, delta: float, seed: int) -> DataFrame:
     """``word, n, r, b``: one row per word and sketch row."""
-    width = width_of(eps)
-
     def bucket(r: int) -> Column:
         digest = F.md5(F.concat(F.lit(f"{seed}:{r}:"), F.col("word")))
-        return F.conv(F.left(digest, F.lit(8)), 16, 10).cast("bigint") % width
+        return F.conv(F.left(digest, F.lit(8)), 16, 10).cast("bigint") % width_of(eps)
 
     cells = F.array(*[
         F.struct(F.lit(r).alias("r"), bucket(r).alias("b")) for r in range(depth_of(delta))])
@@ -58,13 +56,15 @@ def merge_cells(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def cms_estimates(counts: DataFrame, cells: DataFrame, *, eps: float = params.EPS,
                   delta: float = params.DELTA, seed: int = params.SEED) -> DataFrame:
-    """``word, n, est`` for every word of ``counts``.
+    """``word, n, est`` for every word of ``counts``, also for words the sketch never saw.
 
     The parameters bound the number of cells, which decides whether they are broadcast.
-    Counts that come from a ``groupBy("word")`` stay in place up to the minimum.
+    Counts that come from a ``groupBy("word")`` then stay in place up to the minimum. A larger
+    sketch is joined by cell, which spreads words evenly whatever their counts.
     """
     small = width_of(eps) * depth_of(delta) <= BROADCAST_CELLS
+    cell = F.coalesce(F.col("c"), F.lit(0))
     return (
         _with_cells(counts, eps, delta, seed)
-        .join(F.broadcast(cells) if small else cells, ["r", "b"])
-        .groupBy("word", "n").agg(F.min("c").alias("est")))
+        .join(F.broadcast(cells) if small else cells, ["r", "b"], "left")
+        .groupBy("word", "n").agg(F.min(cell).alias("est")))

@@ -84,6 +84,20 @@ def test_large_sketch_is_joined_by_shuffle_with_the_same_result(counts, rows, mo
     assert rows(cms_estimates(counts, cms_cells(counts))) == expected
 
 
+def test_words_the_sketch_never_saw(spark, rows, monkeypatch):
+    cells = cms_cells(table(spark, seen=7))
+    asked = table(spark, seen=7, unseen=0)
+    for limit in (1_000_000, 10):
+        monkeypatch.setattr("termtide.operators.sketch.BROADCAST_CELLS", limit)
+        assert rows(cms_estimates(asked, cells)) == [("seen", 7, 7), ("unseen", 0, 0)]
+
+
+def test_one_row_sketch(spark, rows):
+    counts = table(spark, a=2, b=3)
+    assert rows(cms_estimates(counts, cms_cells(counts, delta=0.5), delta=0.5)) == [
+        ("a", 2, 2), ("b", 3, 3)]
+
+
 def test_seed_changes_the_cells(counts, rows):
     assert rows(cms_cells(counts, seed=1)) != rows(cms_cells(counts))
 
