@@ -72,7 +72,8 @@ def test_html_is_never_shuffled(spark):
 
 def test_small_submissions_filter_pages_before_extraction(spark):
     pages = spark.read.parquet(f"{SF_DIR}/pages.parquet")
-    urls = spark.createDataFrame([(1, None, "http://a")], schemas.SUBMISSIONS)
+    urls = spark.range(3).selectExpr(
+        "id AS event_id", "timestamp_seconds(id) AS ts", "concat('http://', id) AS url")
     text = plan(submitted_descriptions(accepted(urls), pages, container="article"))
     assert text.index("Generate explode") < text.index("BroadcastHashJoin")
 
