@@ -37,11 +37,6 @@ def streaming_session(spark: SparkSession, state_partitions: int | None = None)
     return session
 
 
-def _distinct_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0).unique()], ["url"])
-
-
 def accepted_urls(submissions: DataFrame, *, check_duplicates: bool = True,
                   forget_after: str | None = None) -> DataFrame:
     """The accepted URLs of a stream. Received and malformed messages are counted in the
@@ -62,7 +57,13 @@ def accepted_urls(submissions: DataFrame, *, check_duplicates: bool = True,
         return (
             valid.withWatermark("ts", forget_after)
             .dropDuplicatesWithinWatermark(["url"]).select("url"))
-    urls = valid.select("url").mapInArrow(_distinct_in_batch, schemas.SEEN)
+
+    # A local function, so that it is shipped to the executors by value.
+    def distinct_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).unique()], ["url"])
+
+    urls = valid.select("url").mapInArrow(distinct_in_batch, schemas.SEEN)
     return urls.dropDuplicates(["url"])
 
 

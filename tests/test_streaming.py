@@ -135,6 +135,19 @@ def test_damaged_checkpoint_raises(setting):
         run(session, pages, feed, tmp_path)
 
 
+def test_hot_url_is_reduced_before_the_state(setting, rows):
+    session, pages, feed, tmp_path = setting
+    feed.add(*["http://u3"] * 5000, "http://u1")
+    path = str(tmp_path / "counts")
+    query = run(session, pages, feed, tmp_path, job.write_counts(path))
+    dropped = sum(
+        op.customMetrics["numDroppedDuplicateRows"]
+        for p in query.recentProgress for op in p.stateOperators if op.operatorName == "dedupe")
+    assert dropped < 10  # at most one row per Arrow batch and task
+    assert rows(job.read_counts(session, path)) == [
+        ("Motor", 1), ("bar", 1), ("motor", 1), ("speaker", 1)]
+
+
 def test_bucketed_descriptions_join_without_a_shuffle(setting, rows):
     session, pages, feed, tmp_path = setting
     table = "test_descriptions"
@@ -142,13 +155,12 @@ def test_bucketed_descriptions_join_without_a_shuffle(setting, rows):
     session.sql("SET spark.sql.autoBroadcastJoinThreshold = -1")
     found = save_descriptions(pages, table, 2)
     feed.add("http://u1", "http://u3", "http://u1")
-    plans = []
-
-    def publish(counts, batch_id):
-        plans.append(counts._jdf.queryExecution().executedPlan().toString())
-        job.write_counts(str(tmp_path / "counts"))(counts, batch_id)
-
-    run(session, pages, feed, tmp_path, publish, found)
-    assert rows(job.read_counts(session, str(tmp_path / "counts"))) == [
+    path = str(tmp_path / "counts")
+    query = run(session, pages, feed, tmp_path, job.write_counts(path), found)
+    assert rows(job.read_counts(session, path)) == [
         ("Motor", 1), ("bar", 1), ("motor", 1), ("speaker", 1)]
+    plan = query._jsq.explainInternal(False)
+    join = plan[plan.index("SortMergeJoin"):]
+    # One shuffle to the URL state; the join takes its partitions and the buckets as they are.
+    assert join.count("Exchange") == 1 and "Bucketed: true" in join
     session.sql(f"DROP TABLE {table}")
