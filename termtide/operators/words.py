@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from termtide import params
 from termtide.functions.text import is_stop_word, longer_than, token_array
+from termtide.operators.counts import word_counts
 
 
 def tokens(df: DataFrame, text: str = "text", keep: Iterable[str] = (), *,
@@ -22,10 +23,11 @@ def tokens(df: DataFrame, text: str = "text", keep: Iterable[str] = (), *,
 
 def drop_stop_words(words: DataFrame,
                     stop_words: Iterable[str] | DataFrame = params.STOP_WORDS) -> DataFrame:
-    """Drop stop words whatever their case.
+    """Drop stop words, in lower case, whatever the case of ``word``.
 
-    ``stop_words`` is a short list of lower-case words, or a table with a ``word`` column for
-    long ones, which Catalyst broadcasts if its size allows.
+    A short list filters tokens where they are. A table with a ``word`` column, which may be too
+    large to broadcast, is meant for counted words: there every word is one row of the join, while
+    a frequent token would be a hot key.
     """
     if isinstance(stop_words, DataFrame):
         stop = stop_words.select(F.col("word").alias("stop_word")).distinct()
@@ -35,7 +37,18 @@ def drop_stop_words(words: DataFrame,
 
 def prepared_words(df: DataFrame, text: str = "text", keep: Iterable[str] = (), *,
                    min_len: int = params.MIN_LEN, fold_case: bool = False,
-                   stop_words: Iterable[str] | DataFrame = params.STOP_WORDS) -> DataFrame:
+                   stop_words: Iterable[str] = params.STOP_WORDS) -> DataFrame:
     """Tokens without stop words, not yet stemmed."""
     found = tokens(df, text, keep, min_len=min_len, fold_case=fold_case)
     return drop_stop_words(found, stop_words)
+
+
+def prepared_counts(df: DataFrame, text: str = "text", *,
+                    min_len: int = params.MIN_LEN, fold_case: bool = False,
+                    stop_words: Iterable[str] | DataFrame = params.STOP_WORDS) -> DataFrame:
+    """``word, n`` of the tokens without stop words, which may be a table."""
+    if isinstance(stop_words, DataFrame):
+        found = tokens(df, text, min_len=min_len, fold_case=fold_case)
+        return drop_stop_words(word_counts(found), stop_words)
+    return word_counts(prepared_words(
+        df, text, min_len=min_len, fold_case=fold_case, stop_words=stop_words))

@@ -7,20 +7,20 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 
 from termtide import params
-from termtide.operators.counts import stem_counts, stemmed, word_counts
+from termtide.operators.counts import stem_counts, stemmed
 from termtide.operators.descriptions import submitted_descriptions
 from termtide.operators.ranking import heavy_hitters_cms, top_heavy_hitters, top_k
 from termtide.operators.submissions import accepted
-from termtide.operators.words import prepared_words
+from termtide.operators.words import prepared_counts
 
 
-def rank_words(counts: DataFrame, k: int = params.TOP_K, *,
+def rank_words(counts: DataFrame, k: int | None = params.TOP_K, *,
                pct: float = params.HEAVY_HITTERS_PCT, method: str = "exact",
                eps: float = params.EPS, delta: float = params.DELTA,
                seed: int = params.SEED) -> DataFrame:
     """Stem counted words and return ``word, score`` of the first ``k`` heavy hitters.
 
-    ``method`` is ``exact``, or ``cms`` for the estimates of a count-min sketch.
+    ``k`` is 25 if it is None. ``method`` is ``exact``, or ``cms`` for the estimates of a count-min sketch.
     """
     if method == "exact":
         return top_heavy_hitters(stemmed(counts), k, pct)
@@ -30,17 +30,17 @@ def rank_words(counts: DataFrame, k: int = params.TOP_K, *,
     raise ValueError(f"unknown method {method!r}")
 
 
-def top_terms(texts: DataFrame, text: str = "text", k: int = params.TOP_K, *,
+def top_terms(texts: DataFrame, text: str = "text", k: int | None = params.TOP_K, *,
               stop_words: Iterable[str] | DataFrame = params.STOP_WORDS,
               min_len: int = params.MIN_LEN, fold_case: bool = False,
               **ranking) -> DataFrame:
     """Top stems of a table of texts."""
-    words = prepared_words(
+    counts = prepared_counts(
         texts, text, min_len=min_len, fold_case=fold_case, stop_words=stop_words)
-    return rank_words(word_counts(words), k, **ranking)
+    return rank_words(counts, k, **ranking)
 
 
-def top_terms_of_submissions(submissions: DataFrame, pages: DataFrame, k: int = params.TOP_K, *,
+def top_terms_of_submissions(submissions: DataFrame, pages: DataFrame, k: int | None = params.TOP_K, *,
                              seen: DataFrame | None = None, check_duplicates: bool = True,
                              container: str = params.CONTAINER, **options) -> DataFrame:
     """Submissions -> accepted -> page -> description -> words -> stems -> top words."""

@@ -69,7 +69,7 @@ def accepted_urls(submissions: DataFrame, *, check_duplicates: bool = True,
 
 def running_counts(submissions: DataFrame, descriptions: DataFrame, *,
                    check_duplicates: bool = True, forget_after: str | None = None,
-                   stop_words: Iterable[str] | DataFrame = params.STOP_WORDS,
+                   stop_words: Iterable[str] = params.STOP_WORDS,
                    min_len: int = params.MIN_LEN, fold_case: bool = False) -> DataFrame:
     """Streaming ``word, n`` over the whole history of accepted submissions.
 
@@ -98,7 +98,7 @@ def start(counts: DataFrame, publish: Callable[[DataFrame, int], None], checkpoi
         .start())
 
 
-def publish_snapshot(path: str, k: int = params.TOP_K, **ranking) -> Callable[[DataFrame, int], None]:
+def publish_snapshot(path: str, k: int | None = params.TOP_K, **ranking) -> Callable[[DataFrame, int], None]:
     """Publisher of the top words.
 
     The exact ranking reads the counts once. The sketch reads them several times, so it works on a

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from termtide import schemas
+from termtide import params, schemas
 from termtide.operators.display import cloud_items, display_sizes, unique_spellings
 from termtide.operators.ranking import (
     heavy_hitters, heavy_hitters_cms, top_heavy_hitters, top_k)
@@ -43,6 +43,20 @@ def test_one_pass_equals_filter_then_limit(spark, k, pct):
     assert top_heavy_hitters(partial, k, pct).collect() == expected
 
 
+def test_size_of_an_unset_list(spark):
+    counts = table(spark, **{f"w{i:02}": 1 for i in range(40)})
+    assert top_k(counts, None).count() == 25 == top_heavy_hitters(counts, None).count()
+    assert top_k(counts).count() == 40
+
+
+def test_stop_words_as_a_table_or_a_list_give_the_same_terms(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    stop = spark.createDataFrame([(w,) for w in params.STOP_WORDS], "word string")
+    expected = top_terms(documents).collect()
+    assert top_terms(documents, stop_words=stop).collect() == expected
+    assert top_terms(documents, stop_words=[]).collect() != expected
+
+
 def test_sketch_warns_when_its_error_exceeds_the_threshold(spark):
     with pytest.warns(UserWarning, match="eps"):
         heavy_hitters_cms(table(spark, a=1))
