@@ -20,7 +20,8 @@ def rank_words(counts: DataFrame, k: int | None = params.TOP_K, *,
                seed: int = params.SEED) -> DataFrame:
     """Stem counted words and return ``word, score`` of the first ``k`` heavy hitters.
 
-    ``k`` is 25 if it is None. ``method`` is ``exact``, or ``cms`` for the estimates of a count-min sketch.
+    ``k`` is 25 if it is None. ``method`` is ``exact``, or ``cms`` for the estimates of a
+    count-min sketch.
     """
     if method == "exact":
         return top_heavy_hitters(stemmed(counts), k, pct)
@@ -40,7 +41,8 @@ def top_terms(texts: DataFrame, text: str = "text", k: int | None = params.TOP_K
     return rank_words(counts, k, **ranking)
 
 
-def top_terms_of_submissions(submissions: DataFrame, pages: DataFrame, k: int | None = params.TOP_K, *,
+def top_terms_of_submissions(submissions: DataFrame, pages: DataFrame,
+                             k: int | None = params.TOP_K, *,
                              seen: DataFrame | None = None, check_duplicates: bool = True,
                              container: str = params.CONTAINER, **options) -> DataFrame:
     """Submissions -> accepted -> page -> description -> words -> stems -> top words."""

@@ -98,7 +98,8 @@ def start(counts: DataFrame, publish: Callable[[DataFrame, int], None], checkpoi
         .start())
 
 
-def publish_snapshot(path: str, k: int | None = params.TOP_K, **ranking) -> Callable[[DataFrame, int], None]:
+def publish_snapshot(path: str, k: int | None = params.TOP_K,
+                     **ranking) -> Callable[[DataFrame, int], None]:
     """Publisher of the top words.
 
     The exact ranking reads the counts once. The sketch reads them several times, so it works on a
