@@ -53,18 +53,19 @@ def accepted_urls(submissions: DataFrame, *, check_duplicates: bool = True,
         F.count_if(~F.col("valid")).alias("malformed")).where("valid")
     if not check_duplicates:
         return valid.select("url")
-    if forget_after:
-        return (
-            valid.withWatermark("ts", forget_after)
-            .dropDuplicatesWithinWatermark(["url"]).select("url"))
 
     # A local function, so that it is shipped to the executors by value.
-    def distinct_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0).unique()], ["url"])
+            first = pa.Table.from_batches([batch]).group_by("url").aggregate([("ts", "min")])
+            yield from first.select(["ts_min", "url"]).rename_columns(["ts", "url"]).to_batches()
 
-    urls = valid.select("url").mapInArrow(distinct_in_batch, schemas.SEEN)
-    return urls.dropDuplicates(["url"])
+    narrow = valid.select("ts", "url")
+    first = narrow.mapInArrow(first_in_batch, narrow.schema)
+    if forget_after:
+        first = first.withWatermark("ts", forget_after).dropDuplicatesWithinWatermark(["url"])
+        return first.select("url")
+    return first.select("url").dropDuplicates(["url"])
 
 
 def running_counts(submissions: DataFrame, descriptions: DataFrame, *,
