@@ -17,7 +17,9 @@ def table(spark, **counts):
 @pytest.fixture(scope="module")
 def counts(spark):
     documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    return word_counts(prepared_words(documents)).cache()
+    counted = word_counts(prepared_words(documents)).cache()
+    yield counted
+    counted.unpersist()  # or plans of later tests would read the cache
 
 
 def test_word_counts(spark, rows):
