@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termtide.llm import bpe, language, mixing, oracles, pii
+from termtide.llm import bpe, jaccard, language, mixing, oracles, pii
 from termtide.llm.common import crc_bucket, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -32,6 +32,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (remainder == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
@@ -59,6 +63,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_language_id": op4_language_id,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_source_mix": op8_source_mix,
     "op10_personal_data": op10_personal_data,
 }
