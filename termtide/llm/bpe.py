@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Distinct pre-tokens that a task remembers before it starts anew; bounds memory, not results.
-CACHE = 200_000
+# Distinct pre-tokens and words that a worker remembers before it starts anew; bounds memory,
+# not results.
+CACHE = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -31,102 +32,131 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by merge rank; the lowest rank comes first, within it the leftmost position."""
+    """Positions by merge rank; the lowest rank comes first, within it the leftmost position.
+
+    Two levels of 256-bit words: ``top`` marks the words of ``low`` in use, those mark ranks.
+    """
 
     def __init__(self, ranks: int):
-        self.low = [0] * ((ranks >> 6) + 1)
-        self.mid = [0] * ((ranks >> 12) + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        self.low[rank >> 6] |= 1 << (rank & 63)
-        self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-        self.top |= 1 << (rank >> 12)
-
-    def pop(self) -> tuple[int, int] | None:
-        """The next (rank, position), or None when the queue is empty."""
-        if not self.top:
-            return None
-        high = (self.top & -self.top).bit_length() - 1
-        word = self.mid[high]
-        middle = high << 6 | (word & -word).bit_length() - 1
-        word = self.low[middle]
-        rank = middle << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[middle] &= ~(1 << (rank & 63))
-            if not self.low[middle]:
-                self.mid[high] &= ~(1 << (middle & 63))
-                if not self.mid[high]:
-                    self.top &= ~(1 << high)
-        return rank, position
+        self.bit = [1 << i for i in range(256)]
+        self.low = [0] * ((ranks >> 8) + 1)
+        if len(self.low) > 256:
+            self.bit = [1 << i for i in range(len(self.low))]
+
+    def merge(self, piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+        """Ids of the parts that are left when no pair of ``piece`` can be merged. The queue is
+        empty before and after."""
+        bit, low, top, buckets = self.bit, self.low, 0, {}
+        n, get = len(piece), ranks.get
+        after = list(range(1, n + 2))  # start of the following part; the last part ends at n
+        before = list(range(-1, n))
+        pending = [None] * (n + 1)  # rank of the pair that starts here, as it is now
+        for left in range(n - 1):
+            pending[left] = rank = get(piece[left:left + 2])
+            if rank is not None:
+                if rank in buckets:
+                    buckets[rank].append(left)  # ascending, so still a heap
+                else:
+                    buckets[rank] = [left]
+                    high = rank >> 8
+                    low[high] |= bit[rank & 255]
+                    top |= bit[high]
+        while top:
+            high = (top & -top).bit_length() - 1
+            word = low[high]
+            rank = high << 8 | (word & -word).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                left = heapq.heappop(bucket)
+            else:
+                left = bucket[0]
+                del buckets[rank]
+                word &= word - 1
+                low[high] = word
+                if not word:
+                    top &= top - 1
+            if pending[left] != rank:
+                continue  # stale: the pair here has changed or is gone
+            right = after[left]
+            end = after[left] = after[right]
+            pending[right] = pending[left] = None
+            if end < n:
+                before[end] = left
+                pending[left] = rank = get(piece[left:after[end]])
+                if rank is not None:
+                    if rank in buckets:
+                        heapq.heappush(buckets[rank], left)
+                    else:
+                        buckets[rank] = [left]
+                        high = rank >> 8
+                        low[high] |= bit[rank & 255]
+                        top |= bit[high]
+            left = before[left]
+            if left >= 0:
+                pending[left] = rank = get(piece[left:end])
+                if rank is not None:
+                    if rank in buckets:
+                        heapq.heappush(buckets[rank], left)
+                    else:
+                        buckets[rank] = [left]
+                        high = rank >> 8
+                        low[high] |= bit[rank & 255]
+                        top |= bit[high]
+        ids, start = [], 0
+        while start < n:
+            ids.append(ranks[piece[start:after[start]]])
+            start = after[start]
+        return tuple(ids)
 
 
 def encode_piece(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> tuple[int, ...]:
-    """Token ids of one pre-token; ``queue`` is empty before and after."""
+    """Token ids of one pre-token."""
     whole = ranks.get(piece)
-    if whole is not None:
-        return (whole,)
-    n = len(piece)
-    after = list(range(1, n + 2))  # start of the following part; the last part ends at n
-    before = list(range(-1, n))
-    pending = [-1] * (n + 1)  # rank of the pair that starts here, as it is now
-
-    def offer(left: int) -> None:
-        right = after[left]
-        rank = ranks.get(piece[left:after[right]], -1) if right < n else -1
-        pending[left] = rank
-        if rank >= 0:
-            queue.push(rank, left)
-
-    for start in range(n - 1):
-        offer(start)
-    while (entry := queue.pop()) is not None:
-        rank, left = entry
-        if pending[left] != rank:
-            continue  # stale: the pair here has changed or is gone
-        right = after[left]
-        pending[right] = -1
-        after[left] = after[right]
-        if after[left] < n:
-            before[after[left]] = left
-        offer(left)
-        if before[left] >= 0:
-            offer(before[left])
-    ids, start = [], 0
-    while start < n:
-        ids.append(ranks[piece[start:after[start]]])
-        start = after[start]
-    return tuple(ids)
+    return queue.merge(piece, ranks) if whole is None else (whole,)
 
 
 class Encoder:
-    """Encodes texts, remembering the ids of pre-tokens."""
+    """Encodes texts, remembering the ids of pre-tokens and of words.
+
+    A space between two characters that are not white space always begins a pre-token, so
+    what lies between such spaces is encoded on its own and remembered.
+    """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: tuple[dict, dict]):
         import regex
 
         self.find = regex.compile(pattern).findall
         self.ranks = ranks
         self.queue = RankQueue(max(ranks.values(), default=0))
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.pieces, self.words = memory
+
+    def ids(self, text: str) -> list[int]:
+        """Ids by the pattern alone."""
+        ids: list[int] = []
+        for piece in self.find(text):
+            known = self.pieces.get(piece)
+            if known is None:
+                known = self.pieces[piece] = encode_piece(piece.encode(), self.ranks, self.queue)
+            ids += known
+        return ids
 
     def __call__(self, text: str) -> array:
-        pieces = self.find(text)
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        for piece in set(pieces).difference(known):
-            known[piece] = encode_piece(piece.encode(), self.ranks, self.queue)
-        return array("i", chain.from_iterable(map(known.__getitem__, pieces)))
+        if len(self.words) > CACHE:
+            self.words.clear()
+        if len(self.pieces) > CACHE:
+            self.pieces.clear()
+        first, *rest = text.split(" ")
+        words = self.words
+        for word in set(rest).difference(words):
+            # None: next to other white space, where the pattern needs its surroundings.
+            alone = word and not word[0].isspace() and not word[-1].isspace()
+            words[word] = tuple(self.ids(" " + word)) if alone else None
+        try:
+            if rest and (not first or first[-1].isspace()):
+                return array("i", self.ids(text))
+            return array("i", chain(self.ids(first), chain.from_iterable(map(words.__getitem__, rest))))
+        except TypeError:
+            return array("i", self.ids(text))
 
 
 def _lists(ids: list[array]) -> pa.ListArray:
@@ -151,10 +181,12 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     column of ``df`` yet. The vocabulary is read by the driver and broadcast; its size is that
     of the file, whatever the data.
     """
-    ranks = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    # The two dictionaries are a worker's memory, which lives as long as its copy of the broadcast.
+    shared = df.sparkSession.sparkContext.broadcast((read_ranks(ranks_path), ({}, {})))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks.value, pattern)
+        ranks, memory = shared.value
+        encoder = Encoder(ranks, pattern, memory)
         for batch in batches:
             ids = [encoder(t) if t else array("i") for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids)],
