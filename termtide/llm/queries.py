@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termtide.llm import bpe, extraction, imatch, jaccard, language, mixing, oracles, pii, topk
+from termtide.llm import bpe, extraction, imatch, jaccard, language, lm, mixing, oracles, pii, topk
 from termtide.llm.common import crc_bucket, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -24,6 +24,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op2_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), crc_bucket("doc_id", 7) == 2)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), *vocabulary())
 
@@ -78,6 +82,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_recurrent_lm": op2_recurrent_lm,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_language_id": op4_language_id,
     "op6_exact_top_k": op6_exact_top_k,
