@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termtide.llm import bpe, language, mixing, pii, queries
+from termtide.llm import bpe, jaccard, language, mixing, pii, queries
 from termtide.llm.common import crc_bucket, table, written
 
 
@@ -15,6 +15,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.learn(labelled), drop_rejected=True)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of linked documents keep the one with the smallest doc_id."""
+    return jaccard.first_of_groups(docs)
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data in the text; n_chars follows."""
     return pii.redacted(docs, n_chars="n_chars")
@@ -36,6 +41,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", language_id),
+    ("near_copies", near_copies),
     ("personal_data", personal_data),
     ("source_mix", source_mix),
     ("token_ids", token_ids),

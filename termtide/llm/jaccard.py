@@ -42,20 +42,24 @@ PER_BUCKET = 2_000_000
 # frequent are those in the second share of all documents. There are at most (shingles per
 # document) / HOT_SHARE of them.
 LOCAL_SHARE, LOCAL_LEAST, HOT_SHARE = 0.005, 8, 0.002
+# More rows to leave out than this are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
 # Shingles of a cluster that one task compares.
 BLOCK = 4_000_000
 
 _INDEX = ("bucket int, base long, shingles binary, owners binary, "
-          "uid long, doc_id long, n long, set_hash binary, frequent array<long>")
-_SHARED = "uid long, shingle long, df long, doc_id long, n long, set_hash binary, frequent array<long>"
+          "uid long, row long, doc_id long, n long, set_hash binary, frequent array<long>")
+_SHARED = "uid long, shingle long, df long, row long, doc_id long, n long, set_hash binary, frequent array<long>"
 
 
 def _flushes(batches: Iterator[pa.RecordBatch], hasher: WordHasher
              ) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Groups of documents (ids, sets) with about ``FLUSH`` shingles or fewer than 2**16 rows."""
+    """Groups of documents ((row, doc_id), sets) with about ``FLUSH`` shingles or fewer than 2**16 rows."""
     ids, sets, size = [], [], 0
     for batch in batches:
-        texts, own = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+        texts = batch.column("text").to_pylist()
+        own = list(zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(),
+                       strict=True))
         for lo in range(0, len(texts), 200):
             for doc_id, found in zip(own[lo:lo + 200], shingle_sets(texts[lo:lo + 200], hasher),
                                      strict=True):
@@ -94,15 +98,16 @@ def _packer(bits: int, frequent):
         for number, (ids, sets) in enumerate(_flushes(batches, hasher)):
             base = part << 38 | number << 16
             rows = {name: [] for name in (
-                "bucket", "base", "shingles", "owners", "uid", "doc_id", "n", "set_hash",
+                "bucket", "base", "shingles", "owners", "uid", "row", "doc_id", "n", "set_hash",
                 "frequent")}
             kept = []
-            for i, (doc_id, found) in enumerate(zip(ids, sets, strict=True)):
+            for i, ((row, doc_id), found) in enumerate(zip(ids, sets, strict=True)):
                 at = np.searchsorted(hot, found)
                 is_hot = hot[np.minimum(at, len(hot) - 1)] == found if len(hot) else at < 0
                 kept.append(found[~is_hot])
                 for name, value in (
-                        ("bucket", -1 - part), ("uid", base + i), ("doc_id", doc_id),
+                        ("bucket", -1 - part), ("uid", base + i), ("row", row),
+                        ("doc_id", doc_id),
                         ("n", len(found)),
                         ("set_hash", hashlib.blake2b(found.tobytes(), digest_size=16).digest()),
                         ("frequent", found[is_hot].view(np.int64).tolist())):
@@ -120,10 +125,10 @@ def _packer(bits: int, frequent):
                                     ("shingles", pack(every[lo:hi], bits)),
                                     ("owners", owners[lo:hi].tobytes())):
                     rows[name].append(value)
-                for name in ("uid", "doc_id", "n", "set_hash", "frequent"):
+                for name in ("uid", "row", "doc_id", "n", "set_hash", "frequent"):
                     rows[name].append(None)
             kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(),
-                     pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                     pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)],
                 names=list(rows))
@@ -149,9 +154,8 @@ def unpack(data: bytes, bucket: int, bits: int) -> np.ndarray:
 def _shared_in_bucket(bits: int):
     """The shingles of a bucket that occur more than once, by document; document rows pass."""
     def run(rows: pa.Table) -> pa.Table:
-        names = ["uid", "shingle", "df", "doc_id", "n", "set_hash", "frequent"]
+        names = ["uid", "shingle", "df", "row", "doc_id", "n", "set_hash", "frequent"]
         bucket = rows.column("bucket")[0].as_py()
-        none = pa.nulls(0, pa.int64())
         if bucket < 0:
             nulls = pa.nulls(len(rows), pa.int64())
             return pa.table([rows.column("uid"), nulls, nulls,
@@ -167,19 +171,19 @@ def _shared_in_bucket(bits: int):
         df = np.repeat(counts, counts)
         more = df > 1
         m = int(more.sum())
-        nulls = none if not m else pa.nulls(m, pa.int64())
+        nulls = pa.nulls(m, pa.int64())
         return pa.table(
             [pa.array(uids[more]), pa.array(shingles[more].view(np.int64)),
-             pa.array(df[more].astype(np.int64)), nulls, nulls, pa.nulls(m, pa.binary()),
+             pa.array(df[more].astype(np.int64)), nulls, nulls, nulls, pa.nulls(m, pa.binary()),
              pa.nulls(m, pa.list_(pa.int64()))], names=names)
     return run
 
 
 def shared_shingles(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, shared): one row per document (uid, doc_id, n, set_hash, frequent) and one
+    """(documents, shared): one row per document (uid, row, doc_id, n, set_hash, frequent) and one
     per document and shingle that other documents have too (uid, shingle, df)."""
     spark = df.sparkSession
-    texts = df.select("doc_id", "text")
+    texts = df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     counted = written(texts.mapInArrow(_count_frequent, "shingle long, docs long")
                       .groupBy("shingle").agg(F.sum("docs").alias("docs")), "jaccard-frequent")
     total = counted.where("shingle IS NULL").agg(F.sum("docs")).first()[0] or 0
@@ -192,7 +196,7 @@ def shared_shingles(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = written(packed.groupBy("bucket").applyInArrow(_shared_in_bucket(bits), _SHARED),
                    "jaccard-shared")
     documents = both.where("shingle IS NULL").select(
-        "uid", "doc_id", "n", "set_hash", "frequent")
+        "uid", "row", "doc_id", "n", "set_hash", "frequent")
     return documents, both.where("shingle IS NOT NULL").select("uid", "shingle", "df")
 
 
@@ -404,6 +408,22 @@ def class_links(rows: DataFrame) -> DataFrame:
     return found if large.isEmpty() else found.union(_large_links(rows, large))
 
 
+def _labelled(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with words: row, doc_id, n, class_id, component, component_id; all documents)."""
+    documents, shared = shared_shingles(df)
+    rows = written(candidates(documents, shared), "jaccard-candidates")
+    found = components(class_links(rows))
+    classes = documents.where("n > 0").groupBy("set_hash").agg(
+        F.min("uid").alias("node"), F.min("doc_id").alias("class_id"))
+    joined = classes.join(found, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+    smallest = joined.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    labelled = joined.join(smallest, "component").select(
+        "set_hash", "class_id", "component", "component_id")
+    return documents.where("n > 0").join(labelled, "set_hash").select(
+        "row", "doc_id", "n", "class_id", "component", "component_id"), documents
+
+
 def join(df: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id for every row of ``df`` (doc_id, text).
 
@@ -413,18 +433,31 @@ def join(df: DataFrame) -> DataFrame:
     their own doc_id. Rows with a null doc_id link like others; a component of nothing else has
     a null id. Repeated rows are copies of each other. Other columns of ``df`` do not matter.
     """
-    documents, shared = shared_shingles(df)
-    rows = written(candidates(documents, shared), "jaccard-candidates")
-    found = components(class_links(rows))
-    classes = documents.where("n > 0").groupBy("set_hash").agg(
-        F.min("uid").alias("node"), F.min("doc_id").alias("class_id"))
-    joined = classes.join(found, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    smallest = joined.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    labelled = joined.join(smallest, "component").select("set_hash", "class_id", "component_id")
-    worded = documents.where("n > 0").join(labelled, "set_hash").select(
-        "doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
+    worded, documents = _labelled(df)
     bare = documents.where("n = 0").select(
         "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("class_id"),
         F.col("doc_id").alias("component_id"))
-    return worded.union(bare)
+    return worded.select(
+        "doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id").union(bare)
+
+
+def first_of_groups(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` without those that the smallest doc_id of their component stands for.
+
+    Of repeated rows with that id the first stays. Rows without words stay. ``df`` must
+    give the same rows in the same partitions each time it is read, as a table does: rows to
+    leave out are known by their place, so text is not shuffled for it. The list of them is
+    broadcast up to ``BROADCAST_ROWS`` and joined by shuffle beyond.
+    """
+    rows, _ = _labelled(df)
+    rows = written(rows.select("row", "doc_id", "component", "component_id"), "jaccard-components")
+    kept = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(
+        F.min("row").alias("kept"))
+    place = "row"
+    while place.lower() in (c.lower() for c in df.columns):
+        place += "_"
+    dropped = written(rows.join(kept, "component").where("row <> kept").select(
+        F.col("row").alias(place)), "jaccard-dropped")
+    small = dropped.count() <= BROADCAST_ROWS
+    placed = df.withColumn(place, F.monotonically_increasing_id())
+    return placed.join(F.broadcast(dropped) if small else dropped, place, "left_anti").drop(place)
