@@ -160,7 +160,7 @@ def top(table: str, by: str = "n", where: str = "true") -> tuple[str, str]:
     WHERE {where} ORDER BY {by} DESC, word LIMIT {params.TOP_K}""")
 
 
-ITEMS = ("items", "SELECT word AS text, CAST(score AS INTEGER) AS size FROM top")
+ITEMS = ("items", "SELECT word AS text, CAST(least(score, 2147483647) AS INTEGER) AS size FROM top")
 
 
 def oracle_sql() -> dict[str, str]:
@@ -218,6 +218,19 @@ def oracle_sql() -> dict[str, str]:
         "q24_document_terms": with_(
             stems + [top("stem_counts", where=f"n >= {threshold('stem_counts')}")],
             "SELECT word, score FROM top"),
+        "q26_accepted_with_history": with_(OUTCOMES + [("span", """
+            SELECT min(ts) + to_microseconds((epoch_us(max(ts)) - epoch_us(min(ts))) // 100) AS middle
+            FROM events""")],
+            """SELECT url, ts FROM outcomes, span
+               WHERE outcome = 'accepted' AND ts >= middle"""),
+        "q27_outcomes_unchecked": with_(OUTCOMES, """
+            SELECT event_id, url,
+                   CASE WHEN outcome = 'malformed' THEN outcome ELSE 'accepted' END AS outcome
+            FROM outcomes"""),
+        "q28_stream_restarted": with_(
+            chain + [top("stem_counts", where=f"n >= {threshold('stem_counts')}"), ITEMS],
+            "SELECT text, size FROM items"),
+        "q29_snapshot_after_empty_batch": with_(items, "SELECT text, size FROM items"),
         "q25_document_terms_cms": with_(
             stems + sketch(FINE_EPS, "stem_counts")
             + [top("estimates", "est", f"est >= {threshold('stem_counts')}")],

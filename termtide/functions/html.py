@@ -18,8 +18,15 @@ BLOCK_TAGS = (
     "xmp",
 )
 
-_HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
-_PARAGRAPH = (r"(?is)<p(?:[\s/][^>]*)?>.*?(?=</?(?:" + "|".join(BLOCK_TAGS) + r")[\s>/]|\z)")
+# The rest of a tag: quoted values may hold ">". Possessive, so that Java neither recurses nor
+# backtracks; a quote without its partner is a character like others. An unclosed tag, comment or
+# script hides what is left of the page.
+_REST = r"""(?:[^>"']|"[^"]*"|'[^']*'|["'])*+(?:>|\z)"""
+_ATTRIBUTE = r"""[^\s=>/"'<]++(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>"']++))?"""
+
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
+_PARAGRAPH = (rf"(?is)<p(?:(?=>)|(?=[\s/])){_REST}"
+              r".*?(?=</?(?:" + "|".join(BLOCK_TAGS) + r")[\s>/]|\z)")
 
 
 def _open_tag(container: str) -> str:
@@ -29,9 +36,10 @@ def _open_tag(container: str) -> str:
     """
     if container.startswith("#"):
         value = re.escape(container[1:])
-        return (r"<((?i:[a-z][a-z0-9]*))\s(?:[^>]*?\s)?(?i:id)\s*=\s*"
-                rf"(?:\"{value}\"|'{value}'|{value}(?=[\s>/]))[^>]*>")
-    return rf"(?i)<({re.escape(container)})(?:[\s/][^>]*)?>"
+        return (rf"<((?i:[a-z][a-z0-9]*+))(?:[\s/]++(?!(?i:id)\s*+=){_ATTRIBUTE})*+"
+                r"[\s/]++(?i:id)\s*+=\s*+"
+                rf"(?:\"{value}\"|'{value}'|{value}(?=[\s>/])){_REST}")
+    return rf"(?i)<({re.escape(container)})(?=[\s/>]){_REST}"
 
 
 def _named_characters() -> list[tuple[str, str]]:
@@ -78,8 +86,8 @@ def decode_entities(text: str) -> Column:
 
 def without_tags(html: Column) -> Column:
     """Text of inline HTML, not decoded: a line break is a space, other tags vanish."""
-    broken = F.regexp_replace(html, r"(?i)<br\b[^>]*>", " ")
-    return F.regexp_replace(broken, r"<[/!]?[a-zA-Z][^>]*>", "")
+    broken = F.regexp_replace(html, rf"(?i)<br(?=[\s/>]){_REST}", " ")
+    return F.regexp_replace(broken, rf"<[/!]?[a-zA-Z]{_REST}", "")
 
 
 def collapsed(text: Column) -> Column:
@@ -100,11 +108,14 @@ def first_paragraph(df: DataFrame, container: str, html: str = "html",
     df = df.withColumn("_tag", F.lower(F.regexp_extract("_body", start, 1)))
     df = df.withColumn("_tail", F.when(
         F.col("_tag") != "", F.regexp_extract("_body", rf"{start}((?s:.*))", 2)))
-    # The pieces between tags of the same name, up to the end tag that closes the container.
-    df = df.withColumn("_inner", F.expr(r"""array_join(
-        slice(split(_tail, r'(?i)</?' || _tag || r'(?=[\s>/])[^>]*>', -1), 1,
+    # The pieces between tags of the same name, up to the end tag that closes the container. The
+    # pattern is constant where the name is.
+    tag = "_tag" if container.startswith("#") else _sql_string(container.lower())
+    same = f"'(?i)<(/?)' || {tag} || {_sql_string(rf'(?=[\s>/]){_REST}')}"
+    df = df.withColumn("_inner", F.expr(rf"""array_join(
+        slice(split(_tail, {same}, -1), 1,
               aggregate(
-                  regexp_extract_all(_tail, r'(?i)<(/?)' || _tag || r'(?=[\s>/])', 1),
+                  regexp_extract_all(_tail, {same}, 1),
                   struct(1 AS depth, 1 AS pieces),
                   (a, m) -> CASE
                       WHEN a.depth = 0 THEN a

@@ -9,9 +9,10 @@ from termtide import params
 
 
 def cloud_items(top_words: DataFrame) -> DataFrame:
-    """``text, size`` from ``word, score``; the score is truncated to an integer."""
-    return top_words.select(
-        F.col("word").alias("text"), F.col("score").cast("int").alias("size"))
+    """``text, size`` from ``word, score``; the score is truncated to an integer, a larger one
+    becomes the largest."""
+    size = F.least("score", F.lit(float(2**31 - 1))).cast("int")
+    return top_words.select(F.col("word").alias("text"), size.alias("size"))
 
 
 def unique_spellings(items: DataFrame) -> DataFrame:

@@ -32,14 +32,14 @@ def heavy_hitters_cms(counts: DataFrame, pct: float = params.HEAVY_HITTERS_PCT,
     return estimates.where(F.col("est") >= F.lit(pct) * total).select("word", "est")
 
 
-def _size(k: int | None) -> int:
+def list_size(k: int | None) -> int:
     return params.TOP_K_UNSET if k is None else k
 
 
 def top_k(counts: DataFrame, k: int | None = params.TOP_K, by: str = "n") -> DataFrame:
     """``word, score`` of the ``k`` largest counts, 25 if ``k`` is None; ties in word order."""
     return (
-        counts.orderBy(F.desc(by), F.asc("word")).limit(_size(k))
+        counts.orderBy(F.desc(by), F.asc("word")).limit(list_size(k))
         .select("word", F.col(by).cast("double").alias("score")))
 
 
@@ -55,7 +55,7 @@ def top_heavy_hitters(partial_counts: DataFrame, k: int | None = params.TOP_K,
         partial_counts.rollup("word")
         .agg(F.sum("n").alias("n"), F.grouping("word").alias("is_total"))
         .orderBy(F.desc("is_total"), F.desc("n"), F.asc("word"))
-        .limit(_size(k) + 1))
+        .limit(list_size(k) + 1))
     total = F.max(F.when(F.col("is_total") == 1, F.col("n"))).over(
         Window.partitionBy(F.lit(0)))  # over at most k + 1 rows
     return (

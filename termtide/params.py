@@ -34,9 +34,9 @@ STOP_WORDS = (
 # Display sizes of the smallest and the largest word.
 SIZE_RANGE = (10, 100)
 
-# Words with at most one apostrophe suffix, or runs of punctuation; space
-# separators such as U+00A0 divide tokens like any white space.
-TOKEN_RE = r"[\p{L}\p{N}]+(?:'[\p{L}]+)?|[^\s\p{Z}\p{L}\p{N}]+"
+# Words with at most one apostrophe suffix, or runs of punctuation. Combining marks
+# belong to words; space separators such as U+00A0 divide tokens like any white space.
+TOKEN_RE = r"[\p{L}\p{M}\p{N}]+(?:'[\p{L}\p{M}]+)?|[^\s\p{Z}\p{L}\p{M}\p{N}]+"
 
 # URLs accepted for submission: four schemes, and a numeric port if any.
 URL_RE = (

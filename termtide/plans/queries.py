@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,9 @@ from termtide.operators.submissions import accepted, outcomes
 from termtide.operators.words import prepared_words, tokens
 from termtide.plans.top_terms import top_terms, top_terms_of_submissions
 from termtide.sizing import spread
+from termtide.sources.pages import save_descriptions
 from termtide.sources.snapshots import read_snapshot, snapshot_json, write_snapshot
+from termtide.sources.submissions import read_seen, record_seen, stream_submissions
 from termtide.streaming import job
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,23 +184,35 @@ def q19_case_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unique_spellings(_published(spark, sf_dir))
 
 
-def _stream(spark: SparkSession, sf_dir: str, publish: Callable[[DataFrame, int], None]) -> None:
-    """Run the streaming job over all events and wait until they are processed."""
-    session = job.streaming_session(spark)
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+def _descriptions_table(session: SparkSession, sf_dir: str) -> DataFrame:
+    """The descriptions of all pages, extracted once for all batches of a stream."""
+    table = f"descriptions_{uuid.uuid4().hex}"
+    return save_descriptions(
+        session.read.parquet(f"{sf_dir}/pages.parquet"), table,
+        int(session.conf.get("spark.sql.shuffle.partitions")), container=CONTAINER)
+
+
+def _run(counts: DataFrame, publish: Callable[[DataFrame, int], None], checkpoint: str,
+         mode: str) -> None:
+    """Run the streaming job until all there is has been processed."""
+    job.start(counts, publish, checkpoint, trigger={"availableNow": True},
+              mode=mode).awaitTermination()
+
+
+def _stream(session: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as a stream of submissions."""
+    events = session.read.parquet(f"{sf_dir}/events.parquet").schema
     # A glob, because the source takes a plain path for a directory.
     stream = session.readStream.schema(events).parquet(f"{sf_dir}/events[.]parquet")
-    pages = session.read.parquet(f"{sf_dir}/pages.parquet")
-    found = descriptions(_pages(session, sf_dir), CONTAINER)
-    counts = job.running_counts(_submissions(stream, pages), found)
-    job.start(counts, publish, workspace.fresh_dir(spark, "checkpoint"),
-              trigger={"availableNow": True}).awaitTermination()
+    return _submissions(stream, session.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 @query
 def q20_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workspace.fresh_dir(spark, "counts")
-    _stream(spark, sf_dir, job.write_counts(path))
+    session = job.streaming_session(spark)
+    counts = job.running_counts(_stream(session, sf_dir), _descriptions_table(session, sf_dir))
+    _run(counts, job.write_counts(path), workspace.fresh_dir(spark, "checkpoint"), "complete")
     return job.read_counts(spark, path)
 
 
@@ -210,7 +225,9 @@ def q21_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def q22_stream_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workspace.fresh_dir(spark, "snapshot")
-    _stream(spark, sf_dir, job.publish_snapshot(path))
+    session = job.streaming_session(spark)
+    stems = job.running_stems(_stream(session, sf_dir), _descriptions_table(session, sf_dir))
+    _run(stems, job.publish_top(path), workspace.fresh_dir(spark, "checkpoint"), "update")
     return read_snapshot(spark, path)
 
 
@@ -228,3 +245,49 @@ def q24_document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def q25_document_terms_cms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_terms(_documents(spark, sf_dir), method="cms", eps=FINE_EPS)
+
+
+def _event_parts(spark: SparkSession, sf_dir: str, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Submissions of the first of ``parts`` equal parts of the events' time, and all later ones."""
+    both = _batch_submissions(spark, sf_dir)
+    span = spark.read.parquet(f"{sf_dir}/events.parquet").agg(
+        F.expr(f"min(ts) + (max(ts) - min(ts)) / {parts}")).scalar()
+    return both.where(F.col("ts") < span), both.where(F.col("ts") >= span)
+
+
+@query
+def q26_accepted_with_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All but the first hundredth of the events, checked against the URLs recorded in that."""
+    path = workspace.fresh_dir(spark, "seen")
+    earlier, later = _event_parts(spark, sf_dir, 100)
+    record_seen(accepted(earlier), path)
+    return accepted(later, read_seen(spark, path)).select("url", "ts")
+
+
+@query
+def q27_outcomes_unchecked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcomes(_batch_submissions(spark, sf_dir), check_duplicates=False)
+
+
+@query
+def q28_stream_restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both halves of the events in several files and batches, the job stopped in between."""
+    path, checkpoint, feed = (workspace.fresh_dir(spark, p) for p in ("snapshot", "checkpoint", "in"))
+    session = job.streaming_session(spark)
+    found = _descriptions_table(session, sf_dir)
+    for half in _event_parts(session, sf_dir, 2):
+        half.repartition(2).write.mode("append").parquet(feed)
+        source = stream_submissions(session, feed, maxFilesPerTrigger="1")
+        _run(job.running_stems(source, found), job.publish_top(path), checkpoint, "update")
+    return read_snapshot(spark, path)
+
+
+@query
+def q29_snapshot_after_empty_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was served before anything was published (nothing), and after an empty batch."""
+    path = workspace.fresh_dir(spark, "snapshot")
+    before = read_snapshot(spark, path)
+    top = q15_top_words(spark, sf_dir)
+    write_snapshot(top, path)
+    write_snapshot(top.where("false"), path)
+    return before.unionByName(read_snapshot(spark, path))

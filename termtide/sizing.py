@@ -8,11 +8,10 @@ MIB = 1024 * 1024
 
 
 def plan_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate for ``df`` without running it, or None where it is not known."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:  # Spark Connect has no local plan to ask
+    """Catalyst's size estimate for ``df`` without running it; None without a local plan to ask."""
+    if not hasattr(df, "_jdf"):
         return None
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def fits(df: DataFrame, limit: int) -> bool:
@@ -27,7 +26,7 @@ def spread(df: DataFrame, *keys: str, limit: int = 256 * MIB) -> DataFrame:
     the split size. Beyond ``limit`` the scan has splits enough and the shuffle would cost
     more than it gains.
     """
+    if df.isStreaming or not fits(df, limit):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if cores > 1 and not df.isStreaming and fits(df, limit):
-        return df.repartition(cores, *keys)
-    return df
+    return df.repartition(cores, *keys) if cores > 1 else df

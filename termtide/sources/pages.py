@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termtide import params, schemas
-from termtide.operators.descriptions import descriptions
+from termtide import params, schemas, workspace
+from termtide.operators.descriptions import newest_descriptions
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -13,13 +13,16 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_descriptions(pages: DataFrame, table: str, buckets: int, *,
-                      container: str = params.CONTAINER) -> DataFrame:
-    """Extract descriptions once into a table bucketed by ``url`` and return it.
+                      container: str = params.CONTAINER, path: str | None = None) -> DataFrame:
+    """Extract descriptions once, one per URL, into a table bucketed by ``url`` and return it.
 
-    A stream with as many state partitions as ``buckets`` joins it without a shuffle.
+    A stream with as many state partitions as ``buckets`` joins it without a shuffle. The files
+    go to ``path``, by default a new folder in the shared one.
     """
     spark = pages.sparkSession
-    (descriptions(pages.select("url", "html"), container)
+    path = path or workspace.fresh_dir(spark, "descriptions")
+    (newest_descriptions(pages, container)
      .repartition(buckets, "url")
-     .write.mode("overwrite").bucketBy(buckets, "url").sortBy("url").saveAsTable(table))
+     .write.mode("overwrite").bucketBy(buckets, "url").sortBy("url")
+     .option("path", path).saveAsTable(table))
     return spark.table(table)

@@ -1,44 +1,24 @@
-"""The published list of top words: a small table that readers never see half-written.
-
-Every publication goes to one of a few slots in turn, so a reader of the newest slot is not
-disturbed by the next write, repeating a batch overwrites the same slot, and the folder does
-not grow.
-"""
+"""The published list of top words: a small table that readers never see half-written."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from termtide import schemas
 from termtide.operators.display import cloud_items
-from termtide.sources.tables import read_or_empty
-
-_LIVE = T.StructType(schemas.TOP_WORDS.fields + [T.StructField("published_at", T.TimestampType())])
-
+from termtide.sources import publications
 
-def write_snapshot(top_words: DataFrame, path: str, batch_id: int = 0, *, slots: int = 4) -> None:
-    """Publish ``word, score``; an empty list leaves the last snapshot in place.
 
-    ``top_words`` has at most K rows. It is computed once, into a staging folder; looking whether
-    it is empty and publishing it only read those rows.
-    """
-    spark = top_words.sparkSession
-    staging = f"{path}/staging"
-    top_words.select("word", "score").coalesce(1).write.mode("overwrite").parquet(staging)
-    staged = spark.read.schema(schemas.TOP_WORDS).parquet(staging)
-    if staged.isEmpty():
-        return
-    (staged.withColumn("published_at", F.current_timestamp())
-     .coalesce(1).write.mode("overwrite").parquet(f"{path}/live/slot={batch_id % slots}"))
+def write_snapshot(top_words: DataFrame, path: str, *, keep: int = publications.KEEP) -> None:
+    """Publish ``word, score``, at most K rows; an empty list leaves the last snapshot in place."""
+    publications.publish(top_words.select("word", "score").coalesce(1), f"{path}/live", keep=keep,
+                         skip_empty=True)
 
 
 def read_top_words(spark: SparkSession, path: str) -> DataFrame:
     """``word, score`` of the newest snapshot, in no particular order."""
-    live = read_or_empty(spark, f"{path}/live", _LIVE)
-    newest = live.agg(F.max("published_at")).scalar()
-    return live.where(F.col("published_at") == newest).select("word", "score")
+    return publications.newest(spark, f"{path}/live", schemas.TOP_WORDS)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:

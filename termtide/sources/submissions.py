@@ -18,14 +18,19 @@ def stream_submissions(spark: SparkSession, path: str | None = None, fmt: str =
     """Stream of submissions from files, or from Kafka with one JSON object per message.
 
     ``options`` go to the source, such as ``maxFilesPerTrigger`` or ``subscribe``. A message
-    that is not a submission gives a NULL URL, which the submission rules reject.
+    that is not a submission gives a NULL URL, which the submission rules reject. A first start on
+    a topic reads it from the beginning, as the counts cover the whole history.
     """
     if fmt == "kafka":
-        raw = spark.readStream.format("kafka").options(**options).load()
+        raw = spark.readStream.format("kafka").options(**kafka_options(options)).load()
         return parse_messages(raw)
     return spark.readStream.schema(schemas.SUBMISSIONS).format(fmt).options(**options).load(path)
 
 
+def kafka_options(options: dict[str, str]) -> dict[str, str]:
+    return {"startingOffsets": "earliest", **options}
+
+
 def parse_messages(raw: DataFrame) -> DataFrame:
     """Submissions from a binary or string ``value`` column holding JSON."""
     message = F.from_json(F.col("value").cast("string"), schemas.SUBMISSIONS)

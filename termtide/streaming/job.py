@@ -1,8 +1,8 @@
 """The calculation as a Structured Streaming job.
 
 Two kinds of state never expire, as the running count and the duplicate check cover the whole
-history: one row per accepted URL and one per distinct word. Both live in RocksDB. Counts are kept
-per raw word; stems are made and added when a batch is published.
+history: one row per accepted URL and one per stem. Both live in RocksDB. A batch hands over the
+stems that it changed, so its cost follows its input and not the history.
 """
 
 from __future__ import annotations
@@ -16,11 +16,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from termtide import params, schemas
 from termtide.functions.urls import is_valid_url
+from termtide.functions.porter import with_stem
 from termtide.operators.counts import stem_counts, word_counts
+from termtide.operators.ranking import list_size
 from termtide.operators.words import prepared_words
 from termtide.plans.top_terms import rank_words
+from termtide.sources import publications
 from termtide.sources.snapshots import write_snapshot
 
+# URLs that a task remembers having sent to the state; forgetting one costs a repeat.
+SENT = 100_000
+
 
 def streaming_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
     """A session of the same application with the settings of the state store.
@@ -42,10 +48,11 @@ def accepted_urls(submissions: DataFrame, *, check_duplicates: bool = True,
     """The accepted URLs of a stream. Received and malformed messages are counted in the
     progress of the query, as the metric ``submissions``.
 
-    Deduplication has no partial stage, so every Arrow batch first drops its own repeats: a URL that
-    makes up a third of the stream reaches its state partition once per batch of
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows. With ``forget_after``, such
-    as ``"30 days"``, state is bounded by event time and an older URL is accepted again.
+    Deduplication has no partial stage, so every task first drops its own repeats: a URL that makes
+    up a third of the stream reaches its state partition about once per task. With ``forget_after``,
+    such as ``"30 days"``, state is bounded by event time: an older URL is accepted again, and a
+    submission that comes later than that behind the newest one is dropped, as whether it was
+    seen is no longer known. The progress of the query counts those as numRowsDroppedByWatermark.
     """
     marked = submissions.select("ts", "url", is_valid_url(F.col("url")).alias("valid"))
     valid = marked.observe(
@@ -53,21 +60,58 @@ def accepted_urls(submissions: DataFrame, *, check_duplicates: bool = True,
         F.count_if(~F.col("valid")).alias("malformed")).where("valid")
     if not check_duplicates:
         return valid.select("url")
+    remembered = SENT
+    # The newest submission of a URL may be in time where an older one is late.
+    kept = "max" if forget_after else "min"
 
     # A local function, so that it is shipped to the executors by value.
-    def first_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict = {}
         for batch in batches:
-            first = pa.Table.from_batches([batch]).group_by("url").aggregate([("ts", "min")])
-            yield from first.select(["ts_min", "url"]).rename_columns(["ts", "url"]).to_batches()
+            own = pa.Table.from_batches([batch]).group_by("url").aggregate([("ts", kept)])
+            own = own.select([f"ts_{kept}", "url"]).rename_columns(["ts", "url"])
+            times, urls = own.column("ts"), own.column("url").to_pylist()
+            new = [u not in sent or kept == "max" and t.is_valid
+                   and (sent[u] is None or t.value > sent[u])
+                   for t, u in zip(times, urls, strict=True)]
+            if len(sent) > remembered:
+                sent.clear()
+            sent.update((u, t.value if t.is_valid else None)
+                        for t, u, is_new in zip(times, urls, new, strict=True) if is_new)
+            yield from own.filter(pa.array(new, pa.bool_())).to_batches()
 
     narrow = valid.select("ts", "url")
-    first = narrow.mapInArrow(first_in_batch, narrow.schema)
+    first = narrow.mapInArrow(first_in_task, narrow.schema)
     if forget_after:
         first = first.withWatermark("ts", forget_after).dropDuplicatesWithinWatermark(["url"])
         return first.select("url")
     return first.select("url").dropDuplicates(["url"])
 
 
+def _running_words(submissions: DataFrame, descriptions: DataFrame, *,
+                   check_duplicates: bool, forget_after: str | None, **options) -> DataFrame:
+    urls = accepted_urls(
+        submissions, check_duplicates=check_duplicates, forget_after=forget_after)
+    texts = urls.join(descriptions.select("url", "description"), "url")
+    return prepared_words(texts, "description", **options)
+
+
+def running_stems(submissions: DataFrame, descriptions: DataFrame, *,
+                  check_duplicates: bool = True, forget_after: str | None = None,
+                  **options) -> DataFrame:
+    """Streaming ``word, n`` by stem over the whole history; the row without a word is the total.
+
+    For ``start`` with ``mode="update"``, where a batch hands over changed rows only. Every word is
+    stemmed as it comes. ``options`` are those of ``prepared_words``; ``descriptions`` as in
+    ``running_counts``.
+    """
+    words = with_stem(_running_words(
+        submissions, descriptions, check_duplicates=check_duplicates, forget_after=forget_after,
+        **options))
+    each = F.explode(F.array("stem", F.lit(None).cast("string"))).alias("word")
+    return word_counts(words.select(each))
+
+
 def running_counts(submissions: DataFrame, descriptions: DataFrame, *,
                    check_duplicates: bool = True, forget_after: str | None = None,
                    stop_words: Iterable[str] = params.STOP_WORDS,
@@ -78,30 +122,57 @@ def running_counts(submissions: DataFrame, descriptions: DataFrame, *,
     extraction from pages runs again in every batch, so a job on many pages should pass
     a table saved by ``save_descriptions``.
     """
-    urls = accepted_urls(
-        submissions, check_duplicates=check_duplicates, forget_after=forget_after)
-    texts = urls.join(descriptions.select("url", "description"), "url")
-    return word_counts(prepared_words(
-        texts, "description", min_len=min_len, fold_case=fold_case, stop_words=stop_words))
+    return word_counts(_running_words(
+        submissions, descriptions, check_duplicates=check_duplicates, forget_after=forget_after,
+        min_len=min_len, fold_case=fold_case, stop_words=stop_words))
 
 
 def start(counts: DataFrame, publish: Callable[[DataFrame, int], None], checkpoint: str, *,
-          trigger: dict | None = None) -> StreamingQuery:
-    """Start the job: every batch hands all counts to ``publish``.
+          trigger: dict | None = None, mode: str = "complete") -> StreamingQuery:
+    """Start the job: every batch hands all counts to ``publish``, or with ``mode="update"`` those
+    that it changed.
 
     A restart with the same ``checkpoint`` continues; a broken one raises.
     """
     return (
-        counts.writeStream.outputMode("complete")
+        counts.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": params.TRIGGER_INTERVAL}))
         .foreachBatch(publish)
         .start())
 
 
+def publish_top(path: str, k: int | None = params.TOP_K,
+                pct: float = params.HEAVY_HITTERS_PCT) -> Callable[[DataFrame, int], None]:
+    """Publisher of the top words for ``running_stems`` in update mode.
+
+    Counts only grow, so the new first ``k`` are among the old first ``k`` and the changed rows. The
+    old ones are kept by batch number, before the threshold and with the total, so a batch that is
+    repeated starts from the one before it and gives the same list.
+    """
+    size = list_size(k)
+
+    def publish(changed: DataFrame, batch_id: int) -> None:
+        spark = changed.sparkSession
+        old = publications.newest(spark, f"{path}/candidates", schemas.WORD_COUNTS, below=batch_id)
+        # Several rows for a word: the largest count is the newest.
+        merged = old.unionByName(changed.select("word", "n")).groupBy("word").agg(
+            F.max("n").alias("n"))
+        first = merged.orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(size + 1)
+        if not publications.publish(first.coalesce(1), f"{path}/candidates", batch_id,
+                                    skip_empty=True):
+            return
+        rows = publications.newest(spark, f"{path}/candidates", schemas.WORD_COUNTS,
+                                   below=batch_id + 1)
+        total = rows.where("word IS NULL").agg(F.max("n")).scalar()
+        top = rows.where("word IS NOT NULL").where(F.col("n") >= F.lit(pct) * total)
+        write_snapshot(top.select("word", F.col("n").cast("double").alias("score")), path)
+    return publish
+
+
 def publish_snapshot(path: str, k: int | None = params.TOP_K,
                      **ranking) -> Callable[[DataFrame, int], None]:
-    """Publisher of the top words.
+    """Publisher of the top words from all counts, for the sketch, which needs them.
 
     The exact ranking reads the counts once. The sketch reads them several times, so it works on a
     written copy and not on the state of the stream.
@@ -110,17 +181,18 @@ def publish_snapshot(path: str, k: int | None = params.TOP_K,
         if ranking.get("method", "exact") != "exact":
             write_counts(f"{path}/counts")(counts, batch_id)
             counts = read_counts(counts.sparkSession, f"{path}/counts", stems=False)
-        write_snapshot(rank_words(counts, k, **ranking), path, batch_id)
+        write_snapshot(rank_words(counts, k, **ranking), path)
     return publish
 
 
-def write_counts(path: str) -> Callable[[DataFrame, int], None]:
-    """Publisher of all counts, for readers that need more than the top words."""
+def write_counts(path: str, *, keep: int = 2) -> Callable[[DataFrame, int], None]:
+    """Publisher of all counts, for readers that need more than the top words. ``keep`` older
+    publications stay for readers that have opened them."""
     def publish(counts: DataFrame, batch_id: int) -> None:
-        counts.write.mode("overwrite").parquet(path)
+        publications.publish(counts.select("word", "n"), path, keep=keep)
     return publish
 
 
 def read_counts(spark: SparkSession, path: str, *, stems: bool = True) -> DataFrame:
-    counts = spark.read.schema(schemas.WORD_COUNTS).parquet(path)
+    counts = publications.newest(spark, path, schemas.WORD_COUNTS)
     return stem_counts(counts) if stems else counts

@@ -1,6 +1,8 @@
+import time
+
 import pytest
 
-from termtide.functions.html import decode_entities
+from termtide.functions.html import decode_entities, first_paragraph
 from termtide.operators.descriptions import descriptions, submitted_descriptions
 
 SNIPPET = "The speaker bar keeps the volume level between programs"
@@ -25,9 +27,10 @@ def test_page_without_container_gives_nothing(spark):
 
 def test_url_without_page_gives_nothing(spark, rows):
     urls = spark.createDataFrame([("u",), ("unreachable",)], "url string")
-    pages = spark.createDataFrame([("u", PAGE), ("other", PAGE)], "url string, html string")
-    for limit in (0, 1 << 40):  # join after and before the extraction
-        got = submitted_descriptions(urls, pages, broadcast_limit=limit)
+    pages = spark.createDataFrame(
+        [(1, "u", PAGE), (2, "other", PAGE)], "page_id long, url string, html string")
+    for limit in (-1, 1 << 40):  # join after and before the extraction
+        got = submitted_descriptions(urls, pages, broadcast_rows=limit)
         assert rows(got) == [("u", f"{SNIPPET} & more.")]
 
 
@@ -72,3 +75,41 @@ def test_character_references(spark):
     }
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r.t: r.d for r in df.select("t", decode_entities("t").alias("d")).collect()} == cases
+
+
+def _one(spark, html, container):
+    df = spark.createDataFrame([(html,)], "html string")
+    return [r.description for r in first_paragraph(df, container).collect()]
+
+
+def test_quoted_values_may_hold_a_tag_end(spark):
+    assert _one(spark, '<div id="d"><p title="a>b">first</p></div>', "#d") == ["first"]
+    assert _one(spark, '<div data-x="a>b" id="d"><p>in</p></div>', "#d") == ["in"]
+    assert _one(spark, "<article title='x>y'><p>a <b title='>'>b</b></p></article>", "article") == [
+        "a b"]
+
+
+@pytest.mark.parametrize("hidden", ["<script>", "<style>", "<!--"])
+def test_what_is_not_closed_hides_the_rest(spark, hidden):
+    assert _one(spark, f"{hidden}<article><p>a</p></article>", "article") == []
+    assert _one(spark, f"<article><p>a</p>{hidden}<p>b</p></article>", "article") == ["a"]
+
+
+@pytest.mark.parametrize("piece", ["<script>x", "<!--", "<a ", "<article ", "<p ", "<a '", '<i id="'])
+@pytest.mark.parametrize("container", ["article", "#d"])
+def test_a_megabyte_that_is_not_closed_takes_seconds(spark, piece, container):
+    html = "<article id=d><p>x " + piece * (1_000_000 // len(piece))
+    started = time.monotonic()
+    assert len(_one(spark, html, container)) <= 1
+    assert time.monotonic() - started < 15
+
+
+def test_a_page_crawled_twice_has_one_description(spark, rows):
+    page = '<div id="productDescription"><p>{}</p></div>'.format
+    pages = spark.createDataFrame([
+        (1, "http://a", page("old")), (2, "http://a", page("new")), (3, "http://a", "<p>none</p>"),
+        (4, "http://b", page("other"))], "page_id long, url string, html string")
+    urls = spark.createDataFrame([("http://a",)], "url string")
+    for limit in (-1, 10):
+        found = submitted_descriptions(urls, pages, broadcast_rows=limit)
+        assert rows(found) == [("http://a", "new")]

@@ -16,7 +16,7 @@ def tables():
 
 
 def test_every_query_has_an_oracle():
-    assert list(QUERIES) == list(sql.oracle_sql())
+    assert QUERIES.keys() == sql.oracle_sql().keys()
 
 
 def test_contract_names_every_query():

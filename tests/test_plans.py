@@ -60,22 +60,30 @@ def test_html_is_never_shuffled(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         text = plan(submitted_descriptions(
-            accepted(urls), pages, container="article", broadcast_limit=0))
+            accepted(urls), pages, container="article", broadcast_rows=-1))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # The join by shuffle gets the paragraph, made below its exchange.
     page_side = text[text.rindex("SortMergeJoin"):]
-    exchange = page_side.rindex("Exchange hashpartitioning(url")
-    assert page_side.rindex("Generate explode") > exchange
-    assert "FileScan parquet [url" in page_side[exchange:]
+    exchange = page_side.index("Exchange hashpartitioning(page_id")
+    assert page_side.index("Generate explode") > exchange
+    assert page_side.count("html") > 0 and "html" not in page_side[:exchange]
 
 
-def test_small_submissions_filter_pages_before_extraction(spark):
+def test_submitted_pages_are_picked_before_extraction(spark):
     pages = spark.read.parquet(f"{SF_DIR}/pages.parquet")
     urls = spark.range(3).selectExpr(
         "id AS event_id", "timestamp_seconds(id) AS ts", "concat('http://', id) AS url")
     text = plan(submitted_descriptions(accepted(urls), pages, container="article"))
     assert text.index("Generate explode") < text.index("BroadcastHashJoin")
+    # One exchange, of descriptions by URL.
+    assert text.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("name", ["q01_submission_outcomes", "q02_accepted_urls"])
+def test_first_submissions_are_aggregated_by_hash(spark, name):
+    text = plan(QUERIES[name](spark, SF_DIR))
+    assert "SortAggregate" not in text and "partial_min" in text
 
 
 def test_spread_leaves_large_inputs_alone(spark):

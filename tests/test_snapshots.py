@@ -3,6 +3,7 @@ import json
 import pytest
 
 from termtide import schemas
+from termtide.sources import publications
 from termtide.sources.snapshots import read_snapshot, snapshot_json, write_snapshot
 
 
@@ -21,29 +22,54 @@ def test_missing_snapshot_is_empty_and_typed(spark, tmp_path):
 
 def test_newest_snapshot_replaces_the_last(spark, tmp_path):
     path = str(tmp_path / "s")
-    for batch in range(6):
-        write_snapshot(top(spark, a=batch, b=9, c=9), path, batch, slots=4)
-        assert served(spark, path) == [("b", 9), ("c", 9), ("a", batch)]
-    # A job that starts over counts its batches from 0.
-    write_snapshot(top(spark, z=1), path, 0)
-    assert served(spark, path) == [("z", 1)]
-    assert len(list((tmp_path / "s" / "live").glob("slot=*"))) == 4
+    for n in range(6):
+        write_snapshot(top(spark, a=n, b=9, c=9), path, keep=4)
+        assert served(spark, path) == [("b", 9), ("c", 9), ("a", n)]
+    assert publications.numbers(spark, path + "/live") == [1, 2, 3, 4, 5]
+    assert not list((tmp_path / "s" / "live").glob("staged*"))
+
+
+def test_a_reader_keeps_its_list_while_others_are_published(spark, tmp_path):
+    path = str(tmp_path / "s")
+    write_snapshot(top(spark, a=1, b=2), path)
+    opened = read_snapshot(spark, path)
+    for n in range(5):
+        write_snapshot(top(spark, z=n + 1), path)
+    assert [tuple(r) for r in opened.collect()] == [("b", 2), ("a", 1)]
+    assert served(spark, path) == [("z", 5)]
+
+
+def test_a_number_published_again_replaces_its_publication(spark, tmp_path):
+    path = str(tmp_path / "p")
+    for n, score in ((0, 1), (1, 2), (1, 3)):
+        publications.publish(top(spark, a=score), path, n)
+    assert publications.numbers(spark, path) == [0, 1]
+    assert publications.newest(spark, path, schemas.TOP_WORDS).first().score == 3.0
+    assert publications.newest(spark, path, schemas.TOP_WORDS, below=1).first().score == 1.0
 
 
 def test_empty_list_leaves_the_last_snapshot(spark, tmp_path):
     path = str(tmp_path / "s")
-    write_snapshot(top(spark, a=1), path, 0)
-    for batch in range(5):
-        write_snapshot(spark.createDataFrame([], schemas.TOP_WORDS), path, batch)
+    write_snapshot(top(spark, a=1), path)
+    for _ in range(5):
+        write_snapshot(spark.createDataFrame([], schemas.TOP_WORDS), path)
     assert served(spark, path) == [("a", 1)]
 
 
+def test_scores_beyond_an_integer_are_served(spark, tmp_path):
+    path = str(tmp_path / "s")
+    write_snapshot(top(spark, a=3e9, b=2**31 - 1, c=1.9), path)
+    assert served(spark, path) == [("a", 2**31 - 1), ("b", 2**31 - 1), ("c", 1)]
+    assert json.loads(snapshot_json(read_snapshot(spark, path)).first().json)[0]["size"] == 2**31 - 1
+
+
 def test_unreadable_snapshot_raises(spark, tmp_path):
     path = tmp_path / "s"
-    write_snapshot(top(spark, a=1), str(path), 0)
-    for file in (path / "live" / "slot=0").glob("*.parquet"):
+    write_snapshot(top(spark, a=1), str(path))
+    folder = path / "live" / "publication=0"
+    for file in folder.glob("*.parquet"):
         file.write_bytes(b"not parquet")
-    (path / "live" / "slot=0" / f".{file.name}.crc").unlink()
+        (folder / f".{file.name}.crc").unlink()
     with pytest.raises(Exception, match="(?i)parquet"):
         served(spark, str(path))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from termtide import schemas
 from termtide.functions.urls import is_valid_url
 from termtide.operators.submissions import accepted, outcomes
-from termtide.sources.submissions import parse_messages, read_seen, record_seen
+from termtide.sources.submissions import kafka_options, parse_messages, read_seen, record_seen
 
 START = dt.datetime(2026, 1, 1)
 
@@ -79,3 +79,36 @@ def test_messages_that_are_not_submissions(spark, rows):
         "value string")
     assert rows(outcomes(parse_messages(raw).fillna({"event_id": -1})), "event_id", "outcome") == [
         (-1, "malformed"), (1, "accepted")]
+
+
+def test_one_row_per_submission_whatever_repeats(spark, rows):
+    again = START + dt.timedelta(seconds=9)
+    df = spark.createDataFrame([
+        (1, START, "http://a"), (1, START, "http://b"), (2, again, "http://a"), (2, again, "http://a"),
+        (None, START, "http://c"), (3, None, "http://d"), (4, START, "http://d"),
+        (5, START, "http://e"), (5, START, "http://e"), (None, None, None)], schemas.SUBMISSIONS)
+    assert sorted((str(r.event_id), str(r.url), r.outcome) for r in outcomes(df).collect()) == [
+        ("1", "http://a", "accepted"), ("1", "http://b", "accepted"),
+        ("2", "http://a", "duplicate"), ("2", "http://a", "duplicate"),
+        ("3", "http://d", "accepted"), ("4", "http://d", "duplicate"),
+        ("5", "http://e", "accepted"), ("5", "http://e", "duplicate"),
+        ("None", "None", "malformed"), ("None", "http://c", "accepted")]
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_first_submission_keeps_its_time_and_id(spark, kind):
+    times = ["0001-01-01 00:00:00", "1969-12-31 23:59:59.999999", "9999-12-31 23:59:59.999999"]
+    ids = [-(2**63), 0, 2**63 - 1]
+    df = spark.createDataFrame(
+        [(i, t, f"http://{k}") for k, (i, t) in enumerate(zip(ids, times, strict=True))],
+        "event_id long, ts string, url string").withColumn("ts", F.col("ts").cast(kind))
+    columns = ["event_id", F.col("ts").cast("string"), "url"]
+    found = accepted(df)
+    assert found.schema["ts"].dataType == df.schema["ts"].dataType
+    assert sorted(map(tuple, found.select(*columns).collect())) == sorted(
+        map(tuple, df.select(*columns).collect()))
+
+
+def test_a_topic_is_read_from_its_beginning():
+    assert kafka_options({"subscribe": "t"}) == {"subscribe": "t", "startingOffsets": "earliest"}
+    assert kafka_options({"startingOffsets": "latest"}) == {"startingOffsets": "latest"}

@@ -62,3 +62,10 @@ def test_keep_columns_and_repeats(spark, rows):
     df = texts(spark, "one one", "two")
     got = tokens(df, keep=["doc_id"]).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
     assert rows(got) == [(0, "one", 2), (1, "two", 1)]
+
+
+def test_marks_belong_to_words(spark):
+    # Written out, not taken from the pattern: decomposed accents and vowel signs.
+    text = "cafe\u0301s \u0939\u093f\u0928\u094d\u0926\u0940 nai\u0308ve l'e\u0301te\u0301"
+    found = [r.word for r in tokens(spark.createDataFrame([(text,)], "text string")).collect()]
+    assert found == text.split()
