@@ -56,6 +56,8 @@ _ADDRESS = re.compile(
     rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:{_DOT}[A-Za-z0-9_%+-]++){{0,4}}{_AT}"
     rf"[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++", re.I)
 _ADDRESS_PART = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
+# Ends of addresses whose "at" and "dot" are bare words, as they are in prose too.
+_ENDS = frozenset("com org net edu gov info biz io co us uk de fr es eu ch nl be".split())
 # A written-out or bracketed "at"; texts without it skip the pattern for addresses.
 _HAS_AT = re.compile(r"[(\[{<]\s?(?:at|@)\s?[)\]}>]|\s@\s|\sat\s", re.I)
 _HAS_DOT = re.compile(r"[(\[{<]\s?(?:dot|\.)\s?[)\]}>]|\sdot\s", re.I)
@@ -163,12 +165,21 @@ def spelled_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def address_edits(text: str) -> list[tuple[int, int, str]]:
-    """"at" and "dot" in what is an address once they are signs."""
+    """"at" and "dot" in what is an address once they are signs. A bare "at" needs a disguised dot
+    and a common end beside it."""
     if not (_HAS_AT.search(text) or "@" in text and _HAS_DOT.search(text)):
         return []
-    return [(p.start(), p.end(), "@" if p.lastgroup == "at" else ".")
-            for m in _ADDRESS.finditer(text)
-            for p in _ADDRESS_PART.finditer(text, m.start(), m.end()) if len(p[0]) > 1]
+    edits = []
+    for m in _ADDRESS.finditer(text):
+        parts = list(_ADDRESS_PART.finditer(text, m.start(), m.end()))
+        at = next(i for i, p in enumerate(parts) if p.lastgroup == "at")
+        if parts[at][0].strip().lower() == "at" and not (
+                any(len(p[0]) > 1 for p in parts[at + 1:])
+                and text[parts[-1].end():m.end()].lower() in _ENDS):
+            continue
+        edits += [(p.start(), p.end(), "@" if p.lastgroup == "at" else ".")
+                  for p in parts if len(p[0]) > 1]
+    return edits
 
 
 def luhn(digits: str) -> bool:
