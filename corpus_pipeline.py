@@ -33,8 +33,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token_ids, n_tokens, and the text as decoded from the ids."""
     path, pattern = queries.vocabulary()
-    encoded = bpe.encode(docs.select("doc_id", "text"), path, pattern).drop("text")
-    return bpe.decode(encoded, path).select(
+    return bpe.round_trip(docs.select("doc_id", "text"), path, pattern).select(
         "doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"),
         F.col("decoded").cast("string").alias("text"))
 

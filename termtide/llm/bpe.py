@@ -12,7 +12,6 @@ import base64
 import heapq
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql import types as T
 
 # Distinct pre-tokens and words that a worker remembers before it starts anew; bounds memory,
 # not results.
-CACHE = 400_000
+CACHE = 600_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -109,14 +108,8 @@ class RankQueue:
         return tuple(ids)
 
 
-def encode_piece(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> tuple[int, ...]:
-    """Token ids of one pre-token."""
-    whole = ranks.get(piece)
-    return queue.merge(piece, ranks) if whole is None else (whole,)
-
-
 class Encoder:
-    """Encodes texts, remembering the ids of pre-tokens and of words.
+    """Encodes texts, remembering the ids of pre-tokens and of words, as 32-bit integers.
 
     A space between two characters that are not white space always begins a pre-token, so
     what lies between such spaces is encoded on its own and remembered.
@@ -130,46 +123,73 @@ class Encoder:
         self.queue = RankQueue(max(ranks.values(), default=0))
         self.pieces, self.words = memory
 
-    def ids(self, text: str) -> list[int]:
-        """Ids by the pattern alone."""
-        ids: list[int] = []
-        for piece in self.find(text):
-            known = self.pieces.get(piece)
-            if known is None:
-                known = self.pieces[piece] = encode_piece(piece.encode(), self.ranks, self.queue)
-            ids += known
-        return ids
-
-    def __call__(self, text: str) -> array:
-        if len(self.words) > CACHE:
-            self.words.clear()
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
+    def piece(self, piece: str) -> bytes:
+        known = self.pieces.get(piece)
+        if known is None:
+            data = piece.encode()
+            whole = self.ranks.get(data)
+            ids = self.queue.merge(data, self.ranks) if whole is None else (whole,)
+            known = self.pieces[piece] = array("i", ids).tobytes()
+        return known
+
+    def by_pattern(self, text: str) -> bytes:
+        return b"".join(map(self.piece, self.find(text)))
+
+    def word(self, word: str) -> bytes | None:
+        """Ids of a space and a word; None next to other white space, where the pattern needs
+        its surroundings. Letters alone are one pre-token, a comma or full stop after them another.
+        """
+        if word.isalpha():
+            return self.piece(" " + word)
+        if word[-1:] in (",", ".") and word[:-1].isalpha():
+            return self.piece(" " + word[:-1]) + self.piece(word[-1])
+        if not word or word[0].isspace() or word[-1].isspace():
+            return None
+        return self.by_pattern(" " + word)
+
+    def __call__(self, text: str) -> bytes:
+        for memory in (self.words, self.pieces):
+            if len(memory) > CACHE:
+                memory.clear()
         first, *rest = text.split(" ")
+        if rest and (not first or first[-1].isspace()):
+            return self.by_pattern(text)
         words = self.words
         for word in set(rest).difference(words):
-            # None: next to other white space, where the pattern needs its surroundings.
-            alone = word and not word[0].isspace() and not word[-1].isspace()
-            words[word] = tuple(self.ids(" " + word)) if alone else None
+            words[word] = self.word(word)
         try:
-            if rest and (not first or first[-1].isspace()):
-                return array("i", self.ids(text))
-            return array("i", chain(self.ids(first), chain.from_iterable(map(words.__getitem__, rest))))
-        except TypeError:
-            return array("i", self.ids(text))
+            return self.by_pattern(first) + b"".join(map(words.__getitem__, rest))
+        except TypeError:  # a None among them
+            return self.by_pattern(text)
+
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Small batches: ids take several times the memory of their text."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
 
-def _lists(ids: list[array]) -> pa.ListArray:
+
+def _lists(ids: list[bytes]) -> pa.ListArray:
     offsets = np.zeros(len(ids) + 1, np.int32)
-    np.cumsum([len(x) for x in ids], out=offsets[1:])
-    values = np.concatenate([np.frombuffer(x, np.int32) for x in ids if x] or [np.empty(0, np.int32)])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+    np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
+    return pa.ListArray.from_arrays(
+        pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+
 
+def _with_columns(df: DataFrame, columns: dict[str, T.DataType]) -> T.StructType:
+    if clash := columns.keys() & set(df.columns):
+        raise ValueError(f"the input already has {', '.join(sorted(clash))}")
+    return T.StructType([*df.schema.fields, *(T.StructField(*c) for c in columns.items())])
 
-def _with_column(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    if name in df.columns:
-        raise ValueError(f"the input already has a column {name}")
-    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+
+_IDS = T.ArrayType(T.IntegerType())
+
+
+def _encoder(df: DataFrame, ranks_path: str, pattern: str):
+    # The two dictionaries are a worker's memory, which lives as long as its copy of the broadcast.
+    shared = df.sparkSession.sparkContext.broadcast((read_ranks(ranks_path), ({}, {})))
+    return lambda: Encoder(shared.value[0], pattern, shared.value[1])
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
@@ -181,18 +201,21 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     column of ``df`` yet. The vocabulary is read by the driver and broadcast; its size is that
     of the file, whatever the data.
     """
-    # The two dictionaries are a worker's memory, which lives as long as its copy of the broadcast.
-    shared = df.sparkSession.sparkContext.broadcast((read_ranks(ranks_path), ({}, {})))
+    make = _encoder(df, ranks_path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, memory = shared.value
-        encoder = Encoder(ranks, pattern, memory)
-        for batch in batches:
-            ids = [encoder(t) if t else array("i") for t in batch.column(text).to_pylist()]
+        encoder = make()
+        for batch in _parts(batches):
+            ids = [encoder(t) if t else b"" for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids)],
                                              names=[*batch.schema.names, output])
 
-    return df.mapInArrow(run, _with_column(df, output, T.ArrayType(T.IntegerType())))
+    return df.mapInArrow(run, _with_columns(df, {output: _IDS}))
+
+
+def _tokens(df: DataFrame, ranks_path: str):
+    return df.sparkSession.sparkContext.broadcast(
+        {rank: token for token, rank in read_ranks(ranks_path).items()})
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids",
@@ -201,25 +224,39 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids",
 
     The result is binary, since ids need not end at a character. An unknown id raises.
     """
-    tokens = {rank: token for token, rank in read_ranks(ranks_path).items()}
-    table = df.sparkSession.sparkContext.broadcast(tokens)
+    tokens = _tokens(df, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = table.value.__getitem__
-        for batch in batches:
-            decoded = [None if x is None else b"".join(map(token, x.values.to_numpy().tolist()))
-                       for x in (v if v.is_valid else None for v in batch.column(ids))]
+        token = tokens.value.__getitem__
+        for batch in _parts(batches):
+            decoded = [b"".join(map(token, x.values.to_pylist())) if x.is_valid else None
+                       for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())],
                                              names=[*batch.schema.names, output])
 
-    return df.mapInArrow(run, _with_column(df, output, T.BinaryType()))
+    return df.mapInArrow(run, _with_columns(df, {output: T.BinaryType()}))
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
+               output: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """``decode(encode(df))`` in one pass: both columns, without the ids' way out and back."""
+    make, tokens = _encoder(df, ranks_path, pattern), _tokens(df, ranks_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, token = make(), tokens.value.__getitem__
+        for batch in _parts(batches):
+            ids = [encoder(t) if t else b"" for t in batch.column(text).to_pylist()]
+            texts = [b"".join(map(token, memoryview(x).cast("i"))) for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, _lists(ids), pa.array(texts, pa.binary())],
+                names=[*batch.schema.names, output, decoded])
+
+    return df.mapInArrow(run, _with_columns(df, {output: _IDS, decoded: T.BinaryType()}))
 
 
 def digests(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids and of the bytes decoded from them."""
-    encoded = encode(df.select("doc_id", "text"), ranks_path, pattern).drop("text")
-    both = decode(encoded, ranks_path)
-    return both.select(
+    return round_trip(df.select("doc_id", "text"), ranks_path, pattern).select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256)
