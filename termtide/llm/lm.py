@@ -44,8 +44,8 @@ _SCORED = ("uid long, doc_id long, held_out boolean, n_tokens long, known long,
 
 
 def words(text: Column) -> Column:
-    """The words of a text and the end mark, as binary; null counts as empty."""
-    every = F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+")
+    """The words of a text, their case as it is, and the end mark; null counts as empty."""
+    every = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")
     return F.concat(F.filter(every, lambda w: w != ""), F.array(F.lit(END.decode())))
 
 
@@ -55,8 +55,8 @@ def tail_of(word: bytes) -> int:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (binary), c: over all rows of ``docs`` (text), the end marks included."""
-    counted = docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(
-        F.count("*").alias("c"))
+    each = docs.select(F.explode(words(F.col("text"))).alias("word"))
+    counted = each.groupBy(ascii_lower(F.col("word")).alias("word")).agg(F.count("*").alias("c"))
     return written(counted.select(F.col("word").cast("binary").alias("word"), "c"), "lm-counts")
 
 
@@ -78,21 +78,29 @@ class Vocabulary:
         for word, n in zip(names[:known], c, strict=False):
             self.tail_tokens[tail_of(word)] -= n
             self.tail_types[tail_of(word)] -= 1
-        # Word to (network id, count); the end mark always has an id.
-        self.ids = {w: (i if i < known else known + tail_of(w), n)
-                    for i, (w, n) in enumerate(zip(names, c, strict=True))}
+        # Words by place, and by place their network id and log10 (count + 1).
+        self.place = {w: i for i, w in enumerate(names)}
+        self.ids = np.array([*range(known), *(known + tail_of(w) for w in names[known:])], np.int32)
+        self.logs = np.log10(np.asarray(c, float) + 1)
         self.known = known
         self.layout = gru.Layout(np.asarray(c[:known], float), TAILS, self.tail_tokens)
-        self.end = self.ids[END][0] if END in self.ids else known + tail_of(END)
+        self.end = int(self.ids[self.place[END]]) if END in self.place else known + tail_of(END)
         self.base_log = math.log10(self.tokens + self.types + 1)
         # In a tail class all unseen words together count as one type, as they do in the base.
         self.tail_log = np.log10(self.tail_tokens + self.tail_types + 1)
 
-    def encode(self, text: str | None) -> np.ndarray:
-        get, known = self.ids.get, self.known
-        return np.array([e[0] if (e := get(w)) else known + tail_of(w)
-                         for w in (text or "").encode("utf-8", "surrogatepass").lower().split()],
-                        np.int32)
+    def look_up(self, text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The words of a text and the end mark, their places (-1: not held) and network ids."""
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # only A to Z change
+        words.append(END)
+        get = self.place.get
+        places = np.array([get(w, -1) for w in words], np.int32)
+        if not len(self.ids):
+            return words, places, np.array([self.known + tail_of(w) for w in words], np.int32)
+        ids = self.ids[places]
+        for i in np.flatnonzero(places < 0):
+            ids[i] = self.known + tail_of(words[i])
+        return words, places, ids
 
 
 def _groups(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary
@@ -100,7 +108,7 @@ def _groups(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary
     docs, size = [], 0
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            docs.append(vocabulary.encode(text))
+            docs.append(vocabulary.look_up(text)[2][:-1])
             size += len(docs[-1]) + 1
             if size >= GROUP:
                 yield docs
@@ -154,36 +162,24 @@ def _scorer(shared):
         vocabulary, values = shared.value
         model = gru.Model(vocabulary.layout)
         model.load(values)
-        known, log10, ln10 = vocabulary.known, math.log10, math.log(10)
-        part, number = TaskContext.get().partitionId(), 0
-        tail_log = vocabulary.tail_log.tolist()
+        known, part, number = vocabulary.known, TaskContext.get().partitionId(), 0
         for batch in batches:
             docs, columns = [], {name: [] for name in ("n", "known", "base", "inside", "rare")}
             for text in batch.column("text").to_pylist():
-                tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                ids, seen, base, inside = [], 0, 0.0, 0.0
-                rare: Counter[bytes] = Counter()
-                for word in (*tokens, END):
-                    entry = vocabulary.ids.get(word)
-                    if entry is None:
-                        rare[word] += 1
-                        tail = tail_of(word)
-                        ids.append(known + tail)
-                        inside -= tail_log[tail]
-                        continue
-                    seen += 1
-                    i, c = entry
-                    ids.append(i)
-                    log = log10(c + 1)
-                    base += log
-                    if i >= known:
-                        inside += log - tail_log[i - known]
-                docs.append(np.array(ids[:-1], np.int32))
+                words, places, ids = vocabulary.look_up(text)
+                held = places >= 0
+                base = vocabulary.logs[places[held]].sum()
+                # Within a tail class the counts decide; those of rare words are added later.
+                tails = ids[ids >= known] - known
+                inside = vocabulary.logs[places[held & (ids >= known)]].sum()
+                rare = Counter([words[i] for i in np.flatnonzero(~held)])
+                docs.append(ids[:-1])
                 for name, value in zip(columns, (
-                        len(ids), seen, base - len(ids) * vocabulary.base_log, inside,
+                        len(ids), int(held.sum()), base - len(ids) * vocabulary.base_log,
+                        inside - vocabulary.tail_log[tails].sum(),
                         [{"word": w, "m": m} for w, m in rare.items()]), strict=True):
                     columns[name].append(value)
-            logs = gru.score(model, docs, vocabulary.end) / ln10
+            logs = gru.score(model, docs, vocabulary.end) / math.log(10)
             uids = np.arange(number, number + len(docs)) + (part << 36)
             number += len(docs)
             rare_type = pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int32())]))

@@ -1,0 +1,64 @@
+import html
+import re
+import time
+
+import duckdb
+import pytest
+
+from termtide.llm.extraction import extract, main_text
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_given_pages_have_the_text_of_their_article():
+    pages = duckdb.sql(f"SELECT html FROM '{SF}/pages.parquet'").fetchall()
+    for (page,) in pages:
+        article = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
+        blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split())
+                  for b in re.split(r"</?(?:p|h1)>", article))
+        assert main_text(page) == "\n".join(b for b in blocks if b)
+
+
+SOUP = """<html><body><div id="top"><a href=/>Home</a> <a href=/b>News</a></div><div class="wrap">
+<div class="content"><h2>Title here</h2><p>First long paragraph with words enough to be dense &amp;
+fine, it goes on and on for a while.</p><p>Short.</p><blockquote>Quoted text that is long enough to be
+something.</blockquote><div class="ad-box">Buy now</div><ul><li>one thing<li>two things</ul>
+<p>Last &lt;para> of text with <a href=x>a link</a> and more words than before.</p></div>
+<div class="right"><a>Link one</a><a>Link two</a><a>Link three</a></div></div><div id=comments><p>I am a
+reader with a long comment about the text above and I go on and on about it.</p></div>
+<form><p>Name</p></form><script>if (a < b) "</div>"</script></body></html>"""
+
+
+def test_a_page_without_an_article_element():
+    assert main_text(SOUP).split("\n") == [
+        "Title here", "First long paragraph with words enough to be dense & fine, it goes on and on "
+        "for a while.", "Short.", "Quoted text that is long enough to be something.", "one thing",
+        "two things", "Last <para> of text with a link and more words than before."]
+
+
+@pytest.mark.parametrize("page, text", [
+    (None, ""), ("", ""), ("plain text", "plain text"), ("<p>a<b>b</p>c &nbsp; d", "ab\nc d"),
+    ("<p title='a>b'>first", "first"), ("<article><p>a<script>b", "a"), ("<!-- x", ""),
+    ("<nav>menu</nav><p>text</p><footer>end</footer>", "text"), ("<p>a<br>b</p>", "a b"),
+    ("<article><header><h1>T</h1></header><p>x</p><aside>side</aside></article>", "T\nx"),
+    ("<p>1 < 2 & 3</p>", "1 < 2 & 3"), ("<div hidden>no</div><p>yes</p>", "yes"),
+    ("<table><tr><td>a<td>b</table>", "a\nb"), ("<p>x<p>y<div>z", "x\ny\nz")])
+def test_small_pages(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize("piece", ["<script>x", "<!--", "<a ", "<p>", "<div>", "<", "&", "<a '", "<b>x"])
+def test_long_broken_pages_take_linear_time(piece):
+    started = time.monotonic()
+    main_text(piece * (500_000 // len(piece)))
+    assert time.monotonic() - started < 10
+
+
+def test_rows(spark):
+    df = spark.createDataFrame(
+        [(1, "u", "<p>x</p>", "t"), (1, "u", "<p>x</p>", "t"), (None, None, None, None)],
+        "page_id long, url string, html string, text string")
+    found = extract(df)
+    assert found.columns == [*df.columns, "main_text"]
+    assert sorted(r.main_text for r in found.collect()) == ["", "x", "x"]
+    assert extract(df.where("false")).collect() == []

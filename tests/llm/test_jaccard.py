@@ -1,0 +1,108 @@
+import random
+import re
+from itertools import combinations
+
+import pytest
+
+from termtide.llm import jaccard
+from termtide.llm.components import components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def shingles(text):
+    words = WORD.findall((text or "").translate(LOWER))
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def brute(rows):
+    """(n_shingles, component_id) per row, from all pairs."""
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, j in combinations(range(len(rows)), 2):
+        if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            a, b = group[i], group[j]
+            group = [a if g == b else g for g in group]
+    ids = {}
+    for g, (doc_id, _) in zip(group, rows, strict=True):
+        if doc_id is not None:
+            ids[g] = min(doc_id, ids.get(g, doc_id))
+    return [(d, len(s), ids.get(g)) for (d, _), s, g in zip(rows, sets, group, strict=True)]
+
+
+def key(row):
+    return tuple((x is None, x) for x in row)
+
+
+def check(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.join(df).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=key) == sorted(brute(rows), key=key)
+    kept = jaccard.first_of_groups(df).collect()
+    expected = brute(rows)
+    wordless = sum(n == 0 for _, n, _ in expected)
+    groups = {(c, None) if c is not None else (None, shingles(t))
+              for (_, n, c), (_, t) in zip(expected, rows, strict=True) if n}
+    assert len(kept) == wordless + len(groups)
+
+
+def corpus(seed=3, n=40):
+    random.seed(seed)
+    vocabulary = [f"w{i}" for i in range(300)]
+    passage = [random.choice(vocabulary) for _ in range(60)]
+    rows = []
+    for _ in range(n):
+        words = [random.choice(vocabulary) for _ in range(random.randint(3, 120))]
+        if random.random() < 0.4:  # a passage that many documents share
+            at = random.randint(0, len(words))
+            words[at:at] = passage
+        rows.append(words)
+        for _ in range(random.randint(0, 3)):  # copies with a few edits
+            copy = list(rows[-1])
+            for _ in range(random.randint(0, 4)):
+                copy[random.randrange(len(copy))] = random.choice(vocabulary)
+            rows.append(copy)
+    texts = [" ".join(w) for w in rows]
+    random.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_against_all_pairs(spark):
+    check(spark, corpus())
+
+
+def test_blocks_of_large_clusters(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 150)
+    check(spark, corpus(seed=8))
+
+
+def test_frequent_shingles_come_last(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LOCAL_LEAST", 3)
+    monkeypatch.setattr(jaccard, "LOCAL_SHARE", 0.0)
+    check(spark, corpus(seed=11))
+
+
+def test_unusual_rows(spark):
+    check(spark, [
+        (3, None), (4, ""), (5, " \t\n"), (6, "one"), (7, "ONE"), (8, "one two"), (9, "é É"),
+        (10, "é É"), (None, "one two"), (None, None), (None, "alone in the null world"),
+        (11, "long " * 30000), (12, "Long " * 20000), (12, "long " * 20000)])
+
+
+def test_empty_table_and_other_columns(spark, documents):
+    assert jaccard.join(documents()).collect() == []
+    df = documents("a b c d e f", "a b c d e f", "other words of a text here")
+    kept = jaccard.first_of_groups(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
+@pytest.mark.parametrize("edges, expected", [
+    ([], {}), ([(1, 1)], {}), ([(5, 2), (2, 5), (7, 5)], {2: 2, 5: 2, 7: 2}),
+    ([(i, i + 1) for i in range(60)], {i: 0 for i in range(61)}),
+    ([(0, i) for i in range(1, 40)] + [(100, 99)], {i: 0 for i in range(40)} | {99: 99, 100: 99})])
+def test_components(spark, edges, expected):
+    found = components(spark.createDataFrame(edges, "u long, v long"))
+    assert {r.node: r.component for r in found.collect()} == expected

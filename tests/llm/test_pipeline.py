@@ -1,0 +1,103 @@
+"""The pipeline on small tables, every stage against a brute-force version."""
+
+from collections import Counter
+
+import duckdb
+import pytest
+import tiktoken
+
+import corpus_pipeline
+from termtide.llm import bpe, oracles, pii
+from termtide.llm.queries import vocabulary
+from tests.llm.test_jaccard import brute
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def rows(df):
+    return Counter(map(repr, df.collect()))
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """Input and output of every stage, written and read again."""
+    folder = tmp_path_factory.mktemp("stages")
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    odd = spark.createDataFrame(
+        [(900, None, "en", "src1", None), (901, "", None, None, 0), (902, "12 34", "en", "src1", 5),
+         (None, "the of and is to in", "en", "src2", 19), (903, "mail a@b.example.com the of", "en", "src2", 27)],
+        docs.schema)
+    found = {}
+    docs = docs.union(odd).union(odd)
+    for name, stage in corpus_pipeline.STAGES:
+        docs.write.parquet(f"{folder}/before-{name}")
+        before = spark.read.parquet(f"{folder}/before-{name}")
+        docs = stage(spark, before, SF_DIR)
+        found[name] = before, docs
+    return found
+
+
+def test_order_and_columns(stages):
+    assert list(stages) == ["language_id", "near_copies", "personal_data", "source_mix", "token_ids"]
+    for before, after in list(stages.values())[:-1]:
+        assert after.columns == before.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_language_keeps_all_texts_with_words(stages):
+    before, after = stages["language_id"]
+    assert rows(after) == rows(before.where("text RLIKE '[A-Za-z]'"))
+
+
+def test_one_document_of_every_group_stays(stages):
+    before, after = stages["near_copies"]
+    found = brute([(r.doc_id, r.text) for r in before.collect()])
+    smallest = {c for _, n, c in found}
+    assert sorted(r.doc_id for r in after.collect() if r.doc_id is not None) == sorted(
+        smallest - {None})
+    assert not rows(after) - rows(before)
+
+
+def test_personal_data_is_replaced(stages):
+    before, after = stages["personal_data"]
+    expected = Counter()
+    for r in before.collect():
+        text = pii.redact(r.text)
+        expected[r.doc_id, text, len(text)] += 1
+    assert Counter((r.doc_id, r.text, r.n_chars) for r in after.collect()) == expected
+    assert "<EMAIL>" in "".join(t for _, t, _ in expected)
+
+
+def test_mix_takes_rows_as_sql_does(stages, tmp_path):
+    before, after = stages["source_mix"]
+    before.write.parquet(f"{tmp_path}/docs")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW docs AS SELECT * FROM '{tmp_path}/docs/*.parquet'")
+    taken = con.sql(f"WITH {oracles.source_mix('docs')} SELECT doc_id, text, repeats FROM mixed")
+    expected = Counter()
+    for doc_id, text, repeats in taken.fetchall():
+        expected[doc_id, text] += repeats
+    assert Counter((r.doc_id, r.text) for r in after.collect()) == +expected
+
+
+def test_token_ids(stages):
+    path, pattern = vocabulary()
+    reference = tiktoken.Encoding(
+        "own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    before, after = stages["token_ids"]
+    texts = Counter((r.doc_id, r.text) for r in before.collect())
+    assert Counter((r.doc_id, r.text) for r in after.collect()) == texts
+    for r in after.collect():
+        assert r.token_ids == reference.encode_ordinary(r.text) and r.n_tokens == len(r.token_ids)
+
+
+def test_run_is_the_stages_one_after_another(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF_DIR)
+    assert rows(corpus_pipeline.run(spark, SF_DIR)) == rows(docs)
+
+
+def test_empty_documents(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").where("false")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
