@@ -9,7 +9,7 @@ terms, which an edit elsewhere leaves alone.
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,25 +20,27 @@ from termtide.llm.common import ascii_lower, written
 # (distinct terms per document) / BAND[0] terms can be in it, whatever the corpus.
 BAND = (0.001, 0.01)
 # (cells, subsets): the lexicon is cut into so many random cells, the first of which are subsets.
-LEVELS = ((8, 8), (32, 16), (128, 16), (1024, 16))
+LEVELS = ((32, 16), (128, 16), (1024, 16))
 SUBSETS = sum(subsets for _, subsets in LEVELS)
 WIDTH = 8
 NONE = "-" * WIDTH
 # Subsets that a level must have terms in for its share to count in full.
 LEAST = 4
-# A larger lexicon is joined by shuffle.
+# A larger lexicon is joined by shuffle; a smaller one is a hash table of so many places.
 BROADCAST_TERMS = 2_000_000
+PLACES = 1 << 16
 # Documents per run of ascending ids, which one task orders; and the most runs there are.
 RUN, MOST_RUNS = 500, 4096
 
 
 def terms(text: Column) -> Column:
     """Distinct words, A to Z in lower case; the empty string stands for a text without words."""
-    return F.array_distinct(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"))
+    every = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")
+    return F.array_distinct(F.transform(every, ascii_lower))
 
 
 def lexicon(df: DataFrame, text: str = "text") -> tuple[DataFrame, bool]:
-    """(term_hash of the terms in the band over all rows of ``df``, whether it can be broadcast).
+    """(term_hash of the terms in the band over all rows of ``df``, whether it is small enough for every task).
 
     Counts are by 64-bit hash of the term, summed in the tasks before the shuffle. The empty string
     belongs to it, so that every document has a row in the join with it.
@@ -53,30 +55,34 @@ def lexicon(df: DataFrame, text: str = "text") -> tuple[DataFrame, bool]:
     return found, found.count() <= BROADCAST_TERMS
 
 
-def subset_mask(term: Column) -> Column:
-    """Bits of the subsets that the term belongs to."""
-    digest, bits, first = F.md5(term.cast("binary")), [], 0
-    for i, (cells, subsets) in enumerate(LEVELS):
-        cell = F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long") % cells
-        bits.append(F.when(cell < subsets, F.call_function(
-            "shiftleft", F.lit(1).cast("long"), (cell + first).cast("int"))).otherwise(0))
-        first += subsets
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+def cells(term: Column) -> list[Column]:
+    """The cell that the term falls in, for every level."""
+    digest = F.md5(term.cast("binary"))
+    return [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long") % n
+            for i, (n, _) in enumerate(LEVELS)]
+
 
+def subset_texts(own: list[Column]) -> Column:
+    """For every subset its terms, joined. ``own`` has for every level the sorted (cell, term) of
+    the terms in a subset."""
+    def joined(level: Column, i: Column) -> Column:
+        return F.array_join(F.transform(
+            F.filter(level, lambda t: t["cell"] == i), lambda t: t["term"]), " ")
 
-def fingerprint_of(own: Column, text_hash: Column) -> Column:
-    """Fingerprint from an array of (term, mask). Without terms in the lexicon, a text's own hash
-    takes its place."""
-    ordered = F.sort_array(own)
+    def texts(level: Column, subsets: int) -> Column:
+        # Two uses of the column keep Spark from making it anew for every subset.
+        every = F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda i: joined(level, i))
+        return F.when(F.size(level) == 0, F.array_repeat(F.lit(""), subsets)).otherwise(every)
 
-    def part(i: Column) -> Column:
-        chosen = F.filter(ordered, lambda t: F.getbit(t["mask"], i) == 1)
-        return F.when(F.size(chosen) == 0, NONE).otherwise(F.substring(F.md5(
-            F.array_join(F.transform(chosen, lambda t: t["term"]), " ").cast("binary")), 1, WIDTH))
+    return F.concat(*(texts(level, n) for level, (_, n) in zip(own, LEVELS, strict=True)))
 
-    parts = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), part)
-    return F.when(F.size(own) == 0, F.concat(F.lit("="), text_hash)).otherwise(
-        F.array_join(parts, ""))
+
+def fingerprint_of(texts: Column, known: Column, text_hash: Column) -> Column:
+    """Fingerprint from the texts of the subsets. Without ``known`` terms in the lexicon, a
+    text's own hash takes its place."""
+    parts = F.transform(texts, lambda t: F.when(t == "", NONE).otherwise(
+        F.left(F.md5(t.cast("binary")), F.lit(WIDTH))))
+    return F.when(known == 0, F.concat(F.lit("="), text_hash)).otherwise(F.array_join(parts, ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -97,14 +103,62 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(whole, 0.0).otherwise(F.greatest(*shares)).cast("double")
 
 
+def _membership(lexicon_terms: DataFrame):
+    """A function from a term to whether it is in the lexicon: a constant hash table, whose size
+    is that of the lexicon, at most ``BROADCAST_TERMS``."""
+    places: list[list[int]] = [[] for _ in range(PLACES)]
+    for value in lexicon_terms.toArrow().column(0).to_pylist():
+        places[value % PLACES].append(value)
+    # Made a constant by the optimizer, once.
+    table = F.from_json(F.lit(json.dumps(places, separators=(",", ":"))), "array<array<bigint>>")
+
+    def contains(term: Column) -> Column:
+        value = F.xxhash64(term)
+        return F.array_contains(F.get(table, F.pmod(value, F.lit(PLACES)).cast("int")), value)
+
+    return contains
+
+
+def _in_place(rows: DataFrame, keys: list[str], texts: list[str],
+              lexicon_terms: DataFrame) -> DataFrame:
+    """``fingerprints`` without moving rows, for a lexicon that fits in every task."""
+    contains = _membership(lexicon_terms)
+    hashes = [F.md5(F.col(name).cast("binary")).alias(f"hash_{i}") for i, name in enumerate(texts)]
+    kept = rows.select(*keys, *hashes, *(
+        F.filter(terms(F.col(name)), lambda t: (t != "") & contains(t)).alias(f"kept_{i}")
+        for i, name in enumerate(texts)))
+
+    def marked(i: int) -> Column:
+        return F.transform(f"kept_{i}", lambda t: F.struct(
+            t.alias("term"), *(c.alias(f"cell_{k}") for k, c in enumerate(cells(t)))))
+
+    every = kept.select("*", *(marked(i).alias(f"marked_{i}") for i in range(len(texts))))
+
+    def level(i: int, k: int) -> Column:
+        chosen = F.filter(f"marked_{i}", lambda t: t[f"cell_{k}"] < LEVELS[k][1])
+        return F.sort_array(F.transform(chosen, lambda t: F.struct(
+            t[f"cell_{k}"].alias("cell"), t["term"].alias("term"))))
+
+    levels = range(len(LEVELS))
+    split = every.select("*", *(
+        level(i, k).alias(f"own_{i}_{k}") for i in range(len(texts)) for k in levels))
+    return split.select(*keys, *(
+        fingerprint_of(subset_texts([F.col(f"own_{i}_{k}") for k in levels]),
+                       F.size(f"kept_{i}"), F.col(f"hash_{i}")).alias(name)
+        for i, name in enumerate(texts)))
+
+
 def fingerprints(rows: DataFrame, keys: list[str], texts: list[str], found: tuple[DataFrame, bool],
                  ) -> DataFrame:
     """keys, and for every column of ``texts`` its fingerprint under the same name.
 
-    ``keys`` identify a row. Null texts count as empty. Rows partitioned by some of the keys stay
-    where they are: the terms are joined with the broadcast lexicon and gathered in place.
+    ``keys`` identify a row. Null texts count as empty. With a small lexicon rows stay where they
+    are; otherwise their terms are joined with it and gathered again.
     """
+    rows = rows.withColumns({name: F.coalesce(name, F.lit("")) for name in texts})
     lexicon_terms, small = found
+    if small:
+        return _in_place(rows, keys, texts, lexicon_terms)
 
     def numbered(i: int, name: str) -> Column:
         return F.transform(terms(F.col(name)), lambda t: F.struct(
@@ -118,13 +172,25 @@ def fingerprints(rows: DataFrame, keys: list[str], texts: list[str], found: tupl
     exploded = rows.select(*keys, *hashes, F.explode(each).alias("t")).select(
         *keys, *(f"hash_{i}" for i in range(len(texts))), "t.v", "t.term",
         F.xxhash64("t.term").alias("term_hash"))
-    kept = exploded.join(F.broadcast(lexicon_terms) if small else lexicon_terms, "term_hash")
-    entry = F.struct("term", subset_mask(F.col("term")).alias("mask"))
-    gathered = kept.groupBy(*keys, *(f"hash_{i}" for i in range(len(texts)))).agg(*(
-        F.collect_list(F.when((F.col("v") == i) & (F.col("term") != ""), entry)).alias(f"own_{i}")
-        for i in range(len(texts))))
+    kept = exploded.join(lexicon_terms, "term_hash")
+    placed = kept.select(
+        *keys, *(f"hash_{i}" for i in range(len(texts))), "v", "term",
+        *(c.alias(f"cell_{level}") for level, c in enumerate(cells(F.col("term")))))
+
+    def gather(i: int) -> list[Column]:
+        is_own = (F.col("v") == i) & (F.col("term") != "")
+        lists = [
+            F.sort_array(F.collect_list(F.when(
+                is_own & (F.col(f"cell_{level}") < subsets),
+                F.struct(F.col(f"cell_{level}").alias("cell"), "term")))).alias(f"own_{i}_{level}")
+            for level, (_, subsets) in enumerate(LEVELS)]
+        return [*lists, F.count_if(is_own).alias(f"known_{i}")]
+
+    gathered = placed.groupBy(*keys, *(f"hash_{i}" for i in range(len(texts)))).agg(
+        *(c for i in range(len(texts)) for c in gather(i)))
     return gathered.select(*keys, *(
-        fingerprint_of(F.col(f"own_{i}"), F.col(f"hash_{i}")).alias(name)
+        fingerprint_of(subset_texts([F.col(f"own_{i}_{level}") for level in range(len(LEVELS))]),
+                       F.col(f"known_{i}"), F.col(f"hash_{i}")).alias(name)
         for i, name in enumerate(texts)))
 
 
