@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from termtide.llm.common import parts
+
 # Distinct pre-tokens and words that a worker remembers before it starts anew; bounds memory,
 # not results.
 CACHE = 600_000
@@ -163,13 +165,6 @@ class Encoder:
             return self.by_pattern(text)
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Small batches: ids take several times the memory of their text."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, rows):
-            yield batch.slice(lo, rows)
-
-
 def _lists(ids: list[bytes]) -> pa.ListArray:
     offsets = np.zeros(len(ids) + 1, np.int32)
     np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
@@ -205,7 +200,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make()
-        for batch in _parts(batches):
+        for batch in parts(batches):
             ids = [encoder(t) if t else b"" for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids)],
                                              names=[*batch.schema.names, output])
@@ -228,7 +223,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = tokens.value.__getitem__
-        for batch in _parts(batches):
+        for batch in parts(batches):
             decoded = [b"".join(map(token, x.values.to_pylist())) if x.is_valid else None
                        for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())],
@@ -244,7 +239,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, token = make(), tokens.value.__getitem__
-        for batch in _parts(batches):
+        for batch in parts(batches):
             ids = [encoder(t) if t else b"" for t in batch.column(text).to_pylist()]
             texts = [b"".join(map(token, memoryview(x).cast("i"))) for x in ids]
             yield pa.RecordBatch.from_arrays(

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from termtide.llm.common import parts
+
 # Quoted values may hold ">"; possessive, so an unclosed tag costs no backtracking.
 _TAG = re.compile(
     r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*'|["'])*+)>?"""
@@ -269,7 +271,7 @@ def extract(df: DataFrame, html: str = "html", output: str = "main_text") -> Dat
         raise ValueError(f"the input already has a column {output}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = [main_text(h) for h in batch.column(html).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
                                              names=[*batch.schema.names, output])

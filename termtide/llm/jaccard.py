@@ -29,15 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termtide.llm.common import written
+from termtide.llm.common import parts, written
 from termtide.llm.components import components
 from termtide.llm.shingles import WordHasher, shingle_sets
 
 # Similarity as a fraction, so that the comparison is exact.
 SIMILARITY = (4, 5)
 # Shingles per packed row set, and per bucket; they bound the memory of a task.
-FLUSH = 1_000_000
-PER_BUCKET = 2_000_000
+FLUSH = 500_000
+PER_BUCKET = 1_000_000
 # Shingles in this share of the documents of a flush are counted as candidates for frequent ones;
 # frequent are those in the second share of all documents. There are at most (shingles per
 # document) / HOT_SHARE of them.
@@ -56,19 +56,14 @@ def _flushes(batches: Iterator[pa.RecordBatch], hasher: WordHasher
              ) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Groups of documents ((row, doc_id), sets) with about ``FLUSH`` shingles or fewer than 2**16 rows."""
     ids, sets, size = [], [], 0
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        own = list(zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(),
-                       strict=True))
-        for lo in range(0, len(texts), 200):
-            for doc_id, found in zip(own[lo:lo + 200], shingle_sets(texts[lo:lo + 200], hasher),
-                                     strict=True):
-                ids.append(doc_id)
-                sets.append(found)
-                size += len(found)
-            if size >= FLUSH or len(sets) > 60_000:
-                yield ids, sets
-                ids, sets, size = [], [], 0
+    for batch in parts(batches):
+        ids += zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)
+        found = shingle_sets(batch.column("text").to_pylist(), hasher)
+        sets += found
+        size += sum(map(len, found))
+        if size >= FLUSH or len(sets) > 60_000:
+            yield ids, sets
+            ids, sets, size = [], [], 0
     if sets:
         yield ids, sets
 
@@ -166,6 +161,7 @@ def _shared_in_bucket(bits: int):
         shingles, uids = np.concatenate(shingles), np.concatenate(uids)
         order = np.argsort(shingles, kind="stable")
         shingles, uids = shingles[order], uids[order]
+        del order
         first = np.flatnonzero(np.diff(shingles, prepend=~shingles[:1]))
         counts = np.diff(first, append=len(shingles))
         df = np.repeat(counts, counts)

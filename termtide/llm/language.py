@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termtide.llm.common import slices
+from termtide.llm.common import parts, slices, written
 
 UNKNOWN = "und"
 # A trigram belongs to a language if it makes up this share of its trigrams, and this share of the
@@ -142,7 +142,7 @@ def _counted(letters) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(letters.value).view(bool)
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
+        for batch in parts(batches, 1024):
             labels = np.asarray(batch.column("lang").to_pylist(), object)
             texts = batch.column("text").to_pylist()
             for language in set(labels):
@@ -178,7 +178,7 @@ def learn(labelled: DataFrame, *, min_share: float = MIN_SHARE,
     spark = labelled.sparkSession
     letters = spark.sparkContext.broadcast(letter_table())
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = gram_counts(rows, letters)
+    counts = written(gram_counts(rows, letters), "trigrams")
     # One row a language beside its trigrams; the totals come from the same few counts.
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counts.join(totals, "lang").select(
@@ -206,7 +206,7 @@ def predict(df: DataFrame, filters: Filters, *, text: str = "text", lang: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(letters.value).view(bool)
-        for batch in batches:
+        for batch in parts(batches):
             names, scores = model.value.predict(batch.column(text).to_pylist(), table)
             if drop_rejected:
                 yield batch.filter(pa.array([s > 0 for s in scores], pa.bool_()))

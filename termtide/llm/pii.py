@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from termtide.llm.common import replaced
+from termtide.llm.common import parts, replaced
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -264,7 +264,7 @@ def spans(df: DataFrame, text: str = "text") -> DataFrame:
         raise ValueError("the input already has plain_spans or all_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found = [find(t) if t else ([], []) for t in batch.column(text).to_pylist()]
             arrays = [pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in row[i]]
                                 for row in found], kind) for i in (0, 1)]
@@ -279,7 +279,7 @@ def redacted(df: DataFrame, text: str = "text", n_chars: str | None = None) -> D
     """``df`` with personal data in ``text`` replaced by <EMAIL>, <IP>, <CARD> or <PHONE>; nulls
     stay. ``n_chars`` names a column that gets the new length (null for a null text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = [redact(t) if t else t for t in batch.column(text).to_pylist()]
             batch = replaced(batch, text, pa.array(texts, pa.string()))
             if n_chars:
