@@ -210,12 +210,11 @@ def _run_of(doc_id: Column, splits: list[int]) -> Column:
     return part * width + below(F.get(table, part))
 
 
-def with_next(df: DataFrame) -> DataFrame:
-    """run, at, guest, doc_id, text, next_text: every document with the one after it by doc_id
-    (after the last: the first). Nulls come first, repeated ids are ordered by text.
+def in_runs(df: DataFrame) -> DataFrame:
+    """run, guest and the columns of ``df`` (doc_id, others): rows dealt to runs of ascending ids.
 
-    Ids are cut at quantiles into runs, a task orders the documents of a run, and the first of
-    every run is also the last, as a guest, of the run before. Text is shuffled once.
+    Ids are cut at quantiles into runs, and the rows of the first id of every run are also, as
+    guests, in the run before (of the first run: in the last). Nulls come first.
     """
     rows = df.count()
     runs = max(1, min(MOST_RUNS, rows // RUN))
@@ -241,9 +240,19 @@ def with_next(df: DataFrame) -> DataFrame:
         before = F.get(F.array(*(F.lit(x).cast("int") for x in previous)), run)
     own = F.struct(run.alias("run"), F.lit(False).alias("guest"))
     guest = F.struct(before.alias("run"), F.lit(True).alias("guest"))
-    dealt = df.select("doc_id", "text", F.explode(
+    return df.select("*", F.explode(
         F.when(F.col("doc_id").eqNullSafe(first_id), F.array(own, guest))
-        .otherwise(F.array(own))).alias("r")).select("r.run", "r.guest", "doc_id", "text")
+        .otherwise(F.array(own))).alias("r")).select("r.run", "r.guest", *df.columns)
+
+
+def with_next(df: DataFrame) -> DataFrame:
+    """run, at, guest, doc_id, text, next_text: every document with the one after it by doc_id
+    (after the last: the first). Nulls come first, repeated ids are ordered by text.
+
+    A task orders the documents of a run, and the first of every run is also the last, as a
+    guest, of the run before. Text is shuffled once.
+    """
+    dealt = in_runs(df.select("doc_id", "text"))
     order = Window.partitionBy("run").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
     return dealt.select(
         "*", F.row_number().over(order).alias("at"), F.lead("text").over(order).alias("next_text"))

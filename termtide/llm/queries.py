@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termtide.llm import bpe, extraction, imatch, jaccard, language, lm, mixing, oracles, pii, topk
+from termtide.llm import (
+    bpe, chat, extraction, imatch, jaccard, language, lm, mixing, oracles, pii, topk)
 from termtide.llm.common import crc_bucket, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -40,6 +41,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (remainder == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op5_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_pairs(table(spark, sf_dir, "conversations"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.scaled(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_recurrent_lm": op2_recurrent_lm,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_language_id": op4_language_id,
+    "op5_preference_format": op5_preference_format,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_source_mix": op8_source_mix,
