@@ -27,10 +27,9 @@ from termtide.llm.common import ascii_lower, written
 WORDS, TAILS = 1024, 32
 # Words whose counts every task holds; the counts of rarer ones are joined.
 HELD = 200_000
-# Learning rate of every round, and the share of the training documents that the network learns
-# from, cut into that many parts by a hash of the text. Counts always cover all of them.
+# Learning rate of every round. The training documents are cut into that many parts by a hash of
+# the text, and the network learns from every one of them in its round.
 RATES = (0.01, 0.004)
-TRAIN_SHARE = 0.3
 # Tokens that a task takes together.
 GROUP = 1_000_000
 # Averaged parameters come to the driver in so many parts.
@@ -140,13 +139,16 @@ def _average(rows: pa.Table) -> pa.Table:
                     names=["tokens", "parameters"])
 
 
+def rounds(docs: DataFrame) -> list[DataFrame]:
+    """``docs`` (text) cut into the parts of the rounds; every row is in one of them."""
+    part = F.pmod(F.xxhash64("text"), F.lit(len(RATES)))
+    return [docs.select("text").where(part == i) for i in range(len(RATES))]
+
+
 def train(docs: DataFrame, vocabulary: Vocabulary) -> gru.Model:
-    """The network after one pass over ``TRAIN_SHARE`` of ``docs`` (text), in rounds."""
+    """The network after one pass over all of ``docs`` (text), in rounds."""
     model = gru.Model(vocabulary.layout)
-    share = F.pmod(F.xxhash64("text"), F.lit(10_000))
-    width = TRAIN_SHARE * 10_000 / len(RATES)
-    for i, rate in enumerate(RATES):
-        part = docs.select("text").where((share >= int(i * width)) & (share < int((i + 1) * width)))
+    for rate, part in zip(RATES, rounds(docs), strict=True):
         shared = docs.sparkSession.sparkContext.broadcast((vocabulary, model.flat()))
         found = part.mapInArrow(
             _trainer(shared, rate), "part long, tokens long, parameters binary").groupBy(

@@ -110,6 +110,22 @@ def test_base_scores_and_held_out_gain(spark, monkeypatch, held):
     assert sum(r.score for r in held_out) > sum(r.base_score for r in held_out)
 
 
+def test_the_network_learns_from_every_training_text(spark, monkeypatch):
+    seen, average = [], lm._average
+
+    def recorded(rows):
+        found = average(rows)
+        seen.append(found.column("tokens")[0].as_py())
+        return found
+
+    texts = [(f"text {i} of some",) for i in range(200)] + [("copy",)] * 50 + [(None,), ("",)]
+    training = spark.createDataFrame(texts, "text string")
+    vocabulary = lm.Vocabulary(lm.word_counts(training))
+    monkeypatch.setattr(lm, "_average", recorded)
+    lm.train(training, vocabulary)
+    assert sum(seen) == vocabulary.tokens == 200 * 5 + 50 * 2 + 2
+
+
 def test_probabilities_sum_to_one(spark):
     """Over every next word of a one-word text: known, tail, and one unseen type per class."""
     training = spark.createDataFrame([("a b c a b a",), ("a c d e",)], "text string")
