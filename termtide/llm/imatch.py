@@ -19,8 +19,10 @@ from termtide.llm.common import ascii_lower, written
 # The band, as shares of the documents that have the term: IDF from ln 100 to ln 1000. At most
 # (distinct terms per document) / BAND[0] terms can be in it, whatever the corpus.
 BAND = (0.001, 0.01)
-# (cells, subsets): the lexicon is cut into so many random cells, the first of which are subsets.
-LEVELS = ((32, 16), (128, 16), (1024, 16))
+# (cells, subsets): the lexicon is cut into so many random cells, the first of which are subsets. All
+# cells of the first level are, so that every term is in a subset and only a text without
+# known terms is without any.
+LEVELS = ((8, 8), (32, 16), (128, 16), (1024, 16))
 SUBSETS = sum(subsets for _, subsets in LEVELS)
 WIDTH = 8
 NONE = "-" * WIDTH

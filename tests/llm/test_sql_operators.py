@@ -60,6 +60,16 @@ def test_fingerprints_tell_edits_from_other_texts(spark):
     assert edited > 0.2 and edited > 5 * np.mean([r.near_next for r in rows])
 
 
+def test_short_texts_with_a_known_term_differ(spark, tmp_path):
+    rows = [(i, f"word{i}", "s") for i in range(60)]
+    con = table(spark, tmp_path, "documents", rows, "doc_id long, text string, source string")
+    found = QUERIES["op1_fingerprints"](spark, str(tmp_path))
+    same(found, con.sql(ORACLES["op1_fingerprints"]))
+    found = found.collect()
+    assert len({r.fingerprint for r in found}) == 60
+    assert all(r.fingerprint.strip("-") and r.near_next == 0 for r in found)
+
+
 def test_lexicon_joined_by_shuffle_gives_the_same(spark, tmp_path, monkeypatch):
     con = table(spark, tmp_path, "documents", DOCUMENTS, "doc_id long, text string, source string")
     monkeypatch.setattr(imatch, "BROADCAST_TERMS", 0)
