@@ -41,14 +41,14 @@ DIGIT_WORDS = (
     "zéro un deux trois quatre cinq six sept huit neuf",
     "cero uno dos tres cuatro cinco seis siete ocho nueve")
 _DIGITS = {word: str(i) for words in DIGIT_WORDS for i, word in enumerate(words.split())}
-# Runs of fewer spelled digits are ordinary prose.
+# Runs of fewer digits, spelled or written, are ordinary prose.
 MIN_SPELLED = 4
 
 _WORDS = "|".join(sorted(_DIGITS, key=len, reverse=True))
-_ITEM = rf"(?:{_WORDS})"
+_ITEM = rf"(?:{_WORDS}|[0-9]++)"
 _SPELLED = re.compile(
     rf"(?<!\w)(?:plus[ -])?{_ITEM}(?:(?:[ ,-]{{1,2}}|[ ]?(?:dot|point|punkt|punto|\.)[ ]?){_ITEM})"
-    rf"{{{MIN_SPELLED - 1},}}(?!\w)", re.I)
+    rf"+(?!\w)", re.I)
 _SPELLED_PART = re.compile(rf"plus(?=[ -])|dot|point|punkt|punto|\.|{_ITEM}", re.I)
 _AT = r"(?:\s?[(\[{<]\s?(?:at|@)\s?[)\]}>]\s?|\s(?:at|@)\s|@)"
 _DOT = r"(?:\s?[(\[{<]\s?(?:dot|\.)\s?[)\]}>]\s?|\sdot\s|\.)"
@@ -56,12 +56,13 @@ _ADDRESS = re.compile(
     rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:{_DOT}[A-Za-z0-9_%+-]++){{0,4}}{_AT}"
     rf"[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++", re.I)
 _ADDRESS_PART = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
-# Ends of addresses whose "at" and "dot" are bare words, as they are in prose too.
+# Words before a "dot" that is one in prose, as in "at the dot on the map".
+_PROSE = frozenset("the a an this that these those each every one its his her our your my their".split())
+# Ends of addresses in which only the "at" is disguised, by a bare word.
 _ENDS = frozenset("com org net edu gov info biz io co us uk de fr es eu ch nl be".split())
 # A written-out or bracketed "at"; texts without it skip the pattern for addresses.
 _HAS_AT = re.compile(r"[(\[{<]\s?(?:at|@)\s?[)\]}>]|\s@\s|\sat\s", re.I)
 _HAS_DOT = re.compile(r"[(\[{<]\s?(?:dot|\.)\s?[)\]}>]|\sdot\s", re.I)
-_UNUSUAL = re.compile(r"[^\x00-ɏ]")
 
 
 class _Folds(dict):
@@ -83,6 +84,9 @@ class _Folds(dict):
 
 
 _FOLDS = _Folds({ord(pair[0]): pair[1] for pair in LOOK_ALIKES.split()})
+# What may fold: of the Latin letters and signs, which are frequent, only those that do.
+_UNUSUAL = re.compile("[{}\u0250-\U0010FFFF]".format("".join(
+    re.escape(c) for c in map(chr, range(0x80, 0x250)) if _FOLDS[ord(c)] != c)))
 
 
 class Normalised:
@@ -150,32 +154,44 @@ def fold_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def spelled_edits(text: str) -> list[tuple[int, int, str]]:
-    """Runs of spelled digits, with their separators, as digits."""
+    """Runs of spelled digits, written ones among them, with their separators, as digits."""
     edits = []
     for m in _SPELLED.finditer(text):
         parts = [(p.start(), p.end(), p[0].lower())
                  for p in _SPELLED_PART.finditer(text, m.start(), m.end())]
+        digits = sum(1 if w in _DIGITS else len(w) * w.isdigit() for _, _, w in parts)
+        if digits < MIN_SPELLED or not any(w.isalpha() for _, _, w in parts):
+            continue
         for k, (lo, hi, word) in enumerate(parts):
             end = parts[k + 1][0] if k + 1 < len(parts) else hi
-            new = _DIGITS.get(word) or ("+" if word == "plus" else ".")
-            edits.append((lo, hi, new))
+            new = word if word.isdigit() else _DIGITS.get(word) or (
+                "+" if word == "plus" else ".")
+            if new != word:
+                edits.append((lo, hi, new))
             if end > hi:
                 edits.append((hi, end, ""))
     return edits
 
 
+def _is_address(text: str, m: re.Match, parts: list[re.Match], at: int) -> bool:
+    """Whether a match with a bare "at" is an address rather than prose."""
+    end = text[parts[-1].end():m.end()].lower()
+    if any(len(p[0]) > 1 for p in parts[at + 1:]):
+        first = text[parts[at].end():parts[at + 1].start()].lower()
+        return len(end) > 1 and end.isalpha() and first not in _PROSE
+    return not text[m.start():parts[at].start()].isalpha() and end in _ENDS
+
+
 def address_edits(text: str) -> list[tuple[int, int, str]]:
-    """"at" and "dot" in what is an address once they are signs. A bare "at" needs a disguised dot
-    and a common end beside it."""
+    """"at" and "dot" in what is an address once they are signs. A bare "at" needs beside it a
+    disguised dot and an end of letters, or else a name that is no plain word and a common end."""
     if not (_HAS_AT.search(text) or "@" in text and _HAS_DOT.search(text)):
         return []
     edits = []
     for m in _ADDRESS.finditer(text):
         parts = list(_ADDRESS_PART.finditer(text, m.start(), m.end()))
         at = next(i for i, p in enumerate(parts) if p.lastgroup == "at")
-        if parts[at][0].strip().lower() == "at" and not (
-                any(len(p[0]) > 1 for p in parts[at + 1:])
-                and text[parts[-1].end():m.end()].lower() in _ENDS):
+        if parts[at][0].strip().lower() == "at" and not _is_address(text, m, parts, at):
             continue
         edits += [(p.start(), p.end(), "@" if p.lastgroup == "at" else ".")
                   for p in parts if len(p[0]) > 1]

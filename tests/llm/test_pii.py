@@ -63,6 +63,22 @@ def test_clean_texts(text):
     assert pii.find(text) == ([], []) and pii.redact(text) == text
 
 
+@pytest.mark.parametrize("text, kind, found", [
+    ("card 4111\u00a01111\u00a01111\u00a01111.", "card", "4111\u00a01111\u00a01111\u00a01111"),
+    ("call +49\u00a030\u00a01234567 now", "phone", "+49\u00a030\u00a01234567"),
+    ("se\u00adcret@ex\u00adample.org", "email", "se\u00adcret@ex\u00adample.org"),
+    ("+49 30 ¹²³⁴⁵⁶⁷", "phone", "+49 30 ¹²³⁴⁵⁶⁷"),
+    *((f"write anna at posta dot {end}, please", "email", f"anna at posta dot {end}")
+      for end in ("it", "pl", "ca", "ru", "au", "in", "museum")),
+    ("write jane.doe at example.com.", "email", "jane.doe at example.com"),
+    ("+49 30 one two three 4 5 6 7", "phone", "+49 30 one two three 4 5 6 7"),
+    ("4111 one one one one 1111 1 one 11", "card", "4111 one one one one 1111 1 one 11"),
+    ("host 192 dot 168 dot 1 dot 20", "ip", "192 dot 168 dot 1 dot 20")])
+def test_disguises_of_every_kind_and_end(text, kind, found):
+    base, every = pii.find(text)
+    assert base == [] and [(k, text[a:b]) for k, a, b in every] == [(kind, found)]
+
+
 def test_plain_spans_stay_and_are_not_found_twice():
     text = "a@b.cc and x [at] y [dot] zz а 1.2.3.4"
     base, every = pii.find(text)
