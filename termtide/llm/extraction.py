@@ -60,6 +60,8 @@ OTHER_WORDS = frozenset(
     "related recommended share sharing social newsletter subscribe signup login widget".split())
 # Names that hold the article itself, whatever their class.
 KEPT = frozenset("html body article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+RUNNING = frozenset("p blockquote pre".split())
 MOSTLY_LINKS = 0.6
 
 
@@ -67,7 +69,7 @@ class Page:
     """The tree of a page: arrays by node in document order, a parent before its children."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.other = ["#root"], [0], [False]
+        self.tag, self.parent, self.other, self.named = ["#root"], [0], [False], [False]
         self.texts: list[tuple[int, int, str]] = []  # node, block, text
         self._parse(html)
 
@@ -129,7 +131,9 @@ class Page:
                 close_nearest(("p",), _P_SCOPE)
             self.tag.append(name)
             self.parent.append(stack[-1])
-            self.other.append(self._is_other(name, m[3], open_tags))
+            other, named = self._is_other(name, m[3], open_tags)
+            self.other.append(other)
+            self.named.append(named)
             if name in RAW:
                 lower = html.lower() if lower is None else lower
                 if len(lower) != len(html):  # a letter whose lower case is longer
@@ -144,19 +148,42 @@ class Page:
         text(at, len(html))
 
     @staticmethod
-    def _is_other(name: str, attributes: str, open_tags: dict[str, int]) -> bool:
+    def _is_other(name: str, attributes: str, open_tags: dict[str, int]) -> tuple[bool, bool]:
+        """Whether the node is not the article by tag, role or style, and by a word of its name."""
         if name in OTHER_TAGS or name == "header" and not open_tags.get("article"):
-            return True
+            return True, False
         if not attributes.strip() or name in KEPT:
-            return False
+            return False, False
+        named = False
         for key, *values in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values).lower()
             if (key == "hidden" or key == "aria-hidden" and value == "true"
                     or key == "role" and value in OTHER_ROLES
-                    or key in ("class", "id") and not OTHER_WORDS.isdisjoint(_NAME.findall(value))
                     or key == "style" and "display:none" in value.replace(" ", "")):
-                return True
-        return False
+                return True, False
+            if key in ("class", "id") and not OTHER_WORDS.isdisjoint(_NAME.findall(value)):
+                named = True
+        return False, named
+
+    def _marks(self, last: list[int]) -> list[bool]:
+        """The nodes that are not the article. A name does not count on a node with most of the
+        text; with an article on the page only if the article is in the node or around it."""
+        marks = [a or b for a, b in zip(self.other, self.named, strict=True)]
+        if not any(self.named):
+            return marks
+        hidden, chars = self._hidden(self.other), [0] * len(marks)
+        for node, _, text in self.texts:
+            if not hidden[node]:
+                chars[node] += len(text.strip())
+        for i in range(len(marks) - 1, 0, -1):
+            chars[self.parent[i]] += chars[i]
+        articles = [i for i, tag in enumerate(self.tag)
+                    if tag in ("article", "main") and not hidden[i] and chars[i]]
+        for i, named in enumerate(self.named):
+            if named and 2 * chars[i] > chars[0] and (not articles or any(
+                    i <= a <= last[i] or a <= i <= last[a] for a in articles)):
+                marks[i] = False
+        return marks
 
     def _last(self) -> list[int]:
         """For every node the last node of its subtree."""
@@ -180,10 +207,11 @@ class Page:
         return "\n".join(line for line in lines if line)
 
     def main_text(self) -> str:
-        hidden = self._hidden(self.other)
+        last = self._last()
+        hidden = self._hidden(self._marks(last))
         if not any(t.strip() and not hidden[node] for node, _, t in self.texts):
             hidden = self._hidden([tag in OTHER_TAGS for tag in self.tag])
-        n, parent, last = len(self.tag), self.parent, self._last()
+        n, parent = len(self.tag), self.parent
         chars, links = [0] * n, [0] * n  # in the subtree; in links
         tags, link_tags = [0] * n, [0] * n  # below the node
         in_link = [tag == "a" for tag in self.tag]
@@ -219,7 +247,9 @@ class Page:
         while i != root:
             i = parent[i]
             threshold = min(threshold, density[i])
-        top = self._around(root, best, threshold, density, sums, last)
+        prose = [chars[i] > 0 and not hidden[i] and links[i] <= MOSTLY_LINKS * chars[i]
+                 for i in range(n)]
+        top = self._around(root, best, threshold, density, sums, last, prose)
         drop = list(hidden)
         for i in range(top + 1, last[top] + 1):
             if (self.tag[i] in BLOCK and link_tags[i] > 1
@@ -239,8 +269,10 @@ class Page:
         return 0
 
     def _around(self, root: int, best: int, threshold: float, density: list[float],
-                sums: list[float], last: list[int]) -> int:
-        """The smallest subtree around the best subtrees of all nodes that are dense enough."""
+                sums: list[float], last: list[int], prose: list[bool]) -> int:
+        """The smallest subtree around the best subtrees of all nodes that are dense enough, a node
+        without children being its own. In an article or main element the headings before the
+        best node, and running text beside the path to it, belong to them whatever their length."""
         # The best node of every subtree, bottom up; ties to the first in page order.
         top = list(range(len(sums)))
         for i in range(last[root], root, -1):
@@ -251,8 +283,17 @@ class Page:
         lo = hi = best
         for i in range(root, last[root] + 1):
             dense[i] = density[i] >= threshold > 0 and (i == root or dense[self.parent[i]])
-            if dense[i] and sums[top[i]] > 0:
+            if dense[i] and (sums[top[i]] > 0 or prose[i]):
                 lo, hi = min(lo, top[i]), max(hi, last[top[i]])
+        if root:
+            path, i = {best}, best
+            while i != root:
+                i = self.parent[i]
+                path.add(i)
+            for i in range(root + 1, last[root] + 1):
+                if prose[i] and (self.tag[i] in HEADINGS and i < best
+                                 or self.tag[i] in RUNNING and self.parent[i] in path):
+                    lo, hi = min(lo, i), max(hi, last[i])
         while not (lo <= last[lo] and last[lo] >= hi) and lo != root:
             lo = self.parent[lo]
         return lo

@@ -47,6 +47,24 @@ def test_small_pages(page, text):
     assert main_text(page) == text
 
 
+BODY = [f"Sentence {i} of the body of this page, long enough to be running text." for i in range(8)]
+PARAGRAPHS = "".join(f"<p>{line}</p>" for line in BODY)
+
+
+@pytest.mark.parametrize("page, lines", [
+    (f"<body><article><h1>Title</h1><p>Lead</p><div class=body>{PARAGRAPHS}</div>"
+     "<p>The end.</p></article><div><a href=x>More</a></div></body>",
+     ["Title", "Lead", *BODY, "The end."]),
+    (f"<body><ul><li><a href=a>Home</a></ul><div class='has-sidebar'><h1>Title</h1>{PARAGRAPHS}"
+     "</div></body>", ["Title", *BODY]),
+    (f"<body><article class=x><div class='no-comments entry-header'><div>{PARAGRAPHS}</div></div>"
+     "<div class=comments><p>First!</p></div></article></body>", BODY),
+    (f"<body><main><p>Short text.</p></main><div class=comments>{PARAGRAPHS}</div></body>",
+     ["Short text."])])
+def test_blocks_beside_the_body_and_names_of_wrappers(page, lines):
+    assert main_text(page) == "\n".join(lines)
+
+
 @pytest.mark.parametrize("piece", ["<script>x", "<!--", "<a ", "<p>", "<div>", "<", "&", "<a '", "<b>x"])
 def test_long_broken_pages_take_linear_time(piece):
     started = time.monotonic()
