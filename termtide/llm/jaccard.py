@@ -175,11 +175,13 @@ def _shared_in_bucket(bits: int):
     return run
 
 
-def shared_shingles(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def shared_shingles(df: DataFrame, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, shared): one row per document (uid, row, doc_id, n, set_hash, frequent) and one
-    per document and shingle that other documents have too (uid, shingle, df)."""
+    per document and shingle that other documents have too (uid, shingle, df). ``row`` names a
+    column with a number for every row of ``df``."""
     spark = df.sparkSession
-    texts = df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    texts = df.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"),
+                      "doc_id", "text")
     counted = written(texts.mapInArrow(_count_frequent, "shingle long, docs long")
                       .groupBy("shingle").agg(F.sum("docs").alias("docs")), "jaccard-frequent")
     total = counted.where("shingle IS NULL").agg(F.sum("docs")).first()[0] or 0
@@ -404,9 +406,9 @@ def class_links(rows: DataFrame) -> DataFrame:
     return found if large.isEmpty() else found.union(_large_links(rows, large))
 
 
-def _labelled(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _labelled(df: DataFrame, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with words: row, doc_id, n, class_id, component, component_id; all documents)."""
-    documents, shared = shared_shingles(df)
+    documents, shared = shared_shingles(df, row)
     rows = written(candidates(documents, shared), "jaccard-candidates")
     found = components(class_links(rows))
     classes = documents.where("n > 0").groupBy("set_hash").agg(
@@ -440,20 +442,20 @@ def join(df: DataFrame) -> DataFrame:
 def first_of_groups(df: DataFrame) -> DataFrame:
     """The rows of ``df`` without those that the smallest doc_id of their component stands for.
 
-    Of repeated rows with that id the first stays. Rows without words stay. ``df`` must
-    give the same rows in the same partitions each time it is read, as a table does: rows to
-    leave out are known by their place, so text is not shuffled for it. The list of them is
-    broadcast up to ``BROADCAST_ROWS`` and joined by shuffle beyond.
+    Of repeated rows with that id the first stays. Rows without words stay. ``df`` is written
+    once, with a number for every row, by which rows to leave out are known: it may come in other
+    partitions each time it is read. The list of them is broadcast up to ``BROADCAST_ROWS`` and
+    joined by shuffle beyond.
     """
-    rows, _ = _labelled(df)
-    rows = written(rows.select("row", "doc_id", "component", "component_id"), "jaccard-components")
-    kept = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(
-        F.min("row").alias("kept"))
     place = "row"
     while place.lower() in (c.lower() for c in df.columns):
         place += "_"
+    placed = written(df.withColumn(place, F.monotonically_increasing_id()), "jaccard-rows")
+    rows, _ = _labelled(placed, place)
+    rows = written(rows.select("row", "doc_id", "component", "component_id"), "jaccard-components")
+    kept = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(
+        F.min("row").alias("kept"))
     dropped = written(rows.join(kept, "component").where("row <> kept").select(
         F.col("row").alias(place)), "jaccard-dropped")
     small = dropped.count() <= BROADCAST_ROWS
-    placed = df.withColumn(place, F.monotonically_increasing_id())
     return placed.join(F.broadcast(dropped) if small else dropped, place, "left_anti").drop(place)

@@ -106,3 +106,30 @@ def test_empty_table_and_other_columns(spark, documents):
 def test_components(spark, edges, expected):
     found = components(spark.createDataFrame(edges, "u long, v long"))
     assert {r.node: r.component for r in found.collect()} == expected
+
+
+def test_rows_that_come_in_other_partitions_when_read_again(spark, tmp_path, monkeypatch):
+    path, write = str(tmp_path / "docs.parquet"), jaccard.written
+    for i in range(8):
+        rows = [(8 * k + i, f"text {k} is the same in every file of this table", "x")
+                for k in range(3)]
+        spark.createDataFrame(rows[i % 3:] + rows[:i % 3], "doc_id long, text string, row string"
+                              ).coalesce(1).write.mode("append").parquet(path)
+    conf = "spark.sql.files.openCostInBytes"
+    before = {c: spark.conf.get(c, None) for c in (conf, "spark.sql.files.minPartitionNum")}
+
+    def written(df, purpose):
+        found = write(df, purpose)
+        if purpose == "jaccard-components":
+            spark.conf.set(conf, "0")
+            spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        return found
+
+    monkeypatch.setattr(jaccard, "written", written)
+    spark.conf.set(conf, "1g")
+    try:
+        found = jaccard.first_of_groups(spark.read.parquet(path)).collect()
+    finally:
+        for c, value in before.items():
+            spark.conf.unset(c) if value is None else spark.conf.set(c, value)
+    assert sorted(r.doc_id for r in found) == [0, 8, 16]
