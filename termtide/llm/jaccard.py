@@ -391,15 +391,22 @@ def _large_links(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return first.union(second)
 
 
+def _tasks(weight: int, parallelism: int) -> int:
+    """Groups for small clusters that hold ``weight`` shingles: about ``BLOCK`` each at most."""
+    return max(16 * parallelism, -(-weight // BLOCK))
+
+
 def class_links(rows: DataFrame) -> DataFrame:
     """u, v: links between classes that connect all that any link connects."""
     rows = written(clusters(rows), "jaccard-clusters")
-    sizes = rows.groupBy("cluster").agg(F.sum(F.size("shingles")).alias("weight"))
+    sizes = written(rows.groupBy("cluster").agg(F.sum(F.size("shingles")).alias("weight")),
+                    "jaccard-weights")
     large = written(sizes.where(F.col("weight") > BLOCK).select(
         "cluster", F.ceil(F.col("weight") / BLOCK).alias("blocks")), "jaccard-sizes")
     small = rows.join(large, "cluster", "left_anti")
-    # Many small clusters to a task group; a group never holds more than their share.
-    tasks = 16 * rows.sparkSession.sparkContext.defaultParallelism
+    # Many small clusters to a task group, whose size does not grow with the corpus.
+    weight = sizes.where(F.col("weight") <= BLOCK).agg(F.sum("weight")).first()[0] or 0
+    tasks = _tasks(weight, rows.sparkSession.sparkContext.defaultParallelism)
     found = _compare(small.select(
         "*", F.pmod(F.xxhash64("cluster"), F.lit(tasks)).alias("task"), F.col("uid").alias("label"),
         F.lit(True).alias("left")))

@@ -133,3 +133,9 @@ def test_rows_that_come_in_other_partitions_when_read_again(spark, tmp_path, mon
         for c, value in before.items():
             spark.conf.unset(c) if value is None else spark.conf.set(c, value)
     assert sorted(r.doc_id for r in found) == [0, 8, 16]
+
+
+def test_groups_of_small_clusters_do_not_grow_with_the_corpus():
+    for weight in (0, 1, jaccard.BLOCK, 10_000 * jaccard.BLOCK + 1):
+        tasks = jaccard._tasks(weight, 4)
+        assert tasks >= 64 and weight <= tasks * jaccard.BLOCK
