@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termtide.llm import (
-    bpe, chat, extraction, imatch, jaccard, language, lm, mixing, oracles, pii, topk)
+    bpe, chat, extraction, imatch, jaccard, language, lm, mixing, oracles, pii, spelling, topk)
 from termtide.llm.common import crc_bucket, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -85,6 +85,12 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.size("all_spans") - F.size("plain_spans")).cast("long").alias("n_added"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.counted_runs(
+        table(spark, sf_dir, "documents"), min_chars=6, min_count=5, drop_one_in=199)
+    return spelling.variants(words, factor=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_recurrent_lm": op2_recurrent_lm,
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_main_text": op9_main_text,
     "op10_personal_data": op10_personal_data,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
