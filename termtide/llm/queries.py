@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termtide.llm import (
-    bpe, chat, extraction, imatch, jaccard, language, lm, mixing, oracles, pii, spelling, topk)
+    alignment, bpe, chat, extraction, imatch, jaccard, language, lm, mixing, oracles, pii, spelling,
+    topk)
 from termtide.llm.common import crc_bucket, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -91,6 +92,17 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(words, factor=5)
 
 
+def aligned_vocabularies() -> tuple[str, str]:
+    """Paths of the public vocabularies A and B that op12 aligns."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(table(spark, sf_dir, "documents"), *aligned_vocabularies())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_recurrent_lm": op2_recurrent_lm,
@@ -103,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_main_text": op9_main_text,
     "op10_personal_data": op10_personal_data,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
 }
 
 ORACLES: dict[str, str] = {
