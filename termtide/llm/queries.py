@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from termtide.llm import (
     alignment, bpe, chat, extraction, imatch, jaccard, language, lm, mixing, oracles, pii, spelling,
-    topk)
+    topk, toxicity)
 from termtide.llm.common import crc_bucket, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -103,6 +103,14 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digests(table(spark, sf_dir, "documents"), *aligned_vocabularies())
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(crc_bucket("doc_id", 5) > 0)
+    model = toxicity.learn(documents, labels)
+    return toxicity.score(documents, model).select(
+        "doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_recurrent_lm": op2_recurrent_lm,
@@ -116,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_personal_data": op10_personal_data,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLES: dict[str, str] = {
