@@ -163,6 +163,12 @@ def top(table: str, by: str = "n", where: str = "true") -> tuple[str, str]:
 ITEMS = ("items", "SELECT word AS text, CAST(least(score, 2147483647) AS INTEGER) AS size FROM top")
 
 
+# The end of the first hundredth of the events' time.
+EARLY = ("span", """
+    SELECT min(ts) + to_microseconds((epoch_us(max(ts)) - epoch_us(min(ts))) // 100) AS middle
+    FROM events""")
+
+
 def oracle_sql() -> dict[str, str]:
     documents = words("documents", "text", "doc_id,")
     submitted = SUBMITTED + words("submitted", "description")
@@ -218,9 +224,7 @@ def oracle_sql() -> dict[str, str]:
         "q24_document_terms": with_(
             stems + [top("stem_counts", where=f"n >= {threshold('stem_counts')}")],
             "SELECT word, score FROM top"),
-        "q26_accepted_with_history": with_(OUTCOMES + [("span", """
-            SELECT min(ts) + to_microseconds((epoch_us(max(ts)) - epoch_us(min(ts))) // 100) AS middle
-            FROM events""")],
+        "q26_accepted_with_history": with_(OUTCOMES + [EARLY],
             """SELECT url, ts FROM outcomes, span
                WHERE outcome = 'accepted' AND ts >= middle"""),
         "q27_outcomes_unchecked": with_(OUTCOMES, """
@@ -231,6 +235,9 @@ def oracle_sql() -> dict[str, str]:
             chain + [top("stem_counts", where=f"n >= {threshold('stem_counts')}"), ITEMS],
             "SELECT text, size FROM items"),
         "q29_snapshot_after_empty_batch": with_(items, "SELECT text, size FROM items"),
+        "q30_late_pages": with_(chain, "SELECT word, n FROM stem_counts"),
+        "q31_stream_with_history": with_(OUTCOMES + [EARLY], """
+            SELECT url, ts FROM outcomes, span WHERE outcome = 'accepted' AND ts >= middle"""),
         "q25_document_terms_cms": with_(
             stems + sketch(FINE_EPS, "stem_counts")
             + [top("estimates", "est", f"est >= {threshold('stem_counts')}")],

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termtide import workspace
+from termtide import schemas, workspace
 from termtide.operators.counts import merge_counts, stem_counts, total_words, word_counts
 from termtide.operators.descriptions import descriptions, submitted_descriptions
 from termtide.operators.display import display_sizes, unique_spellings
@@ -21,7 +21,7 @@ from termtide.sizing import spread
 from termtide.sources.pages import save_descriptions
 from termtide.sources.snapshots import read_snapshot, snapshot_json, write_snapshot
 from termtide.sources.submissions import read_seen, record_seen, stream_submissions
-from termtide.streaming import job
+from termtide.streaming import arrivals, job
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -291,3 +291,49 @@ def q29_snapshot_after_empty_batch(spark: SparkSession, sf_dir: str) -> DataFram
     write_snapshot(top, path)
     write_snapshot(top.where("false"), path)
     return before.unionByName(read_snapshot(spark, path))
+
+
+def _arrivals(session: SparkSession, feed: str, pages: str, path: str, checkpoint: str,
+              seen: DataFrame | None = None) -> None:
+    """Let the stream take what lies in the folders ``feed`` and ``pages``, and stop."""
+    rows = arrivals.arrivals(
+        stream_submissions(session, feed), session.readStream.schema(schemas.PAGES).parquet(pages),
+        seen, container=CONTAINER)
+    arrivals.save_arrivals(rows, path, checkpoint, trigger={"availableNow": True}).awaitTermination()
+
+
+@query
+def q30_late_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other page comes after all submissions, every third of the others before them; both jobs
+    are stopped in between."""
+    feed, pages, path, out, first, second = (workspace.fresh_dir(spark, p) for p in (
+        "in", "pages", "arrivals", "counts", "checkpoint", "checkpoint"))
+    session = job.streaming_session(spark)
+    table = session.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    early = (F.col("page_id") % 2 == 0) & (F.col("page_id") % 3 == 0)
+    late = F.col("page_id") % 2 == 1
+    submissions = _batch_submissions(session, sf_dir)
+    for some, events in ((early, submissions.where("false")), (~early & ~late, submissions),
+                         (late, submissions.where("false"))):
+        table.where(some).write.mode("append").parquet(pages)
+        events.write.mode("append").parquet(feed)
+        _arrivals(session, feed, pages, path, first)
+        _run(arrivals.running_stems_of_arrivals(session, path), job.write_counts(out), second, "complete")
+    return job.read_counts(spark, out, stems=False).where("word IS NOT NULL")
+
+
+@query
+def q31_stream_with_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All but the first hundredth of the events as a stream in two runs, the state seeded with the URLs
+    recorded in that hundredth."""
+    feed, pages, path, checkpoint, seen = (workspace.fresh_dir(spark, p) for p in (
+        "in", "pages", "arrivals", "checkpoint", "seen"))
+    session = job.streaming_session(spark)
+    earlier, later = _event_parts(session, sf_dir, 100)
+    record_seen(accepted(earlier), seen)
+    half = later.agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2")).scalar()
+    session.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").write.parquet(pages)
+    for part in (later.where(F.col("ts") < half), later.where(F.col("ts") >= half)):
+        part.write.mode("append").parquet(feed)
+        _arrivals(session, feed, pages, path, checkpoint, read_seen(session, seen))
+    return arrivals.accepted_arrivals(spark, path)

@@ -43,26 +43,10 @@ def streaming_session(spark: SparkSession, state_partitions: int | None = None)
     return session
 
 
-def accepted_urls(submissions: DataFrame, *, check_duplicates: bool = True,
-                  forget_after: str | None = None) -> DataFrame:
-    """The accepted URLs of a stream. Received and malformed messages are counted in the
-    progress of the query, as the metric ``submissions``.
-
-    Deduplication has no partial stage, so every task first drops its own repeats: a URL that makes
-    up a third of the stream reaches its state partition about once per task. With ``forget_after``,
-    such as ``"30 days"``, state is bounded by event time: an older URL is accepted again, and a
-    submission that comes later than that behind the newest one is dropped, as whether it was
-    seen is no longer known. The progress of the query counts those as numRowsDroppedByWatermark.
-    """
-    marked = submissions.select("ts", "url", is_valid_url(F.col("url")).alias("valid"))
-    valid = marked.observe(
-        "submissions", F.count("*").alias("received"),
-        F.count_if(~F.col("valid")).alias("malformed")).where("valid")
-    if not check_duplicates:
-        return valid.select("url")
+def first_per_task(valid: DataFrame, kept: str = "min") -> DataFrame:
+    """``ts, url`` without the repeats that a task sees, as far as it remembers; ``kept`` is ``min`` or
+    ``max`` of the times of a URL."""
     remembered = SENT
-    # The newest submission of a URL may be in time where an older one is late.
-    kept = "max" if forget_after else "min"
 
     # A local function, so that it is shipped to the executors by value.
     def first_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,8 +64,28 @@ def accepted_urls(submissions: DataFrame, *, check_duplicates: bool = True,
                         for t, u, is_new in zip(times, urls, new, strict=True) if is_new)
             yield from own.filter(pa.array(new, pa.bool_())).to_batches()
 
-    narrow = valid.select("ts", "url")
-    first = narrow.mapInArrow(first_in_task, narrow.schema)
+    return valid.mapInArrow(first_in_task, valid.schema)
+
+
+def accepted_urls(submissions: DataFrame, *, check_duplicates: bool = True,
+                  forget_after: str | None = None) -> DataFrame:
+    """The accepted URLs of a stream. Received and malformed messages are counted in the
+    progress of the query, as the metric ``submissions``.
+
+    Deduplication has no partial stage, so every task first drops its own repeats: a URL that makes
+    up a third of the stream reaches its state partition about once per task. With ``forget_after``,
+    such as ``"30 days"``, state is bounded by event time: an older URL is accepted again, and a
+    submission that comes later than that behind the newest one is dropped, as whether it was
+    seen is no longer known. The progress of the query counts those as numRowsDroppedByWatermark.
+    """
+    marked = submissions.select("ts", "url", is_valid_url(F.col("url")).alias("valid"))
+    valid = marked.observe(
+        "submissions", F.count("*").alias("received"),
+        F.count_if(~F.col("valid")).alias("malformed")).where("valid")
+    if not check_duplicates:
+        return valid.select("url")
+    # The newest submission of a URL may be in time where an older one is late.
+    first = first_per_task(valid.select("ts", "url"), "max" if forget_after else "min")
     if forget_after:
         first = first.withWatermark("ts", forget_after).dropDuplicatesWithinWatermark(["url"])
         return first.select("url")

@@ -1,0 +1,107 @@
+import datetime as dt
+
+import pytest
+
+from termtide import schemas
+from termtide.operators.submissions import accepted
+from termtide.plans.top_terms import top_terms_of_submissions
+from termtide.sources.snapshots import read_top_words
+from termtide.streaming import arrivals, job
+
+NOW = {"availableNow": True}
+START = dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc)
+
+
+def page(text):
+    return f'<div id="productDescription"><p>{text}</p></div>'
+
+
+class Feeds:
+    """Folders of submissions and pages, to which every call of ``run`` adds a file each."""
+
+    def __init__(self, spark, folder):
+        self.session = job.streaming_session(spark, state_partitions=2)
+        self.folder, self.events = str(folder), 0
+
+    def run(self, urls=(), pages=(), seen=None):
+        rows = []
+        for url in urls:
+            self.events += 1
+            rows.append((self.events, START + dt.timedelta(seconds=self.events), url))
+        for name, data, schema in (("in", rows, schemas.SUBMISSIONS), ("pages", list(pages), schemas.PAGES)):
+            self.session.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(
+                f"{self.folder}/{name}")
+        read = self.session.readStream
+        stream = arrivals.arrivals(
+            read.schema(schemas.SUBMISSIONS).parquet(f"{self.folder}/in"),
+            read.schema(schemas.PAGES).parquet(f"{self.folder}/pages"),
+            None if seen is None else self.session.createDataFrame([(u,) for u in seen], schemas.SEEN))
+        query = arrivals.save_arrivals(
+            stream, f"{self.folder}/out", f"{self.folder}/checkpoint", trigger=NOW)
+        query.awaitTermination()
+        return query
+
+    def described(self):
+        rows = self.session.read.schema(arrivals.ARRIVALS).parquet(f"{self.folder}/out")
+        return sorted(tuple(r) for r in rows.where("kind = 'described'").select(
+            "url", "description").collect())
+
+    def accepted(self):
+        return sorted(r.url for r in arrivals.accepted_arrivals(
+            self.session, f"{self.folder}/out").collect())
+
+
+@pytest.fixture
+def feeds(spark, tmp_path):
+    return Feeds(spark, tmp_path)
+
+
+def test_a_page_may_come_before_with_or_after_its_url(feeds):
+    first = feeds.run(["http://late", "http://both", "bad", None, "http://late"],
+                      [(1, "http://both", page("both")), (2, "http://early", page("old"))])
+    metrics = [p.observedMetrics["submissions"] for p in first.recentProgress
+               if "submissions" in p.observedMetrics]
+    assert sum(m.received for m in metrics) == 5 and sum(m.malformed for m in metrics) == 2
+    assert feeds.accepted() == ["http://both", "http://late"]
+    assert feeds.described() == [("http://both", "both")]
+    feeds.run([], [(4, "http://early", page("new")), (3, "http://early", page("older")),
+                   (9, "http://early", "<p>no container</p>"), (5, None, page("x"))])
+    feeds.run(["http://early", "http://late", "http://never"], [(6, "http://both", page("again"))])
+    assert feeds.described() == [("http://both", "both"), ("http://early", "new")]
+    # Batches after its URL, and after two restarts; a second page changes nothing.
+    feeds.run([], [(7, "http://late", page("at last"))])
+    feeds.run(["http://late"], [(8, "http://late", page("too late"))])
+    assert feeds.described() == [
+        ("http://both", "both"), ("http://early", "new"), ("http://late", "at last")]
+    assert feeds.accepted() == ["http://both", "http://early", "http://late", "http://never"]
+
+
+def test_history_seeds_the_state_and_outlives_restarts(feeds, spark):
+    seen = ["http://old", "http://old", None]
+    pages = [(i, f"http://{n}", page(n)) for i, n in enumerate(["old", "new", "newer"])]
+    feeds.run(["http://old", "http://new"], pages, seen)
+    feeds.run(["http://old", "http://new", "http://newer"], [], seen)
+    assert feeds.accepted() == ["http://new", "http://newer"]
+    assert feeds.described() == [("http://new", "new"), ("http://newer", "newer")]
+    # The next stream, or a batch, knows all of them.
+    known = arrivals.new_seen(
+        spark, f"{feeds.folder}/out", spark.createDataFrame([("http://old",)], schemas.SEEN))
+    again = spark.createDataFrame(
+        [(i, START, u) for i, u in enumerate(["http://old", "http://newer", "http://other"])],
+        schemas.SUBMISSIONS)
+    assert [r.url for r in accepted(again, known).collect()] == ["http://other"]
+
+
+def test_running_words_of_arrivals_equal_the_batch(feeds, spark, tmp_path, rows):
+    pages = [(1, "http://u1", page("Motoring motors")), (2, "http://u2", page("the speaker motor")),
+             (3, "http://u3", page("speakers and bars")), (4, "http://none", "<p>x</p>"),
+             (5, "http://u4", page(""))]
+    urls = ["http://u1", "bad", "http://u2", "http://u1", "http://none", "http://u3", "http://u4"]
+    for submitted, some in ((urls[:4], pages[3:]), (urls[4:], []), ([], pages[:3])):
+        feeds.run(submitted, some)
+        stems = arrivals.running_stems_of_arrivals(feeds.session, f"{feeds.folder}/out")
+        job.start(stems, job.publish_top(str(tmp_path / "top")), str(tmp_path / "words"), trigger=NOW,
+                  mode="update").awaitTermination()
+    batch = spark.createDataFrame([(i, START, u) for i, u in enumerate(urls)], schemas.SUBMISSIONS)
+    assert rows(read_top_words(spark, str(tmp_path / "top"))) == rows(
+        top_terms_of_submissions(batch, spark.createDataFrame(pages, schemas.PAGES)))
