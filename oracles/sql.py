@@ -236,6 +236,11 @@ def oracle_sql() -> dict[str, str]:
             "SELECT text, size FROM items"),
         "q29_snapshot_after_empty_batch": with_(items, "SELECT text, size FROM items"),
         "q30_late_pages": with_(chain, "SELECT word, n FROM stem_counts"),
+        "q32_sketch_candidates": with_(
+            documents + sketch(FINE_EPS),
+            f"SELECT word, n, est FROM estimates WHERE n >= {threshold('counts')}"),
+        "q33_stream_sketch": with_(
+            chain + sketch(params.EPS, "stem_counts"), "SELECT r, b, c FROM cells"),
         "q31_stream_with_history": with_(OUTCOMES + [EARLY], """
             SELECT url, ts FROM outcomes, span WHERE outcome = 'accepted' AND ts >= middle"""),
         "q25_document_terms_cms": with_(

@@ -8,13 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termtide import schemas, workspace
+from termtide import params, schemas, workspace
 from termtide.operators.counts import merge_counts, stem_counts, total_words, word_counts
 from termtide.operators.descriptions import descriptions, submitted_descriptions
 from termtide.operators.display import display_sizes, unique_spellings
 from termtide.operators.ranking import heavy_hitters, heavy_hitters_cms, top_k
 from termtide.operators.sketch import cms_cells, cms_estimates, merge_cells
 from termtide.operators.submissions import accepted, outcomes
+from termtide.operators.summary import cells_of, heavy_hitters_of, merge_summaries, summary
 from termtide.operators.words import prepared_words, tokens
 from termtide.plans.top_terms import top_terms, top_terms_of_submissions
 from termtide.sizing import spread
@@ -337,3 +338,35 @@ def q31_stream_with_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         part.write.mode("append").parquet(feed)
         _arrivals(session, feed, pages, path, checkpoint, read_seen(session, seen))
     return arrivals.accepted_arrivals(spark, path)
+
+
+@query
+def q32_sketch_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words at or above the threshold with count and estimate: named by the merged records of the
+    English and all other documents, then counted among the candidates alone."""
+    documents = _documents(spark, sf_dir)
+    english = F.col("lang").eqNullSafe("en")
+    record = merge_summaries(
+        *(summary(prepared_words(documents.where(some)), eps=FINE_EPS) for some in (english, ~english)),
+        eps=FINE_EPS)
+    path = workspace.fresh_dir(spark, "hitters")
+    heavy_hitters_of(record, eps=FINE_EPS).write.parquet(path)
+    found = spark.read.schema("word STRING, est LONG").parquet(path)  # small enough to be broadcast
+    counted = word_counts(prepared_words(documents).join(found.select("word"), "word", "left_semi"))
+    total = record.where("kind = 'total'").select("n").scalar()
+    return counted.join(found, "word").where(
+        F.col("n") >= F.lit(params.HEAVY_HITTERS_PCT) * total).select("word", "n", "est")
+
+
+@query
+def q33_stream_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the stems of a stream in several batches, the job stopped in between; what is kept
+    from batch to batch is the sketch alone."""
+    path, checkpoint, feed = (workspace.fresh_dir(spark, p) for p in ("sketch", "checkpoint", "in"))
+    session = job.streaming_session(spark)
+    found = _descriptions_table(session, sf_dir)
+    for half in _event_parts(session, sf_dir, 2):
+        half.coalesce(1).write.mode("append").parquet(feed)
+        source = stream_submissions(session, feed, maxFilesPerTrigger="1")
+        _run(job.running_words(source, found), job.publish_summary(path), checkpoint, "append")
+    return cells_of(job.read_summary(spark, path))

@@ -18,7 +18,8 @@ from termtide import params, schemas
 from termtide.functions.urls import is_valid_url
 from termtide.functions.porter import with_stem
 from termtide.operators.counts import stem_counts, word_counts
-from termtide.operators.ranking import list_size
+from termtide.operators.ranking import list_size, top_k
+from termtide.operators.summary import RECORD, heavy_hitters_of, merge_summaries, summary
 from termtide.operators.words import prepared_words
 from termtide.plans.top_terms import rank_words
 from termtide.sources import publications
@@ -189,6 +190,41 @@ def publish_snapshot(path: str, k: int | None = params.TOP_K,
     return publish
 
 
+def running_words(submissions: DataFrame, descriptions: DataFrame, *,
+                  check_duplicates: bool = True, forget_after: str | None = None,
+                  **options) -> DataFrame:
+    """Streaming ``word``: the stems of the accepted descriptions, not counted, for ``publish_summary``
+    with ``mode="append"``. ``options`` and ``descriptions`` as in ``running_stems``."""
+    words = with_stem(_running_words(
+        submissions, descriptions, check_duplicates=check_duplicates, forget_after=forget_after,
+        **options))
+    return words.select(F.col("stem").alias("word"))
+
+
+def publish_summary(path: str, k: int | None = params.TOP_K,
+                    pct: float = params.HEAVY_HITTERS_PCT, **sketch) -> Callable[[DataFrame, int], None]:
+    """Publisher of the first ``k`` heavy hitters of a stream of words, by a sketch of fixed size.
+
+    What is carried from batch to batch is one record of cells, candidates and total, whatever
+    the history and the vocabulary. It is kept by batch number, so a batch that is repeated starts from
+    the one before it. ``sketch`` holds eps, delta and seed.
+    """
+    def publish(words: DataFrame, batch_id: int) -> None:
+        spark = words.sparkSession
+        record = summary(words, pct, **sketch)
+        old = publications.newest(spark, f"{path}/summary", RECORD, below=batch_id)
+        merged = merge_summaries(old, record, pct, **sketch)
+        publications.publish(merged.coalesce(1), f"{path}/summary", batch_id)
+        top = top_k(heavy_hitters_of(merged, pct, **sketch), k, by="est")
+        write_snapshot(top, path)
+    return publish
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """The newest record that ``publish_summary`` wrote below ``path``."""
+    return publications.newest(spark, f"{path}/summary", RECORD)
+
+
 def write_counts(path: str, *, keep: int = 2) -> Callable[[DataFrame, int], None]:
     """Publisher of all counts, for readers that need more than the top words. ``keep`` older
     publications stay for readers that have opened them."""
