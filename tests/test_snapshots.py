@@ -48,6 +48,63 @@ def test_a_number_published_again_replaces_its_publication(spark, tmp_path):
     assert publications.newest(spark, path, schemas.TOP_WORDS, below=1).first().score == 1.0
 
 
+def data_folders(path):
+    return sorted(p.name.split("-")[0] for p in path.glob("publication=*"))
+
+
+def test_readers_never_see_a_list_before_its_pointer(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "p")
+    publications.publish(top(spark, a=1), path)
+
+    def fails(*args):
+        # All data is there, as after a slow copy, and readers still have the last list.
+        assert data_folders(tmp_path / "p") == ["publication=0", "publication=1"]
+        assert publications.newest(spark, path, schemas.TOP_WORDS).first().word == "a"
+        raise OSError("the writer dies here")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(publications, "_point", fails)
+        with pytest.raises(OSError, match="dies"):
+            publications.publish(top(spark, b=2), path)
+    assert publications.newest(spark, path, schemas.TOP_WORDS).first().word == "a"
+    publications.publish(top(spark, c=3), path)
+    assert publications.newest(spark, path, schemas.TOP_WORDS).first().word == "c"
+
+
+def test_unfinished_pointers_are_passed_over(spark, tmp_path):
+    path = str(tmp_path / "p")
+    publications.publish(top(spark, a=1), path)
+    for half in ("", "publication=1-abc"):
+        (tmp_path / "p" / "pointer=1.0").write_text(half)
+        assert publications.newest(spark, path, schemas.TOP_WORDS).first().word == "a"
+
+
+def test_of_two_writers_of_a_number_one_fails(spark, tmp_path, monkeypatch):
+    path, point = str(tmp_path / "p"), publications._point
+
+    def second_comes_first(*args):
+        monkeypatch.setattr(publications, "_point", point)
+        publications.publish(top(spark, second=2), path)
+        point(*args)
+
+    monkeypatch.setattr(publications, "_point", second_comes_first)
+    with pytest.raises(FileExistsError, match="number 0"):
+        publications.publish(top(spark, first=1), path)
+    assert publications.numbers(spark, path) == [0]
+    assert publications.newest(spark, path, schemas.TOP_WORDS).first().word == "second"
+
+
+def test_what_failed_writers_left_is_removed_with_the_old(spark, tmp_path):
+    path = str(tmp_path / "p")
+    (tmp_path / "p" / "publication=0-left").mkdir(parents=True)
+    for n in range(5):
+        publications.publish(top(spark, a=n), path, keep=2)
+        publications.publish(top(spark, a=n), path, n, keep=2)  # a batch that is repeated
+    assert publications.numbers(spark, path) == [2, 3, 4]
+    assert data_folders(tmp_path / "p") == ["publication=2"] * 2 + ["publication=3"] * 2 + [
+        "publication=4"] * 2
+
+
 def test_empty_list_leaves_the_last_snapshot(spark, tmp_path):
     path = str(tmp_path / "s")
     write_snapshot(top(spark, a=1), path)
@@ -66,7 +123,7 @@ def test_scores_beyond_an_integer_are_served(spark, tmp_path):
 def test_unreadable_snapshot_raises(spark, tmp_path):
     path = tmp_path / "s"
     write_snapshot(top(spark, a=1), str(path))
-    folder = path / "live" / "publication=0"
+    (folder,) = (path / "live").glob("publication=0-*")
     for file in folder.glob("*.parquet"):
         file.write_bytes(b"not parquet")
         (folder / f".{file.name}.crc").unlink()
