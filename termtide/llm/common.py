@@ -65,8 +65,10 @@ def parts(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
 
 
 def replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
-    """``batch`` with another column ``name``, which may change its type."""
+    """``batch`` with another column ``name``, which may change its type. It has to be there, once."""
     i = batch.schema.get_field_index(name)
+    if i < 0:
+        raise ValueError(f"no column {name}, or several")
     arrays = list(batch.columns)
     arrays[i] = values
     return pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)

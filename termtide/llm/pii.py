@@ -30,7 +30,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 # Cyrillic and Greek letters that look like Latin ones, each pair in a row.
 LOOK_ALIKES = (
-    "аa еe оo рp сc уy хx іi јj ѕs һh ԁd ԛq ԝw "
+    "аa вb еe кk мm нh оo рp сc тt уy хx іi јj ѕs һh ԁd ԛq ԝw "
     "АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ІI ЈJ ЅS "
     "αa οo νv ρp υu ιi κk "
     "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX")
@@ -247,9 +247,10 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     for kind, lo, hi in plain_spans(normal.text):
         if normal.rewritten(lo, hi):
             first, last = normal.source(lo, hi)
-            if not any(k == kind and s < last and first < e for k, s, e in plain):
+            # A plain piece of a disguised identifier does not stand for the whole of it.
+            if not any(k == kind and s <= first and last <= e for k, s, e in plain):
                 spans.append((kind, first, last))
-    return plain, sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1]))
+    return plain, sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
 def redact(text: str) -> str:

@@ -87,6 +87,47 @@ def test_plain_spans_stay_and_are_not_found_twice():
     assert pii.redact(text) == "<EMAIL> and <EMAIL> а <IP>"
 
 
+@pytest.mark.parametrize("text, base, added, clean", [
+    ("to jоhn.smith@example.com now", "hn.smith@example.com", "jоhn.smith@example.com", "to <EMAIL> now"),
+    ("host １92.168.0.1", "92.168.0.1", "１92.168.0.1", "host <IP>"),
+    ("кarl@mail.ru", "arl@mail.ru", "кarl@mail.ru", "<EMAIL>"),
+    ("тom@ex.org, вob@ex.org", "om@ex.org", "тom@ex.org", "<EMAIL>, <EMAIL>")])
+def test_a_plain_piece_does_not_hide_the_whole(text, base, added, clean):
+    plain_found, every = pii.find(text)
+    kind = plain_found[0][0]
+    assert plain_found == plain(text) and text[plain_found[0][1]:plain_found[0][2]] == base
+    assert set(plain_found) <= set(every)
+    assert (kind, text.index(added), text.index(added) + len(added)) in every
+    assert pii.redact(text) == clean
+
+
+def test_every_disguise_is_found_in_whole_texts(spark):
+    rng = random.Random(7)
+    texts = [r.text for r in spark.read.parquet(
+        "/root/testdata/sf0.001/documents.parquet").select("text").collect() if r.text]
+    alike = dict(p[::-1] for p in pii.LOOK_ALIKES.split())
+    planted = "karl.smith77@post.example.org"
+    for text in texts:
+        words = text.split(" ")
+        at = rng.randrange(len(words) + 1)
+        places = [i for i, c in enumerate(planted) if c in alike]
+        chosen = rng.sample(places, rng.randint(1, 4))
+        disguised = "".join(alike[c] if i in chosen else c for i, c in enumerate(planted))
+        whole = " ".join([*words[:at], disguised, *words[at:]])
+        start = len(" ".join(words[:at])) + bool(at)
+        base, every = pii.find(whole)
+        assert base == plain(whole)
+        assert ("email", start, start + len(disguised)) in every
+        assert disguised not in pii.redact(whole)
+        # What is plain in the text is found as before.
+        assert len(base) >= len(pii.plain_spans(text))
+
+
+def test_a_column_that_is_not_there_is_an_error(spark, documents):
+    with pytest.raises(Exception, match="no column size2"):
+        pii.redacted(documents("x"), n_chars="size2").collect()
+
+
 @pytest.mark.parametrize("piece", ["a", "1", "1 ", "a@", "+1", "1.", "a.", "one ", "@", "x [at] "])
 def test_long_texts_take_linear_time(piece):
     pii.find(piece * (200_000 // len(piece)))
