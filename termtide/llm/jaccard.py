@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ PER_BUCKET = 1_000_000
 LOCAL_SHARE, LOCAL_LEAST, HOT_SHARE = 0.005, 8, 0.002
 # More rows to leave out than this are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
+# Files of a table whose names are broadcast.
+BROADCAST_FILES = 100_000
 # Shingles of a cluster that one task compares.
 BLOCK = 4_000_000
 
@@ -446,18 +449,40 @@ def join(df: DataFrame) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id").union(bare)
 
 
+def _numbered(df: DataFrame, place: str) -> DataFrame:
+    """``df`` with a number ``place`` for every row that is the same each time it is read.
+
+    In a table of up to ``BROADCAST_FILES`` files a row is known by its file and its place in it, and
+    nothing is copied. Anything else is written once with the numbers.
+    """
+    spark = df.sparkSession
+    try:
+        files = df.select(F.col("_metadata.file_path").alias("file")).distinct()
+    except AnalysisException:
+        return written(df.withColumn(place, F.monotonically_increasing_id()), "jaccard-rows")
+    names = sorted(r["file"] for r in files.limit(BROADCAST_FILES + 1).collect())
+    if len(names) > BROADCAST_FILES:
+        return written(df.withColumn(place, F.monotonically_increasing_id()), "jaccard-rows")
+    number, file = f"{place}_number", f"{place}_file"
+    numbers = spark.createDataFrame(list(enumerate(names)), f"`{number}` long, `{file}` string")
+    located = df.withColumn(file, F.col("_metadata.file_path")).withColumn(
+        place, F.col("_metadata.row_index"))
+    in_order = F.shiftleft(F.col(number), 40) + F.col(place)
+    return located.join(F.broadcast(numbers), file).withColumn(place, in_order).select(
+        *(F.col(f"`{c}`") for c in df.columns), place)
+
+
 def first_of_groups(df: DataFrame) -> DataFrame:
     """The rows of ``df`` without those that the smallest doc_id of their component stands for.
 
-    Of repeated rows with that id the first stays. Rows without words stay. ``df`` is written
-    once, with a number for every row, by which rows to leave out are known: it may come in other
-    partitions each time it is read. The list of them is broadcast up to ``BROADCAST_ROWS`` and
-    joined by shuffle beyond.
+    Of repeated rows with that id the first stays. Rows without words stay. Rows to leave out are
+    known by a number that does not depend on the partitions in which ``df`` is read. The list of
+    them is broadcast up to ``BROADCAST_ROWS`` and joined by shuffle beyond.
     """
     place = "row"
-    while place.lower() in (c.lower() for c in df.columns):
+    while any(c.lower().startswith(place) for c in df.columns):
         place += "_"
-    placed = written(df.withColumn(place, F.monotonically_increasing_id()), "jaccard-rows")
+    placed = _numbered(df, place)
     rows, _ = _labelled(placed, place)
     rows = written(rows.select("row", "doc_id", "component", "component_id"), "jaccard-components")
     kept = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(
