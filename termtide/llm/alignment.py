@@ -25,10 +25,10 @@ from pyspark.sql import types as T
 
 from termtide.llm.common import parts, slices, written
 
-# Segments that a task remembers, and the longest of them.
-CACHE, LONGEST = 200_000, 200
+# Segments that a worker remembers once and again, and the longest of them.
+CACHE, LONGEST = 80_000, 100
 # Characters that are aligned at a time.
-SLICE = 1 << 18
+SLICE = 1 << 17
 # Pairs whose counts every task holds, the most frequent ones. The others are joined.
 HELD = 1 << 20
 # Distinct pairs that a task counts before it hands them over.
@@ -38,6 +38,12 @@ _MARK = "▁"
 _CUT = re.compile(rf"(?<=[^\s{_MARK}]) (?=[^\s{_MARK}])")
 
 
+def is_visible(segment: str) -> bool:
+    """Whether ``segment`` begins and ends as cuts between segments ask for."""
+    return bool(segment) and not (
+        segment[0].isspace() or segment[-1].isspace() or segment[0] == _MARK or segment[-1] == _MARK)
+
+
 def byte_letters() -> dict[str, int]:
     """The character by which byte-level vocabularies write every byte: itself if it is a visible
     one of Latin-1, otherwise the next free one from U+0100 on."""
@@ -71,7 +77,7 @@ def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Aligner:
-    """Both tokenizers and the segments aligned so far, for one task."""
+    """Both tokenizers and the segments aligned so far, for one worker."""
 
     def __init__(self, a_json: str, b_model: bytes):
         import sentencepiece
@@ -89,88 +95,104 @@ class Aligner:
             else self.b.id_to_piece(i).replace(_MARK, " ").encode() for i in range(len(self.b))]
         self.a_sizes, self.b_sizes = (np.fromiter(map(len, x), np.int64, len(x))
                                       for x in (self.a_bytes, self.b_bytes))
-        # A token's decimal id, then the same before a comma, a bar and a semicolon.
-        width = max(len(self.a_bytes), len(self.b_bytes))
-        self.width = width
-        self.written = np.array([f"{i}{end}" for end in ("", ",", "|", ";") for i in range(width)],
-                                object)
+        # A token's decimal id and what follows it: a comma, a bar, a semicolon, or a segment's end.
+        self.width = max(len(self.a_bytes), len(self.b_bytes))
+        self.written = np.array([f"{i}{end}" for end in ",|;\n" for i in range(self.width)], object)
         self.pair_type = np.int32 if len(self.a_bytes) * len(self.b_bytes) < 2**31 else np.int64
-        self.forget()
+        # By segment: its groups, its linked pairs, and the numbers of tokens in one integer.
+        self.known: dict[str, tuple[str | None, bytes, int]] = {}
+        self.older: dict[str, tuple[str | None, bytes, int]] = {}
 
-    def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.groups: list[str | None] = []
-        self.links: list[bytes] = []
-        self.n_a: list[int] = []
-        self.n_b: list[int] = []
+    def _encoded(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        a = [e.ids for e in self.a.encode_batch_fast(
+            [" " + s for s in segments], add_special_tokens=False)]
+        return a, self.b.encode(segments, num_threads=1)
 
     def add(self, segments: list[str]) -> None:
         """Align new segments; one that either tokenizer changes has no groups (None)."""
-        a = [e.ids for e in self.a.encode_batch_fast(
-            [" " + s for s in segments], add_special_tokens=False)]
-        b = self.b.encode(segments, num_threads=1)
-        good = []
-        for i, segment in enumerate(segments):
-            expected = b" " + segment.encode("utf-8", "surrogatepass")
-            good.append(b"".join(map(self.a_bytes.__getitem__, a[i])) == expected
-                        == b"".join(map(self.b_bytes.__getitem__, b[i])))
-        a, b = ([x if ok else [] for x, ok in zip(ids, good, strict=True)] for ids in (a, b))
-        (a_ids, n_a), (b_ids, n_b) = _flat(a), _flat(b)
+        expected = [b" " + s.encode("utf-8", "surrogatepass") for s in segments]
+        sizes = np.fromiter(map(len, expected), np.int64, len(expected))
+        encoded = []
+        for ids, token, size in zip(self._encoded(segments), (self.a_bytes, self.b_bytes),
+                                    (self.a_sizes, self.b_sizes), strict=True):
+            flat, n = _flat(ids)
+            owner = np.repeat(np.arange(len(n)), n)
+            given = np.bincount(owner, weights=size[flat], minlength=len(n)).astype(np.int64)
+            whole = b"".join(map(token.__getitem__, flat.tolist()))
+            if not (given == sizes).all() or whole != b"".join(expected):
+                good = [b"".join(map(token.__getitem__, x)) == e
+                        for x, e in zip(ids, expected, strict=True)]
+                self.known.update((s, (None, b"", 0)) for s, ok in zip(segments, good, strict=True)
+                                  if not ok)
+                rest = [s for s, ok in zip(segments, good, strict=True) if ok]
+                if rest:
+                    self.add(rest)
+                return
+            encoded.append((flat, n, owner))
+        (a_ids, n_a, owner_a), (b_ids, n_b, owner_b) = encoded
         ends_a, ends_b = np.cumsum(self.a_sizes[a_ids]), np.cumsum(self.b_sizes[b_ids])
         starts_a, starts_b = ends_a - self.a_sizes[a_ids], ends_b - self.b_sizes[b_ids]
-        owner_a, owner_b = (np.repeat(np.arange(len(segments)), n) for n in (n_a, n_b))
 
         side = np.repeat([0, 1], [len(a_ids), len(b_ids)])
         starts, ends = np.concatenate([starts_a, starts_b]), np.concatenate([ends_a, ends_b])
         order, group = coalesce(starts, ends, side)
-        order = order[np.lexsort((side[order], group))]  # in a group, A before B
+        order = order[np.argsort(group * 2 + side[order], kind="stable")]  # A before B in a group
         owner = np.concatenate([owner_a, owner_b])[order]
         ids, of_b = np.concatenate([a_ids, b_ids])[order], side[order]
-        mark = np.zeros(len(ids), int)  # the groups are sorted still
-        mark[:-1] = np.where(owner[1:] != owner[:-1], 0, np.where(
-            group[1:] != group[:-1], 3, np.where(of_b[1:] != of_b[:-1], 2, 1)))
-        pieces = self.written[ids + mark * self.width].tolist()
+        mark = np.full(len(ids), 3)  # the groups are sorted still
+        mark[:-1] = np.where(owner[1:] != owner[:-1], 3, np.where(
+            group[1:] != group[:-1], 2, of_b[1:] != of_b[:-1]))
+        groups = "".join(self.written[ids + mark * self.width].tolist()).split("\n")
 
         x, y = overlaps(starts_a, ends_a, starts_b, ends_b)
         together = ends_a[x] == ends_b[y]
         x, y = x[together], y[together]
-        pairs = (a_ids[x] * len(self.b_bytes) + b_ids[y]).astype(self.pair_type)
-        pair_owner = owner_a[x]
-
-        edges = np.arange(len(segments) + 1)
-        at, link_at = np.searchsorted(owner, edges), np.searchsorted(pair_owner, edges)
-        for i, segment in enumerate(segments):
-            self.place[segment] = len(self.groups)
-            self.groups.append("".join(pieces[at[i]:at[i + 1]]) if good[i] else None)
-            self.links.append(pairs[link_at[i]:link_at[i + 1]].tobytes())
-        self.n_a += n_a.tolist()
-        self.n_b += n_b.tolist()
+        pairs = (a_ids[x] * len(self.b_bytes) + b_ids[y]).astype(self.pair_type).tobytes()
+        n_links = np.bincount(owner_a[x], minlength=len(segments))
+        at = np.concatenate([[0], np.cumsum(n_links) * np.dtype(self.pair_type).itemsize]).tolist()
+        links = [pairs[lo:hi] for lo, hi in zip(at, at[1:], strict=False)]
+        both = (n_a + (n_b << 32)).tolist()
+        self.known.update(zip(segments, zip(groups, links, both, strict=False), strict=True))
+
+    def segments(self, text: str) -> list[str]:
+        """The segments of a text. What is known is visible at both ends, so a plain split is right
+        if all words are known or visible."""
+        words = text.split(" ")
+        if all(map(is_visible, set(words).difference(self.known))):
+            return words
+        return _CUT.split(text)
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[int, int, str | None, bytes]]:
         """(tokens of A, tokens of B, groups, linked pairs) of each of a few texts."""
-        if len(self.place) > CACHE:
-            self.forget()
-        split = [_CUT.split(t) if t else [] for t in texts]
-        new, size = [], 0
-        for segment in set(chain.from_iterable(split)).difference(self.place):
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        split = [self.segments(t) if t else [] for t in texts]
+        missing = set(chain.from_iterable(split)).difference(self.known)
+        again = [s for s in missing if s in self.older]
+        self.known.update((s, self.older[s]) for s in again)
+        new, size, forget = [], 0, []
+        for segment in missing.difference(again):
             new.append(segment)
             size += len(segment)
+            if len(segment) > LONGEST or not is_visible(segment):
+                forget.append(segment)
             if size > SLICE:
                 self.add(new)
                 new, size = [], 0
         if new:
             self.add(new)
         for segments in split:
-            places = [self.place[s] for s in segments]
-            groups = [self.groups[i] for i in places]
+            if not segments:
+                yield 0, 0, "", b""
+                continue
+            groups, links, both = zip(*map(self.known.__getitem__, segments), strict=True)
             if None in groups:
                 yield 0, 0, None, b""
             else:
-                yield (sum([self.n_a[i] for i in places]), sum([self.n_b[i] for i in places]),
-                       ";".join(groups), b"".join([self.links[i] for i in places]))
-        for segment in [s for s in set(chain.from_iterable(split)) if len(s) > LONGEST]:
-            i = self.place.pop(segment)
-            self.groups[i], self.links[i] = None, b""
+                n = sum(both)
+                yield n & 0xFFFFFFFF, n >> 32, ";".join(groups), b"".join(links)
+        for segment in forget:
+            del self.known[segment]
 
 
 def _pieces(text: str) -> Iterator[str]:
@@ -213,11 +235,18 @@ def aligned(aligner: Aligner, texts: Iterable[str | None], whole: bool
 
 
 def _readers(df: DataFrame, a_path: str, b_path: str):
-    """A function for tasks that makes the aligner. The vocabularies, whose size does not depend
-    on the data, are read by the driver and broadcast."""
+    """A function for tasks that gives the aligner. The vocabularies, whose size does not depend
+    on the data, are read by the driver and broadcast; a worker keeps its aligner as long as its copy of
+    the broadcast, so that its next task knows the segments of the last."""
     with open(a_path, encoding="utf-8") as a, open(b_path, "rb") as b:
-        shared = df.sparkSession.sparkContext.broadcast((a.read(), b.read()))
-    return lambda: Aligner(*shared.value)
+        shared = df.sparkSession.sparkContext.broadcast((a.read(), b.read(), []))
+
+    def get() -> Aligner:
+        a_json, b_model, made = shared.value
+        if not made:
+            made.append(Aligner(a_json, b_model))
+        return made[0]
+    return get
 
 
 _LINKS = T.ArrayType(T.LongType())
@@ -243,10 +272,10 @@ def align(df: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFr
     """
     if clash := {"n_a", "n_b", "groups", "links"} & set(df.columns):
         raise ValueError(f"the input already has {', '.join(sorted(clash))}")
-    make = _readers(df, a_path, b_path)
+    get = _readers(df, a_path, b_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = make()
+        aligner = get()
         for batch in parts(batches):
             found = list(aligned(aligner, batch.column(text).to_pylist(), True))
             n_a, n_b, groups, links = zip(*found, strict=True)
@@ -319,10 +348,10 @@ def digests(df: DataFrame, a_path: str, b_path: str) -> DataFrame:
     whose count is the highest of their B id, count_sum the sum over its links. The digest is that of
     ``groups`` as in ``align``, '' without tokens. Null, empty and repeated rows as there.
     """
-    make = _readers(df, a_path, b_path)
+    get = _readers(df, a_path, b_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, number = make(), TaskContext.get().partitionId() << 36
+        aligner, number = get(), TaskContext.get().partitionId() << 36
         for batch in parts(batches, 64):
             found = list(aligned(aligner, batch.column("text").to_pylist(), False))
             n_a, n_b, groups, links = zip(*found, strict=True)
@@ -336,7 +365,10 @@ def digests(df: DataFrame, a_path: str, b_path: str) -> DataFrame:
     rows = written(df.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "uid long, doc_id long, n_a long, n_b long, groups_sha256 string, links array<long>"),
         "alignment")
-    counts = written(pair_counts(rows, len(make().b)), "alignment-pairs")
+    import sentencepiece
+
+    b_size = len(sentencepiece.SentencePieceProcessor(model_file=b_path))
+    counts = written(pair_counts(rows, b_size), "alignment-pairs")
     # The most frequent pairs are looked up in place, so those joined are no hot keys.
     held = counts.orderBy(F.desc("n"), "pair").limit(HELD).orderBy("pair").toArrow()
     shared = df.sparkSession.sparkContext.broadcast(tuple(
