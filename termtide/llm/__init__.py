@@ -1,7 +1,7 @@
 """Operators for building training data.
 
-Nothing outside this package imports it. Its functions travel to the executors by value, so a
-job works where the package is installed on the driver only.
+Nothing outside this package imports it. Its functions travel to the executors by value. Broadcast
+objects of its classes (``lm``, ``language``) do not, so those jobs need the package on the executors too.
 """
 
 import sys
