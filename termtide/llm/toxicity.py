@@ -39,7 +39,7 @@ SAMPLE, FEATURES, PLACES, EDGE = 100_000, 1024, 1 << 20, 5
 # Rounds of fitting, and the strength that pulls weights to zero.
 ROUNDS, RIDGE = 200, 0.3
 # Tokens that a task remembers, and how many letters of one are decoded at a time.
-CACHE, DECODED = 200_000, 60
+CACHE, DECODED = 100_000, 60
 
 _SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 _PLAIN = re.compile(r"""["'(\[{„“«¿]*[^\W\d_]+(?:['’][^\W\d_]+|-[^\W\d_]{2,})*[.,;:!?…"')\]}“”»]*""")
@@ -149,8 +149,10 @@ class Restorer:
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
-def features(texts: list[str], letters: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Chunks of (index of the text, place of a feature), each pair once in its chunk.
+def features(texts: list[str], letters: np.ndarray, used: np.ndarray | None = None
+             ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Chunks of (index of the text, place of a feature), each pair once in its chunk; only the
+    places that ``used`` marks, if given.
 
     Features are the lower-cased runs of letters, and the first and last ``EDGE`` letters of each.
     A text is whole in its chunk.
@@ -171,7 +173,11 @@ def features(texts: list[str], letters: np.ndarray) -> Iterator[tuple[np.ndarray
         for seed, (lo, hi) in enumerate((
                 (starts, ends), (starts[long], starts[long] + EDGE), (ends[long] - EDGE, ends[long]))):
             hashed = mix((sums[hi] - sums[lo]) * backs[lo], seed) % np.uint64(PLACES)
-            found.append(text[lo].astype(np.int64) * PLACES + hashed.astype(np.int64))
+            place, owner = hashed.astype(np.int64), text[lo].astype(np.int64)
+            if used is not None:
+                own = used[place]
+                place, owner = place[own], owner[own]
+            found.append(owner * PLACES + place)
         pairs = np.unique(np.concatenate(found))
         yield pairs // PLACES + first, pairs % PLACES
 
@@ -275,13 +281,14 @@ def score(df: DataFrame, model: tuple, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         costs, unknown, weights, share, constant, packed = shared.value
         restorer, table = Restorer(costs, unknown), np.unpackbits(packed).view(bool)
+        used = weights != 0
         for batch in parts(batches):
             if constant is None:
                 scores = np.full(len(batch), share)
             else:
                 texts = [restorer(t or "") for t in batch.column(text).to_pylist()]
                 z = np.full(len(batch), constant)
-                for owner, place in features(texts, table):
+                for owner, place in features(texts, table, used):
                     z += np.bincount(owner, weights=weights[place], minlength=len(batch))
                 scores = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays(
