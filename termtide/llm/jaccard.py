@@ -39,6 +39,8 @@ SIMILARITY = (4, 5)
 # Shingles per packed row set, and per bucket; they bound the memory of a task.
 FLUSH = 500_000
 PER_BUCKET = 1_000_000
+# Rows that a bucket hands back at once.
+RETURNED = 1 << 16
 # Shingles in this share of the documents of a flush are counted as candidates for frequent ones;
 # frequent are those in the second share of all documents. There are at most (shingles per
 # document) / HOT_SHARE of them.
@@ -171,10 +173,12 @@ def _shared_in_bucket(bits: int):
         more = df > 1
         m = int(more.sum())
         nulls = pa.nulls(m, pa.int64())
-        return pa.table(
+        found = pa.table(
             [pa.array(uids[more]), pa.array(shingles[more].view(np.int64)),
              pa.array(df[more].astype(np.int64)), nulls, nulls, nulls, pa.nulls(m, pa.binary()),
              pa.nulls(m, pa.list_(pa.int64()))], names=names)
+        # Every chunk is a message of its own, which the executor holds beside its heap.
+        return pa.Table.from_batches(found.to_batches(RETURNED), found.schema)
     return run
 
 
