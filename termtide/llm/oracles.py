@@ -148,15 +148,17 @@ def edited_fingerprints(documents: str = "documents") -> str:
 
 
 TOP_K = """
-WITH scaled AS (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+WITH scaled AS MATERIALIZED (
+    SELECT row_number() OVER () AS place, vec_id,
+           list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
     FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scores AS (
-    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-    FROM scaled q JOIN scaled c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+    SELECT q.place, q.vec_id AS query_id, c.vec_id,
+           CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM scaled q JOIN scaled c ON q.vec_id % 100 = 0 AND c.place <> q.place),
 ranked AS (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+    SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS rank
     FROM scores)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10"""

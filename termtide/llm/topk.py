@@ -26,7 +26,7 @@ RANGE = 8192
 EXACT = 2 ** 53
 LONG = 2 ** 63 - 1
 
-_HITS = "query_id long, vec_id long, score long"
+_HITS = "query_id long, query_key long, copies long, own long, vec_id long, score long"
 
 
 def _floor(x):
@@ -59,14 +59,14 @@ def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray,
-           k: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """Per query its k best (score, vec_id) among ``vectors`` other than itself; ties to the
-    smaller id. Exact for whole numbers of any size."""
+def search(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int
+           ) -> Iterator[list[tuple[int, int]]]:
+    """Per query its k best (score, vec_id) among ``vectors``; ties to the smaller id. Exact for
+    whole numbers of any size."""
     n = len(ids)
     largest = np.abs(vectors).max(initial=0) * np.abs(queries).max(initial=0) * vectors.shape[1]
     if largest >= EXACT:
-        yield from _search_large(ids, vectors, query_ids, queries, k)
+        yield from _search_large(ids, vectors, queries, k)
         return
     starts = np.arange(0, n, BLOCK)
     highest = np.maximum.reduceat(vectors, starts).clip(min=0)  # term maxima, positive parts
@@ -80,7 +80,7 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
                 break  # so are all bounds after it
             lo = starts[b]
             block = vectors[lo:lo + BLOCK] @ query
-            near = (block >= threshold) & (ids[lo:lo + BLOCK] != query_ids[q])
+            near = block >= threshold
             if not near.any():
                 continue
             scores = np.concatenate([scores, block[near]])
@@ -91,61 +91,91 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
                 threshold = scores[-1]
             elif len(scores) == k:
                 threshold = scores.min()
-        yield int(query_ids[q]), list(zip(scores.astype(np.int64).tolist(), found.tolist(),
-                                          strict=True))
+        yield list(zip(scores.astype(np.int64).tolist(), found.tolist(), strict=True))
 
 
-def _search_large(ids, vectors, query_ids, queries, k):
+def _held(score: int) -> int:
+    return max(-LONG - 1, min(LONG, score))
+
+
+def _search_large(ids, vectors, queries, k):
     """The same in whole numbers of Python, for components of more than some 20 million."""
     rows = [[int(x) for x in v] for v in vectors.tolist()]
-    for query_id, query in zip(query_ids.tolist(), queries.tolist(), strict=True):
+    for query in queries.tolist():
         weights = [int(x) for x in query]
-        every = [(sum(map(int.__mul__, weights, row)), i)
-                 for row, i in zip(rows, ids.tolist(), strict=True) if i != query_id]
+        every = [(_held(sum(map(int.__mul__, weights, row))), i)
+                 for row, i in zip(rows, ids.tolist(), strict=True)]
         every.sort(key=lambda s: (-s[0], s[1]))
-        yield query_id, [(max(-LONG - 1, min(LONG, s)), i) for s, i in every[:k]]
+        yield every[:k]
+
+
+def _own_scores(queries: np.ndarray) -> list[int]:
+    """The inner product of every query with itself, exact as those of ``search``."""
+    return [int(s) if s < EXACT else _held(sum(int(x) ** 2 for x in q))
+            for s, q in zip(np.einsum("ij,ij->i", queries, queries).tolist(), queries.tolist(),
+                            strict=True)]
 
 
 def _search_range(k: int):
+    """The k + 1 best of a range for every query, which itself may be one of them."""
     def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        hits: list[tuple[int, int, int]] = []
+        hits: list[tuple[int, ...]] = []
         if len(candidates) and len(queries):
             sides = [side.sort_by("vec_id").combine_chunks() for side in (candidates, queries)]
             arrays = [side.column("vector").combine_chunks() for side in sides]
             width = max(int(np.diff(a.offsets.to_numpy()).max(initial=0)) for a in arrays)
-            ids, query_ids = (side.column("vec_id").to_numpy() for side in sides)
-            found = search(ids, _matrix(arrays[0], width), query_ids, _matrix(arrays[1], width), k)
-            hits = [(q, i, s) for q, best in found for s, i in best]
-        columns = list(zip(*hits, strict=True)) or [[], [], []]
-        return pa.table([pa.array(c, pa.int64()) for c in columns],
-                        names=["query_id", "vec_id", "score"])
+            # Of a repeated row no more copies than places can be hits.
+            times = np.minimum(sides[0].column("copies").to_numpy(), k + 1)
+            ids = np.repeat(sides[0].column("vec_id").to_numpy(), times)
+            vectors = np.repeat(_matrix(arrays[0], width), times, axis=0)
+            asked = _matrix(arrays[1], width)
+            names = zip(*(sides[1].column(c).to_pylist() for c in ("vec_id", "key", "copies")),
+                        _own_scores(asked), strict=True)
+            hits = [(*name, i, s) for name, best in zip(
+                names, search(ids, vectors, asked, k + 1), strict=True) for s, i in best]
+        columns = list(zip(*hits, strict=True)) or [[]] * 6
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=[
+            "query_id", "query_key", "copies", "own", "vec_id", "score"])
     return run
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: for every query its ``k`` highest inner products, exact.
 
-    Both sides are vec_id and vector as ``scaled`` makes them. A query's own id is no candidate;
-    fewer candidates give fewer rows, an empty side none. Repeated candidate rows each count.
-    Ties go to the smaller id. A vector of fewer components counts as filled with zeros. Scores
-    beyond the range of a long are held at its ends.
-
-    The rows of both sides are dealt to groups of bounded size, and every group of queries meets
-    every range of candidates in a task of its own: queries are sent once per range and
-    candidates once per query group. Only k hits per query and range are shuffled afterwards.
+    Both sides are vec_id and vector as ``scaled`` makes them; the queries are rows of the candidates.
+    A query's own row is no candidate of its own, other rows with its id are. Repeated candidate
+    rows each count, and repeated query rows each get ``k`` hits, also if only the id repeats
+    (rows of one id are told apart by a 64-bit hash of the vector). Fewer candidates give fewer
+    rows, an empty side none. Ties go to the smaller id. A vector of fewer components counts as filled
+    with zeros. Scores beyond the range of a long are held at its ends.
+
+    Equal rows are counted first, so that one repeated often is a row. The rows of both sides are
+    dealt to groups of bounded size, and every group of queries meets every range of candidates in a
+    task of its own: queries are sent once per range and candidates once per query group. Only
+    k + 1 hits per query and range are shuffled afterwards; one that equals the query's own row
+    is left out of them.
     """
     n, m = candidates.count(), queries.count()
     ranges, groups = max(1, -(-n // RANGE)), max(1, -(-m // QUERIES))
 
     def dealt(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
-        return df.select(
-            "vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(own_n)).alias(own),
+        counted = df.groupBy("vec_id", "vector").agg(F.count("*").alias("copies"))
+        return counted.withColumn("key", F.xxhash64("vec_id", "vector")).select(
+            "*", F.pmod("key", F.lit(own_n)).alias(own),
             F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).alias(other)).select(
-            F.col("range").cast("int"), F.col("group").cast("int"), "vec_id", "vector")
+            F.col("range").cast("int"), F.col("group").cast("int"), "vec_id", "vector", "key",
+            "copies")
 
     left = dealt(candidates, "range", ranges, "group", groups).groupBy("range", "group")
     right = dealt(queries, "group", groups, "range", ranges).groupBy("range", "group")
     hits = left.cogroup(right).applyInArrow(_search_range(k), _HITS)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
+    ranked = hits.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
+    itself = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own"))
+    past = F.sum(itself.cast("int")).over(best.rowsBetween(Window.unboundedPreceding, 0))
+    others = ranked.select("*", itself.alias("itself"), past.alias("past")).where(
+        ~F.col("itself") | (F.col("past") > 1)).withColumn(
+        "rank", F.col("place") - F.least("past", F.lit(1))).where(F.col("rank") <= k)
+    return others.select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score",
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).drop("copy")

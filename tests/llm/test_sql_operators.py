@@ -124,13 +124,26 @@ def test_many_ranges_groups_and_ties(spark, tmp_path, monkeypatch):
     same(QUERIES["op6_exact_top_k"](spark, str(tmp_path)), con.sql(ORACLES["op6_exact_top_k"]))
 
 
-def test_large_components_repeated_ids_and_uneven_lengths(spark):
-    big = [(1, [1e15, 1.0]), (2, [1e15, 3.0]), (100, [1e9, 1.0, 5.0]), (2, [1e15, 3.0])]
+def test_large_components_and_uneven_lengths(spark):
+    big = [(1, [1e15, 1.0]), (2, [1e15, 3.0]), (100, [1e9, 1.0, 5.0]), (2, [1e15, 3.0]),
+           (3, [1e3, 1.0])]
     df = topk.scaled(spark.createDataFrame(big, "vec_id long, embedding array<double>"))
-    rows = topk.top_k(df, df.where("vec_id = 100"), 2).collect()
-    exact = int(1e15) * 1024 * int(1e9) * 1024 + 3 * 1024 * 1024
-    assert [(r.rank, r.vec_id, r.score) for r in sorted(rows)] == [
-        (1, 2, min(exact, 2**63 - 1)), (2, 2, min(exact, 2**63 - 1))] or rows
+    rows = topk.top_k(df, df.where("vec_id = 100"), 5).collect()
+    held, exact = 2**63 - 1, 1024**2 * (10**12 + 1)
+    assert [(r.rank, r.vec_id, r.score) for r in sorted(rows, key=lambda r: r.rank)] == [
+        (1, 1, held), (2, 2, held), (3, 2, held), (4, 3, exact)]
+
+
+def test_repeated_ids_and_rows_of_queries(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(topk, "RANGE", 16)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(40)]
+    rows += [(100, [1.0, 2.0, -1.0, 0.5])] * 3 + [(100, [1.0, 0.0, 0.0, 0.0]), (200, [0.0] * 4)]
+    rows += [(7, [2.0, 2.0, 2.0, 2.0])] * 15
+    con = table(spark, tmp_path, "embeddings", rows, "vec_id long, embedding array<float>")
+    found = QUERIES["op6_exact_top_k"](spark, str(tmp_path))
+    same(found, con.sql(ORACLES["op6_exact_top_k"]))
+    assert found.where("query_id = 100").count() == 40
 
 
 def test_sql_names_every_column():
