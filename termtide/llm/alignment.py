@@ -12,6 +12,7 @@ at a time, and remembers it.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -83,6 +84,7 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads hold memory
         self.a = Tokenizer.from_str(a_json)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
