@@ -291,22 +291,31 @@ def align(df: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFr
         T.StructField("groups", T.StringType()), T.StructField("links", _LINKS)]))
 
 
+def _merged(counted: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    pairs, n = (np.concatenate(x) for x in zip(*counted, strict=True))
+    both, at = np.unique(pairs, return_inverse=True)
+    summed = np.zeros(len(both), np.int64)
+    np.add.at(summed, at, n)
+    return both, summed
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """pair, n of the links of a task."""
-    pairs, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """pair, n of the links of a task, counted a few rows at a time."""
+    counted, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
 
     def counts() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
-
-    for batch in batches:
-        own, m = np.unique(batch.column("links").flatten().to_numpy(), return_counts=True)
-        both, at = np.unique(np.concatenate([pairs, own]), return_inverse=True)
-        summed = np.zeros(len(both), np.int64)
-        np.add.at(summed, at, np.concatenate([n, m]))
-        pairs, n = both, summed
-        if len(pairs) > COUNTED:
-            yield counts()
-            pairs, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in counted[0]], names=["pair", "n"])
+
+    for batch in parts(batches):
+        counted.append(np.unique(batch.column("links").flatten().to_numpy(), return_counts=True))
+        size += len(counted[-1][0])
+        if size > COUNTED:
+            counted = [_merged(counted)]
+            size = 0
+            if len(counted[0][0]) > COUNTED:
+                yield counts()
+                counted = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    counted = [_merged(counted)]
     yield counts()
 
 
