@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,22 @@ HIDDEN = 16
 STEPS = 16
 LANES = 256
 CLIP = 1.0
+# Scores before a softmax are held to this range, where no exponential overflows or vanishes.
+RANGE = 60.0
+
+
+def ordered(values: np.ndarray, n: int) -> np.ndarray:
+    """Stable order of numbers below ``n``; numpy sorts short integers by radix."""
+    return np.argsort(values.astype(np.uint16) if n <= 1 << 16 else values, kind="stable")
+
+
+def log_softmax(scores: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log probability of every row's own column, sums); ``scores`` become their exponentials."""
+    np.clip(scores, -RANGE, RANGE, out=scores)
+    mine = scores[np.arange(len(own)), own]
+    np.exp(scores, out=scores)
+    sums = scores @ np.ones(scores.shape[1], scores.dtype)
+    return mine - np.log(sums), sums
 
 
 class Layout:
@@ -29,9 +46,12 @@ class Layout:
         self.class_of = np.concatenate([
             np.searchsorted(self.starts, np.arange(self.words), "right") - 1,
             self.word_classes + np.arange(tails)]).astype(np.int64)
-        self.log_word = np.log(counts + 1.0).astype(np.float32)
-        sums = np.add.reduceat(counts + 1.0, self.starts[:-1]) if self.word_classes else []
-        self.log_class = np.log(np.concatenate([sums, tail_counts + 1.0])).astype(np.float32)
+        sums = np.add.reduceat(counts + 1.0, self.starts[:-1]) if self.word_classes else np.zeros(0)
+        every = np.concatenate([sums, tail_counts + 1.0])
+        # Shares, of all and within a class.
+        self.log_word = np.log((counts + 1.0) / np.repeat(sums, np.diff(self.starts))).astype(
+            np.float32) if self.word_classes else np.zeros(0, np.float32)
+        self.log_class = np.log(every / every.sum()).astype(np.float32)
 
 
 class Model:
@@ -75,40 +95,40 @@ class Model:
         """Natural log probability of every target (for tails: of its class), and with
         ``grads``, into which parameter gradients are added, the gradient of the states."""
         p, layout = self.p, self.layout
-        m, classes = len(targets), layout.class_of[targets]
-        rows = np.arange(m)
-        logits = states @ p["class_weights"] + p["class_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        own = logits[rows, classes]
-        np.exp(logits, out=logits)
-        sums = logits.sum(axis=1)
-        logp = own - np.log(sums)
-        d_states = None
+        order = ordered(layout.class_of[targets], layout.classes)
+        targets, h = targets[order], states.take(order, 0)
+        classes = layout.class_of[targets]
+        logits = h @ p["class_weights"]
+        logits += p["class_bias"]
+        found, sums = log_softmax(logits, classes)
+        d_found = None
         if grads is not None:
             logits /= sums[:, None]
-            logits[rows, classes] -= 1
-            grads["class_weights"] += states.T @ logits
+            logits[np.arange(len(classes)), classes] -= 1
+            grads["class_weights"] += h.T @ logits
             grads["class_bias"] += logits.sum(axis=0)
-            d_states = logits @ p["class_weights"].T
-        order = np.argsort(classes, kind="stable")
-        edges = np.searchsorted(classes[order], np.arange(layout.word_classes + 1))
+            d_found = logits @ p["class_weights"].T
+        edges = np.searchsorted(classes, np.arange(layout.word_classes + 1))
         for c in np.flatnonzero(np.diff(edges)):
-            at = order[edges[c]:edges[c + 1]]
+            at = slice(edges[c], edges[c + 1])
             lo, hi = layout.starts[c], layout.starts[c + 1]
-            h, weights = states[at], p["word_weights"][lo:hi]
-            scores = h @ weights.T + p["word_bias"][lo:hi]
-            scores -= scores.max(axis=1, keepdims=True)
-            word, mine = targets[at] - lo, np.arange(len(at))
-            own = scores[mine, word]
-            np.exp(scores, out=scores)
-            sums = scores.sum(axis=1)
-            logp[at] += own - np.log(sums)
+            weights, word = p["word_weights"][lo:hi], targets[at] - lo
+            scores = h[at] @ weights.T
+            scores += p["word_bias"][lo:hi]
+            own, sums = log_softmax(scores, word)
+            found[at] += own
             if grads is not None:
                 scores /= sums[:, None]
-                scores[mine, word] -= 1
-                grads["word_weights"][lo:hi] += scores.T @ h
+                scores[np.arange(len(word)), word] -= 1
+                grads["word_weights"][lo:hi] += scores.T @ h[at]
                 grads["word_bias"][lo:hi] += scores.sum(axis=0)
-                d_states[at] += scores @ weights
+                d_found[at] += scores @ weights
+        logp = np.empty_like(found)
+        logp[order] = found
+        if grads is None:
+            return logp, None
+        d_states = np.empty_like(d_found)
+        d_states[order] = d_found
         return logp, d_states
 
     def window(self, ids: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray,
@@ -120,7 +140,7 @@ class Model:
         for t in range(steps):
             if fresh[t].any():
                 h = np.where(fresh[t][:, None], np.float32(0), h)
-            new = self.step(p["inputs"][ids[t]], h)
+            new = self.step(p["inputs"].take(ids[t], 0), h)
             kept.append((h, *new[1:]))
             h = new[0]
             states.append(h)
@@ -144,12 +164,14 @@ class Model:
             d_rec = d_in.copy()
             d_rec[:, 2 * size:] *= r
             grads["recurrent"] += before.T @ d_rec
-            d_h = np.where(fresh[t][:, None], np.float32(0), d * z + d_rec @ p["recurrent"].T)
-        seen = ids.ravel()
-        order = np.argsort(seen, kind="stable")
-        first = np.flatnonzero(np.diff(seen[order], prepend=-1))
-        grads["inputs"][seen[order][first]] = np.add.reduceat(
-            d_inputs.reshape(-1, 3 * size)[order], first)
+            d_h = d * z + d_rec @ p["recurrent"].T
+            if fresh[t].any():
+                d_h = np.where(fresh[t][:, None], np.float32(0), d_h)
+        order = ordered(ids.ravel(), len(p["inputs"]))
+        seen = ids.ravel()[order]
+        first = np.flatnonzero(np.diff(seen, prepend=-1))
+        by_id = np.ascontiguousarray(d_inputs.reshape(-1, 3 * size).take(order, 0).T)
+        grads["inputs"][seen[first]] = np.add.reduceat(by_id, first, axis=1).T  # along the memory
         scale = 1 / max(1, int(flat.sum()))
         for g in grads.values():
             g *= scale
@@ -178,31 +200,32 @@ class Adam:
 def lanes_of(docs: list[np.ndarray], end: int, lanes: int) -> tuple[np.ndarray, ...]:
     """Documents dealt out to lanes of about equal length, the longest first.
 
-    Returns (inputs, targets, fresh, owner), steps x lanes: every document reads the end mark and
-    its words and predicts its words and the end mark; owner is -1 where a lane is idle.
+    Returns (inputs, targets, fresh, owner) of all tokens, lane after lane, and (base, filled): where
+    every lane begins and how long it is. A document reads the end mark and its words and predicts
+    its words and the end mark; owner is its number. The size is that of the documents, however
+    long one of them is.
     """
-    lengths = np.asarray([len(d) + 1 for d in docs])
-    order = np.argsort(-lengths, kind="stable")
+    lengths = np.asarray([len(d) + 1 for d in docs], np.int64)
     lanes = max(1, min(lanes, len(docs)))
-    filled = np.zeros(lanes, np.int64)
+    dealt = [(0, lane) for lane in range(lanes)]
     lane_of, start_of = np.empty(len(docs), np.int64), np.empty(len(docs), np.int64)
-    for i in order:
-        lane = int(filled.argmin())
-        lane_of[i], start_of[i] = lane, filled[lane]
-        filled[lane] += lengths[i]
-    steps = int(filled.max(initial=0))
-    inputs = np.full((steps, lanes), end, np.int32)
-    targets = np.full((steps, lanes), end, np.int32)
-    fresh = np.zeros((steps, lanes), bool)
-    owner = np.full((steps, lanes), -1, np.int32)
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        size, lane = dealt[0]
+        lane_of[i], start_of[i] = lane, size
+        heapq.heapreplace(dealt, (size + int(lengths[i]), lane))
+    filled = np.bincount(lane_of, weights=lengths, minlength=lanes).astype(np.int64)
+    base = np.cumsum(filled) - filled
+    total = int(filled.sum())
+    inputs, targets = np.full(total, end, np.int32), np.full(total, end, np.int32)
+    fresh, owner = np.zeros(total, bool), np.empty(total, np.int32)
     for i, doc in enumerate(docs):
-        lane, a = lane_of[i], start_of[i]
+        a = base[lane_of[i]] + start_of[i]
         b = a + lengths[i]
-        inputs[a + 1:b, lane] = doc
-        targets[a:b - 1, lane] = doc
-        fresh[a, lane] = True
-        owner[a:b, lane] = i
-    return inputs, targets, fresh, owner
+        inputs[a + 1:b] = doc
+        targets[a:b - 1] = doc
+        fresh[a] = True
+        owner[a:b] = i
+    return inputs, targets, fresh, owner, base, filled
 
 
 def streams_of(docs: list[np.ndarray], end: int, lanes: int) -> tuple[np.ndarray, ...]:
@@ -244,25 +267,27 @@ def train(model: Model, groups: Iterator[list[np.ndarray]], end: int, rate: floa
 
 def score(model: Model, docs: list[np.ndarray], end: int) -> np.ndarray:
     """Natural log probability of every whole document; the state is carried across windows."""
-    inputs, targets, fresh, owner = lanes_of(docs, end, LANES)
     total = np.zeros(len(docs))
-    h = np.zeros((inputs.shape[1] if docs else 0, HIDDEN), np.float32)
-    span = 4 * STEPS
-    for t0 in range(0, len(inputs), span):
-        live = np.flatnonzero((owner[t0:t0 + span] >= 0).any(axis=0))
-        if len(live) < inputs.shape[1]:
-            inputs, targets, fresh, owner = (
-                x[:, live] for x in (inputs, targets, fresh, owner))
-            h = h[live]
-        states = np.empty((min(span, len(inputs) - t0), *h.shape), np.float32)
+    if not docs:
+        return total
+    inputs, targets, fresh, owner, base, filled = lanes_of(docs, end, LANES)
+    h = np.zeros((len(base), HIDDEN), np.float32)
+    span, longest = 4 * STEPS, int(filled.max())
+    for t0 in range(0, longest, span):
+        live = filled > t0
+        if not live.all():
+            base, filled, h = base[live], filled[live], h[live]
+        steps = t0 + np.arange(min(span, longest - t0))[:, None]
+        real = (steps < filled).ravel()
+        at = base + np.minimum(steps, filled - 1)  # an ended lane stays on its last token
+        ids, begins = inputs[at], fresh[at]
+        states = np.empty((*at.shape, HIDDEN), np.float32)
         for k in range(len(states)):
-            if fresh[t0 + k].any():
-                h = np.where(fresh[t0 + k][:, None], np.float32(0), h)
-            h = model.step(model.p["inputs"][inputs[t0 + k]], h)[0]
+            if begins[k].any():
+                h = np.where(begins[k][:, None], np.float32(0), h)
+            h = model.step(model.p["inputs"].take(ids[k], 0), h)[0]
             states[k] = h
-        used = owner[t0:t0 + span].ravel()
-        real = used >= 0
-        logp, _ = model.outputs(states.reshape(-1, HIDDEN)[real],
-                                targets[t0:t0 + span].ravel()[real])
-        total += np.bincount(used[real], weights=logp, minlength=len(docs))
+        used = at.ravel()[real]
+        logp, _ = model.outputs(states.reshape(-1, HIDDEN)[real], targets[used])
+        total += np.bincount(owner[used], weights=logp, minlength=len(docs))
     return total

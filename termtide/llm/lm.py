@@ -3,43 +3,46 @@
 Counts of all words of all training documents come from one aggregation. The network reads and
 predicts the most frequent words; any other word belongs to one of a few tail classes by its last
 bytes, the network predicts the class and the counts the word within it, so every word has a
-probability and all sum to one. Training runs inside tasks, by truncated backpropagation over the
+probability and all sum to one. Texts are cut into words and looked up once, into a table of network
+ids from which it learns and scores. Training runs inside tasks, by truncated backpropagation over the
 documents of a partition; after every round the tasks' parameters are averaged.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termtide.llm import gru
-from termtide.llm.common import ascii_lower, written
+from termtide.llm.common import ascii_lower, parts, written
 
 # Words that the network knows, and tail classes for the rest.
 WORDS, TAILS = 1024, 32
 # Words whose counts every task holds; the counts of rarer ones are joined.
 HELD = 200_000
 # Learning rate of every round. The training documents are cut into that many parts by a hash of
-# the text, and the network learns from every one of them in its round.
+# their ids, and the network learns from every one of them in its round.
 RATES = (0.01, 0.004)
-# Tokens that a task takes together.
-GROUP = 1_000_000
-# Averaged parameters come to the driver in so many parts.
-AVERAGES = 16
+# Tokens that a task takes together, to learn from and to score.
+GROUP, SCORED = 1_000_000, 4_000_000
+# Models that are averaged at a time, by a task or the driver.
+AVERAGED = 64
 # The mark at the end of every text; no word, as it is white space.
 END = b"\n"
 TAIL_BYTES = 2
 
-_SCORED = ("uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, "
-           "model double, rare array<struct<word: binary, m: int>>")
+_ENCODED = ("uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, "
+            "inside double, ids binary, rare array<struct<word: binary, m: int>>")
+_SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double"
 
 
 def words(text: Column) -> Column:
@@ -82,6 +85,7 @@ class Vocabulary:
         self.ids = np.array([*range(known), *(known + tail_of(w) for w in names[known:])], np.int32)
         self.logs = np.log10(np.asarray(c, float) + 1)
         self.known = known
+        self.id_type = np.dtype("<u2" if known + TAILS <= 1 << 16 else "<u4")
         self.layout = gru.Layout(np.asarray(c[:known], float), TAILS, self.tail_tokens)
         self.end = int(self.ids[self.place[END]]) if END in self.place else known + tail_of(END)
         self.base_log = math.log10(self.tokens + self.types + 1)
@@ -102,30 +106,76 @@ class Vocabulary:
         return words, places, ids
 
 
-def _groups(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary
-            ) -> Iterator[list[np.ndarray]]:
-    docs, size = [], 0
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            docs.append(vocabulary.look_up(text)[2][:-1])
-            size += len(docs[-1]) + 1
-            if size >= GROUP:
-                yield docs
-                docs, size = [], 0
-    if docs:
-        yield docs
+def _shared(df: DataFrame, *values):
+    """A broadcast by value: its classes need not be installed where the tasks run."""
+    return df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(values))
+
+
+def _encoder(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, = pickle.loads(shared.value)
+        known, number = vocabulary.known, TaskContext.get().partitionId() << 36
+        rare_type = pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int32())]))
+        for batch in parts(batches):
+            columns = {name: [] for name in ("n", "known", "base", "inside", "ids", "rare")}
+            for text in batch.column("text").to_pylist():
+                words, places, ids = vocabulary.look_up(text)
+                held = places >= 0
+                base = vocabulary.logs[places[held]].sum()
+                # Within a tail class the counts decide; those of rare words are added later.
+                tails = ids[ids >= known] - known
+                inside = vocabulary.logs[places[held & (ids >= known)]].sum()
+                rare = Counter([words[i] for i in np.flatnonzero(~held)])
+                for name, value in zip(columns, (
+                        len(ids), int(held.sum()), base - len(ids) * vocabulary.base_log,
+                        inside - vocabulary.tail_log[tails].sum(),
+                        ids[:-1].astype(vocabulary.id_type).tobytes(),
+                        [{"word": w, "m": m} for w, m in rare.items()]), strict=True):
+                    columns[name].append(value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(number, number + len(batch))), batch.column("doc_id"),
+                 batch.column("held_out"), pa.array(columns["n"], pa.int64()),
+                 pa.array(columns["known"], pa.int64()), pa.array(columns["base"], pa.float64()),
+                 pa.array(columns["inside"], pa.float64()), pa.array(columns["ids"], pa.binary()),
+                 pa.array(columns["rare"], rare_type)],
+                names=["uid", "doc_id", "held_out", "n_tokens", "known", "base", "inside", "ids", "rare"])
+            number += len(batch)
+    return run
+
+
+def encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``rows`` (doc_id, text, held_out) as a table of network ids, with the logs that the counts give."""
+    return written(rows.mapInArrow(_encoder(_shared(rows, vocabulary)), _ENCODED), "lm-encoded")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
+    """Rows of about ``limit`` tokens."""
+    group, size = [], 0
+    for batch in parts(batches, 64):
+        group.append(batch)
+        size += sum(batch.column("n_tokens").to_pylist())
+        if size >= limit:
+            yield pa.Table.from_batches(group)
+            group, size = [], 0
+    if group:
+        yield pa.Table.from_batches(group)
+
+
+def _documents(rows: pa.Table, id_type: np.dtype) -> list[np.ndarray]:
+    return [np.frombuffer(ids.as_buffer(), id_type) for ids in rows.column("ids")]
 
 
 def _trainer(shared, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, values = shared.value
-        model = gru.Model(vocabulary.layout)
+        layout, end, id_type, values = pickle.loads(shared.value)
+        model = gru.Model(layout)
         model.load(values)
-        tokens = gru.train(model, _groups(batches, vocabulary), vocabulary.end, rate)
+        groups = (_documents(rows, id_type) for rows in _groups(batches, GROUP))
+        tokens = gru.train(model, groups, end, rate)
         if tokens:
-            part = TaskContext.get().partitionId() % AVERAGES
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part]), pa.array([tokens]), pa.array([model.flat().tobytes()])],
+                [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([tokens]),
+                 pa.array([model.flat().tobytes()])],
                 names=["part", "tokens", "parameters"])
     return run
 
@@ -139,59 +189,48 @@ def _average(rows: pa.Table) -> pa.Table:
                     names=["tokens", "parameters"])
 
 
+def _merged(rows: pa.Table) -> pa.Table:
+    return _average(rows).add_column(0, "part", rows.column("part").slice(0, 1))
+
+
 def rounds(docs: DataFrame) -> list[DataFrame]:
-    """``docs`` (text) cut into the parts of the rounds; every row is in one of them."""
-    part = F.pmod(F.xxhash64("text"), F.lit(len(RATES)))
-    return [docs.select("text").where(part == i) for i in range(len(RATES))]
+    """``docs`` (ids, n_tokens) cut into the parts of the rounds; every row is in one of them."""
+    part = F.pmod(F.xxhash64("ids"), F.lit(len(RATES)))
+    return [docs.select("ids", "n_tokens").where(part == i) for i in range(len(RATES))]
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary) -> gru.Model:
-    """The network after one pass over all of ``docs`` (text), in rounds."""
-    model = gru.Model(vocabulary.layout)
+def learned(docs: DataFrame, vocabulary: Vocabulary) -> gru.Model:
+    """The network after one pass over all of ``docs`` (ids, n_tokens), in rounds."""
+    model, schema = gru.Model(vocabulary.layout), "part long, tokens long, parameters binary"
     for rate, part in zip(RATES, rounds(docs), strict=True):
-        shared = docs.sparkSession.sparkContext.broadcast((vocabulary, model.flat()))
-        found = part.mapInArrow(
-            _trainer(shared, rate), "part long, tokens long, parameters binary").groupBy(
-            "part").applyInArrow(_average, "tokens long, parameters binary").toArrow()
-        if len(found):
-            mean = _average(found).column("parameters")[0].as_py()
+        shared = _shared(docs, vocabulary.layout, vocabulary.end, vocabulary.id_type, model.flat())
+        found = written(part.mapInArrow(_trainer(shared, rate), schema), "lm-models")
+        while (n := found.count()) > AVERAGED:
+            fewer = found.withColumn("part", F.col("part") % math.ceil(n / AVERAGED))
+            found = written(fewer.groupBy("part").applyInArrow(_merged, schema), "lm-models")
+        if n:
+            mean = _average(found.orderBy("part").toArrow()).column("parameters")[0].as_py()
             model.load(np.frombuffer(mean, np.float32))
     return model
 
 
+def train(docs: DataFrame, vocabulary: Vocabulary) -> gru.Model:
+    """The network after one pass over all of ``docs`` (text)."""
+    return learned(encoded(docs.select(
+        F.lit(None).cast("long").alias("doc_id"), "text", F.lit(False).alias("held_out")),
+        vocabulary), vocabulary)
+
+
 def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, values = shared.value
-        model = gru.Model(vocabulary.layout)
+        layout, end, id_type, values = pickle.loads(shared.value)
+        model = gru.Model(layout)
         model.load(values)
-        known, part, number = vocabulary.known, TaskContext.get().partitionId(), 0
-        for batch in batches:
-            docs, columns = [], {name: [] for name in ("n", "known", "base", "inside", "rare")}
-            for text in batch.column("text").to_pylist():
-                words, places, ids = vocabulary.look_up(text)
-                held = places >= 0
-                base = vocabulary.logs[places[held]].sum()
-                # Within a tail class the counts decide; those of rare words are added later.
-                tails = ids[ids >= known] - known
-                inside = vocabulary.logs[places[held & (ids >= known)]].sum()
-                rare = Counter([words[i] for i in np.flatnonzero(~held)])
-                docs.append(ids[:-1])
-                for name, value in zip(columns, (
-                        len(ids), int(held.sum()), base - len(ids) * vocabulary.base_log,
-                        inside - vocabulary.tail_log[tails].sum(),
-                        [{"word": w, "m": m} for w, m in rare.items()]), strict=True):
-                    columns[name].append(value)
-            logs = gru.score(model, docs, vocabulary.end) / math.log(10)
-            uids = np.arange(number, number + len(docs)) + (part << 36)
-            number += len(docs)
-            rare_type = pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int32())]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(uids), batch.column("doc_id"), batch.column("held_out"),
-                 pa.array(columns["n"], pa.int64()), pa.array(columns["known"], pa.int64()),
-                 pa.array(columns["base"], pa.float64()),
-                 pa.array(logs + np.asarray(columns["inside"])),
-                 pa.array(columns["rare"], rare_type)],
-                names=["uid", "doc_id", "held_out", "n_tokens", "known", "base", "model", "rare"])
+        for rows in _groups(batches, SCORED):
+            logs = gru.score(model, _documents(rows, id_type), end) / math.log(10)
+            scored = pa.array(logs + rows.column("inside").to_numpy())
+            yield from rows.drop_columns(["ids", "inside"]).append_column(
+                "model", scored).combine_chunks().to_batches()
     return run
 
 
@@ -207,15 +246,16 @@ def score(df: DataFrame, held_out: Column) -> DataFrame:
     training = rows.where("NOT held_out")
     counts = word_counts(training)
     vocabulary = Vocabulary(counts)
-    model = train(training, vocabulary)
-    shared = df.sparkSession.sparkContext.broadcast((vocabulary, model.flat()))
-    scored = written(rows.mapInArrow(_scorer(shared), _SCORED), "lm-scored")
+    table = encoded(rows, vocabulary)
+    model = learned(table.where("NOT held_out"), vocabulary)
+    shared = _shared(df, vocabulary.layout, vocabulary.end, vocabulary.id_type, model.flat())
+    scored = written(table.drop("rare").mapInArrow(_scorer(shared), _SCORED), "lm-scored")
     # Counts of the words that tasks do not hold; a missing count is 0 and adds log10 1.
-    rare = scored.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.m")
+    rare = table.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.m")
     added = rare.join(counts, "word").groupBy("uid").agg(
         F.sum(F.col("m") * F.log10(F.col("c") + 1)).alias("log"), F.sum("m").alias("known"))
     log = F.coalesce("log", F.lit(0.0))
-    return scored.drop("rare").join(added.withColumnRenamed("known", "more"), "uid", "left").select(
+    return scored.join(added.withColumnRenamed("known", "more"), "uid", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
