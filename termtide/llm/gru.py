@@ -21,12 +21,20 @@ def ordered(values: np.ndarray, n: int) -> np.ndarray:
 
 
 def log_softmax(scores: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log probability of every row's own column, sums); ``scores`` become their exponentials."""
-    np.clip(scores, -RANGE, RANGE, out=scores)
-    mine = scores[np.arange(len(own)), own]
+    """Log probability of every row's ``own`` place in all of ``scores``, which become exponentials,
+    and the reciprocal sums of the rows."""
+    np.minimum(scores, RANGE, out=scores)
+    np.maximum(scores, -RANGE, out=scores)
+    mine = scores.take(own)
     np.exp(scores, out=scores)
     sums = scores @ np.ones(scores.shape[1], scores.dtype)
-    return mine - np.log(sums), sums
+    return mine - np.log(sums), (1 / sums)[:, None]
+
+
+def error(scores: np.ndarray, parts: np.ndarray, own: np.ndarray) -> None:
+    """Turn exponentials into the gradient of the loss: probabilities, less one at ``own``."""
+    scores *= parts
+    scores.reshape(-1)[own] -= 1
 
 
 class Layout:
@@ -85,8 +93,10 @@ class Model:
         size = HIDDEN
         rec = h @ self.p["recurrent"]
         gates = inputs[:, :2 * size] + rec[:, :2 * size]
-        np.clip(gates, -30, 30, out=gates)
-        gates = 1 / (1 + np.exp(-gates))
+        gates *= 0.5  # the logistic function by tanh, which cannot overflow
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
         r, z = gates[:, :size], gates[:, size:]
         n = np.tanh(inputs[:, 2 * size:] + r * rec[:, 2 * size:])
         return n + z * (h - n), r, z, n, rec[:, 2 * size:]
@@ -100,11 +110,12 @@ class Model:
         classes = layout.class_of[targets]
         logits = h @ p["class_weights"]
         logits += p["class_bias"]
-        found, sums = log_softmax(logits, classes)
+        rows = np.arange(len(classes))
+        own = rows * layout.classes + classes
+        found, parts = log_softmax(logits, own)
         d_found = None
         if grads is not None:
-            logits /= sums[:, None]
-            logits[np.arange(len(classes)), classes] -= 1
+            error(logits, parts, own)
             grads["class_weights"] += h.T @ logits
             grads["class_bias"] += logits.sum(axis=0)
             d_found = logits @ p["class_weights"].T
@@ -112,14 +123,14 @@ class Model:
         for c in np.flatnonzero(np.diff(edges)):
             at = slice(edges[c], edges[c + 1])
             lo, hi = layout.starts[c], layout.starts[c + 1]
-            weights, word = p["word_weights"][lo:hi], targets[at] - lo
+            weights = p["word_weights"][lo:hi]
+            own = rows[:edges[c + 1] - edges[c]] * (hi - lo) + (targets[at] - lo)
             scores = h[at] @ weights.T
             scores += p["word_bias"][lo:hi]
-            own, sums = log_softmax(scores, word)
-            found[at] += own
+            logp, parts = log_softmax(scores, own)
+            found[at] += logp
             if grads is not None:
-                scores /= sums[:, None]
-                scores[np.arange(len(word)), word] -= 1
+                error(scores, parts, own)
                 grads["word_weights"][lo:hi] += scores.T @ h[at]
                 grads["word_bias"][lo:hi] += scores.sum(axis=0)
                 d_found[at] += scores @ weights
@@ -147,9 +158,11 @@ class Model:
         grads = {k: np.zeros_like(v) for k, v in p.items()}
         every = np.concatenate(states)
         flat = used.ravel()
-        _, d_used = self.outputs(every[flat], targets.ravel()[flat], grads)
-        d_every = np.zeros_like(every)
-        d_every[flat] = d_used
+        if flat.all():
+            _, d_every = self.outputs(every, targets.ravel(), grads)
+        else:
+            d_every = np.zeros_like(every)
+            d_every[flat] = self.outputs(every[flat], targets.ravel()[flat], grads)[1]
         lanes = ids.shape[1]
         d_inputs = np.empty((steps, lanes, 3 * size), np.float32)
         d_h = np.zeros((lanes, size), np.float32)
