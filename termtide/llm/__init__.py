@@ -1,7 +1,7 @@
 """Operators for building training data.
 
-Nothing outside this package imports it. Its functions travel to the executors by value. Broadcast
-objects of its classes (``lm``, ``language``) do not, so those jobs need the package on the executors too.
+Nothing outside this package imports it. Its functions travel to the executors by value, and so does what
+``lm`` broadcasts. Objects that ``language`` broadcasts do not, so that job needs the package there too.
 """
 
 import sys

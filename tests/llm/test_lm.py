@@ -150,3 +150,29 @@ def test_unusual_rows(spark):
     assert lm.score(df.where("false"), F.lit(False)).collect() == []
     nothing = lm.score(df, F.lit(True)).collect()
     assert all(r.n_known == 0 and r.base_score == 0 for r in nothing)
+
+
+def test_lanes_are_as_large_as_the_documents():
+    docs = [np.arange(n, dtype=np.int32) for n in (100_000, *[3] * 500)]
+    inputs, targets, fresh, owner, base, filled = gru.lanes_of(docs, 7, 256)
+    assert len(inputs) == len(targets) == len(owner) == filled.sum() == 100_001 + 500 * 4
+    assert fresh.sum() == len(docs) and filled.max() == 100_001
+    assert (np.bincount(owner) == [len(d) + 1 for d in docs]).all()
+
+
+def test_many_models_are_averaged_in_levels(spark, monkeypatch):
+    texts = [(f"text {i} of some",) for i in range(200)]
+    training = spark.createDataFrame(texts, "text string").repartition(7)
+    vocabulary = lm.Vocabulary(lm.word_counts(training))
+    seen, average = [], lm._average
+
+    def recorded(rows):
+        found = average(rows)
+        seen.append((len(rows), found.column("tokens")[0].as_py()))
+        return found
+
+    monkeypatch.setattr(lm, "AVERAGED", 2)
+    monkeypatch.setattr(lm, "_average", recorded)
+    model = lm.train(training, vocabulary)
+    assert np.isfinite(model.flat()).all()
+    assert all(n <= 2 for n, _ in seen) and sum(t for _, t in seen) == vocabulary.tokens
