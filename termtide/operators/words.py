@@ -8,17 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termtide import params
-from termtide.functions.text import is_stop_word, longer_than, token_array
+from termtide.functions.text import is_stop_word, longer_than, token_array, with_numbers
 from termtide.operators.counts import word_counts
 
 
 def tokens(df: DataFrame, text: str = "text", keep: Iterable[str] = (), *,
-           min_len: int = params.MIN_LEN, fold_case: bool = False) -> DataFrame:
-    """One row per token longer than ``min_len``: the ``keep`` columns and ``word``."""
-    source = F.lower(F.col(text)) if fold_case else F.col(text)
-    return (
-        df.select(*keep, F.explode(token_array(source)).alias("word"))
-        .where(longer_than(F.col("word"), min_len)))
+           min_len: int = params.MIN_LEN, fold_case: bool = False,
+           counted: bool = False) -> DataFrame:
+    """One row per token longer than ``min_len``: the ``keep`` columns and ``word``.
+
+    If ``counted``, one row per row of ``df`` and distinct token, and ``n``: how often it is in it.
+    """
+    found = token_array(F.lower(F.col(text)) if fold_case else F.col(text))
+    each = F.inline(with_numbers(found)) if counted else F.explode(found).alias("word")
+    return df.select(*keep, each).where(longer_than(F.col("word"), min_len))
 
 
 def drop_stop_words(words: DataFrame,
@@ -37,9 +40,10 @@ def drop_stop_words(words: DataFrame,
 
 def prepared_words(df: DataFrame, text: str = "text", keep: Iterable[str] = (), *,
                    min_len: int = params.MIN_LEN, fold_case: bool = False,
-                   stop_words: Iterable[str] = params.STOP_WORDS) -> DataFrame:
-    """Tokens without stop words, not yet stemmed."""
-    found = tokens(df, text, keep, min_len=min_len, fold_case=fold_case)
+                   stop_words: Iterable[str] = params.STOP_WORDS,
+                   counted: bool = False) -> DataFrame:
+    """Tokens without stop words, not yet stemmed; ``counted`` as in ``tokens``."""
+    found = tokens(df, text, keep, min_len=min_len, fold_case=fold_case, counted=counted)
     return drop_stop_words(found, stop_words)
 
 

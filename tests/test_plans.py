@@ -9,7 +9,8 @@ from termtide.operators.counts import word_counts
 from termtide.operators.descriptions import submitted_descriptions
 from termtide.operators.ranking import heavy_hitters
 from termtide.operators.submissions import accepted
-from termtide.operators.words import prepared_words
+from termtide.operators.words import prepared_words, tokens
+from termtide.plans import queries
 from termtide.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -35,6 +36,24 @@ def test_documents_are_read_by_column(spark):
     assert "partial_count" in text
 
 
+@pytest.mark.parametrize("query", ["q05_tokens"])
+def test_words_per_document_are_not_shuffled(spark, monkeypatch, query):
+    monkeypatch.setattr(queries, "spread", lambda df, *keys: df)  # as with a large input
+    assert "Exchange" not in plan(QUERIES[query](spark, SF_DIR))
+
+
+@pytest.mark.parametrize("words", [tokens, prepared_words])
+def test_words_per_document_are_added_up_over_rows_with_the_same_id(spark, rows, words):
+    df = spark.createDataFrame(
+        [(1, "xx yy xx"), (2, "xx zz"), (2, "zz"), (None, "xx"), (None, "xx"), (3, None)],
+        "doc_id long, text string")
+    found = queries._per_document(df, words)
+    expected = words(df, keep=["doc_id"]).groupBy("doc_id", "word").count()
+    assert sorted(map(str, found.collect())) == sorted(
+        map(str, expected.withColumnRenamed("count", "n").collect()))
+    assert found.count() == 5
+
+
 def test_top_words_are_not_fully_sorted(spark):
     text = plan(QUERIES["q15_top_words"](spark, SF_DIR))
     assert "TakeOrderedAndProject" in text and "rangepartitioning" not in text

@@ -31,6 +31,15 @@ def test_length_counts_utf16_units(spark, rows):
     assert rows(tokens(texts(spark, "\U0001F600 é x"))) == [("\U0001F600",)]
 
 
+def test_counted_tokens_are_those_of_every_row(spark, rows):
+    df = texts(spark, "b\u00e4r ab ab", None, "", "ab ab ab Ab", ".").unionByName(texts(spark, "zz ab"))
+    found = tokens(df, keep=["doc_id"], counted=True)
+    assert found.columns == ["doc_id", "word", "n"]
+    assert rows(found) == [
+        (0, "ab", 1), (0, "ab", 2), (0, "b\u00e4r", 1), (0, "zz", 1), (3, "Ab", 1), (3, "ab", 3)]
+    assert rows(prepared_words(texts(spark, "The the stop THE stop"), counted=True)) == [("stop", 2)]
+
+
 def test_min_len(spark, rows):
     assert rows(tokens(texts(spark, "ab abc abcd"), min_len=3)) == [("abcd",)]
 
