@@ -36,7 +36,7 @@ def test_documents_are_read_by_column(spark):
     assert "partial_count" in text
 
 
-@pytest.mark.parametrize("query", ["q05_tokens"])
+@pytest.mark.parametrize("query", ["q05_tokens", "q06_filtered_words"])
 def test_words_per_document_are_not_shuffled(spark, monkeypatch, query):
     monkeypatch.setattr(queries, "spread", lambda df, *keys: df)  # as with a large input
     assert "Exchange" not in plan(QUERIES[query](spark, SF_DIR))
