@@ -12,7 +12,6 @@ A record is a table of at most cells + candidates + 1 rows per part: ``kind, wor
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -36,42 +35,56 @@ RECORD = T.StructType([
 ])
 # Words whose cells a task remembers.
 KNOWN = 100_000
+# Rows, and bytes of them, that a task counts at once.
+ROWS, BYTES = 2_000_000, 64 << 20
 
 
 def _summaries(eps: float, delta: float, seed: int, pct: float):
     width, depth, size, known_limit = width_of(eps), depth_of(delta), math.ceil(1 / pct), KNOWN
+    rows_limit, bytes_limit = ROWS, BYTES
     kinds, names = (CELL, CANDIDATE, TOTAL), RECORD.fieldNames()
 
     # A local function, so that it is shipped to the executors by value.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(depth * width, np.int64)
         counters: dict[str, int] = {}
-        known: dict[str, list[int]] = {}
-        total = 0
+        known: dict[str, bytes] = {}  # the first words, frequent ones among them
+        prefixes = [f"{seed}:{r}:".encode() for r in range(depth)]
+        starts = np.arange(depth) * width
 
-        def places(word: str) -> list[int]:
+        def hashes(word: str) -> bytes:
             found = known.get(word)
             if found is None:
-                if len(known) >= known_limit:
-                    known.clear()
-                found = known[word] = [
-                    r * width + int(hashlib.md5(
-                        f"{seed}:{r}:{word}".encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % width
-                    for r in range(depth)]
+                data = word.encode("utf-8", "surrogatepass")
+                found = b"".join([hashlib.md5(p + data).digest()[:4] for p in prefixes])
+                if len(known) < known_limit:
+                    known[word] = found
             return found
 
-        for batch in batches:
-            counted = pc.value_counts(batch.column("word").drop_null())
-            words = counted.field("values").to_pylist()
-            n = counted.field("counts").to_numpy()
+        def gathered() -> Iterator[pa.Table]:
+            held, rows, size_of = [], 0, 0
+            for batch in batches:
+                held.append(batch)
+                rows, size_of = rows + batch.num_rows, size_of + batch.nbytes
+                if rows >= rows_limit or size_of >= bytes_limit:
+                    yield pa.Table.from_batches(held)
+                    held, rows, size_of = [], 0, 0
+            if held:
+                yield pa.Table.from_batches(held)
+
+        total = 0
+        for table in gathered():
+            counted = pc.value_counts(table.column("word").drop_null())
+            words, n = counted.field("values").to_pylist(), counted.field("counts").to_numpy()
             total += int(n.sum())
-            if words:
-                np.add.at(cells, np.array([places(w) for w in words]), n[:, None])
+            found = np.frombuffer(b"".join(map(hashes, words)), ">u4").reshape(-1, depth)
+            np.add.at(cells, found % width + starts, n[:, None])
             for word, count in zip(words, n.tolist(), strict=True):
                 counters[word] = counters.get(word, 0) + count
             if len(counters) > size:
                 # The largest one that has to go takes as much from all the others.
-                least = heapq.nlargest(size + 1, counters.values())[-1]
+                values = np.fromiter(counters.values(), np.int64, len(counters))
+                least = int(np.partition(values, -size - 1)[-size - 1])
                 counters = {w: c - least for w, c in counters.items() if c > least}
         used = np.flatnonzero(cells)
         rows = [*counters.items()]

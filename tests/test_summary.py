@@ -57,6 +57,32 @@ def test_record_does_not_grow_with_the_vocabulary(spark, monkeypatch):
     assert [r.word for r in heavy_hitters_of(summary(many, **PCT), **PCT).collect()] == ["often"]
 
 
+def test_record_of_words_taken_in_several_parts(spark, rows, monkeypatch):
+    df = words_of(spark, [*zipf(4, 6_000), None], 3)
+    whole = summary(df, **PCT)
+    monkeypatch.setattr(module, "ROWS", 300)
+    monkeypatch.setattr(module, "KNOWN", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        parts = summary(df, **PCT)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert rows(cells_of(parts)) == rows(cells_of(whole))
+    assert total_of(parts).first().total == 6_000
+    assert rows(heavy_hitters_of(parts, **PCT)) == rows(heavy_hitters_of(whole, **PCT)) != []
+
+
+def test_batches_are_counted_together(monkeypatch):
+    """A word that is in every one of many batches is counted once, not once a batch."""
+    made = []
+    monkeypatch.setattr(module.pc, "value_counts", lambda x, f=module.pc.value_counts: (
+        made.append(len(x)), f(x))[1])
+    batches = [module.pa.RecordBatch.from_pydict({"word": ["often", f"w{i}"]}) for i in range(1_000)]
+    found = next(module._summaries(0.005, 0.01, 314, 0.02)(iter(batches))).to_pylist()
+    assert made == [2_000]
+    assert [r["n"] for r in found if r["kind"] == "total"] == [2_000]
+
+
 def test_merged_records_are_those_of_the_whole(spark, rows):
     first, second = zipf(2), ["x"] * 900 + zipf(3, 3_000)
     whole = summary(words_of(spark, first + second), **PCT)
