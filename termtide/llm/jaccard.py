@@ -136,19 +136,27 @@ def _packer(bits: int, frequent):
 
 
 def pack(shingles: np.ndarray, bits: int) -> bytes:
-    """Sorted shingles of one bucket in 7 bytes each, without the bits that name the bucket
-    (at least 8 of them), in 8 bytes otherwise."""
-    width = 7 if bits >= 8 else 8
-    return np.ascontiguousarray(shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-                                ).tobytes()
+    """Sorted shingles of one bucket in 6 bytes each. The bits that name the bucket are left out; what
+    is between them and the 6 bytes follows from how many shingles there are with each value of it."""
+    spans = 1 << max(0, 16 - bits)
+    span = (shingles >> np.uint64(48) & np.uint64(spans - 1)).astype(np.int64)
+    counts = np.bincount(span, minlength=spans).astype("<u4")
+    # Byte by byte, as the upper ones are mostly 0 and compress to nothing.
+    head = np.ascontiguousarray(counts.view(np.uint8).reshape(-1, 4).T)
+    low = np.ascontiguousarray(shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+    return head.tobytes() + low.tobytes()
 
 
 def unpack(data: bytes, bucket: int, bits: int) -> np.ndarray:
-    width = 7 if bits >= 8 else 8
-    raw = np.zeros((len(data) // width, 8), np.uint8)
-    raw[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    low = raw.reshape(-1).view("<u8") & np.uint64((1 << 64 - bits) - 1)
-    return low | np.uint64(bucket << 64 - bits)
+    spans = 1 << max(0, 16 - bits)
+    head = np.frombuffer(data, np.uint8, 4 * spans).reshape(4, spans)
+    counts = np.ascontiguousarray(head.T).view("<u4").reshape(-1)
+    low = np.frombuffer(data, np.uint8, offset=4 * spans).reshape(-1, 6)
+    raw = np.zeros((len(low), 8), np.uint8)
+    raw[:, :6] = low
+    span = np.repeat(np.arange(spans, dtype=np.uint64) << np.uint64(48), counts)
+    below = (raw.reshape(-1).view("<u8") | span) & np.uint64((1 << 64 - bits) - 1)
+    return below | np.uint64(bucket << 64 - bits)
 
 
 def _shared_in_bucket(bits: int):

@@ -2,6 +2,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from termtide.llm import jaccard
@@ -139,3 +140,18 @@ def test_groups_of_small_clusters_do_not_grow_with_the_corpus():
     for weight in (0, 1, jaccard.BLOCK, 10_000 * jaccard.BLOCK + 1):
         tasks = jaccard._tasks(weight, 4)
         assert tasks >= 64 and weight <= tasks * jaccard.BLOCK
+
+
+@pytest.mark.parametrize("bits", [6, 8, 9, 16, 20])
+def test_packed_shingles_take_six_bytes(bits):
+    rng = np.random.default_rng(bits)
+    for bucket in (0, (1 << bits) - 1):
+        own = rng.integers(0, 1 << 64, 5_000, dtype=np.uint64) >> np.uint64(bits)
+        own[0], own[1], own[2] = 0, (1 << 64 - bits) - 1, own[3]  # the ends, and one that is there twice
+        shingles = np.sort(own | np.uint64(bucket << 64 - bits))
+        data = jaccard.pack(shingles, bits)
+        assert (jaccard.unpack(data, bucket, bits) == shingles).all()
+        head = 4 << max(0, 16 - bits)
+        assert len(data) == 6 * len(shingles) + head
+        # The counts before them compress: their upper bytes are 0.
+        assert not any(data[head // 4 * 2:head])
