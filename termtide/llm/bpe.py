@@ -21,9 +21,9 @@ from pyspark.sql import types as T
 
 from termtide.llm.common import parts
 
-# Distinct pre-tokens and words that a worker remembers before it starts anew; bounds memory,
-# not results.
-CACHE = 600_000
+# Distinct pre-tokens and words that a worker remembers, both together, before it starts anew; bounds
+# memory, not results.
+CACHE = 1_600_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,8 +53,9 @@ class RankQueue:
         before = list(range(-1, n))
         pending = [None] * (n + 1)  # rank of the pair that starts here, as it is now
         for left in range(n - 1):
-            pending[left] = rank = get(piece[left:left + 2])
+            rank = get(piece[left:left + 2])
             if rank is not None:
+                pending[left] = rank
                 if rank in buckets:
                     buckets[rank].append(left)  # ascending, so still a heap
                 else:
@@ -125,13 +126,23 @@ class Encoder:
         self.queue = RankQueue(max(ranks.values(), default=0))
         self.pieces, self.words = memory
 
+    def merged(self, piece: str) -> bytes:
+        data = piece.encode()
+        whole = self.ranks.get(data)
+        ids = self.queue.merge(data, self.ranks) if whole is None else (whole,)
+        return array("i", ids).tobytes()
+
     def piece(self, piece: str) -> bytes:
         known = self.pieces.get(piece)
         if known is None:
-            data = piece.encode()
-            whole = self.ranks.get(data)
-            ids = self.queue.merge(data, self.ranks) if whole is None else (whole,)
-            known = self.pieces[piece] = array("i", ids).tobytes()
+            known = self.pieces[piece] = self.merged(piece)
+        return known
+
+    def letters(self, word: str) -> bytes:
+        """Ids of a space and letters, remembered as those of the word alone."""
+        known = self.words.get(word)
+        if known is None:
+            known = self.words[word] = self.merged(" " + word)
         return known
 
     def by_pattern(self, text: str) -> bytes:
@@ -142,17 +153,17 @@ class Encoder:
         its surroundings. Letters alone are one pre-token, a comma or full stop after them another.
         """
         if word.isalpha():
-            return self.piece(" " + word)
+            return self.letters(word)
         if word[-1:] in (",", ".") and word[:-1].isalpha():
-            return self.piece(" " + word[:-1]) + self.piece(word[-1])
+            return self.letters(word[:-1]) + self.piece(word[-1])
         if not word or word[0].isspace() or word[-1].isspace():
             return None
         return self.by_pattern(" " + word)
 
     def __call__(self, text: str) -> bytes:
-        for memory in (self.words, self.pieces):
-            if len(memory) > CACHE:
-                memory.clear()
+        if len(self.words) + len(self.pieces) > CACHE:
+            self.words.clear()
+            self.pieces.clear()
         first, *rest = text.split(" ")
         if rest and (not first or first[-1].isspace()):
             return self.by_pattern(text)

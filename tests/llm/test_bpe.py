@@ -73,3 +73,13 @@ def test_digests(documents):
     assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, expected)).encode()).hexdigest()
     assert row.decoded_sha256 == hashlib.sha256(b"to be").hexdigest()
     assert public_tokenizers.path("byte_bpe_50k.tiktoken") == PATH
+
+
+def test_a_word_is_remembered_once(monkeypatch):
+    encoder = bpe.Encoder(RANKS, PATTERN, ({}, {}))
+    text = "so hello, hello world hello"
+    ids = encoder(text)
+    assert sum("hello" == w.strip() for w in [*encoder.words, *encoder.pieces]) == 1
+    monkeypatch.setattr(bpe, "CACHE", 3)  # of both together
+    assert encoder("x " + text) and len(encoder.words) + len(encoder.pieces) <= 6
+    assert encoder(text) == ids
