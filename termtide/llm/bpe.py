@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termtide.llm.common import parts
+from termtide.llm.common import freeing, parts
 
 # Distinct pre-tokens and words that a worker remembers, both together, before it starts anew; bounds
 # memory, not results.
@@ -216,7 +216,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids)],
                                              names=[*batch.schema.names, output])
 
-    return df.mapInArrow(run, _with_columns(df, {output: _IDS}))
+    return df.mapInArrow(freeing(run), _with_columns(df, {output: _IDS}))
 
 
 def _tokens(df: DataFrame, ranks_path: str):
@@ -240,7 +240,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())],
                                              names=[*batch.schema.names, output])
 
-    return df.mapInArrow(run, _with_columns(df, {output: T.BinaryType()}))
+    return df.mapInArrow(freeing(run), _with_columns(df, {output: T.BinaryType()}))
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
@@ -257,7 +257,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
                 [*batch.columns, _lists(ids), pa.array(texts, pa.binary())],
                 names=[*batch.schema.names, output, decoded])
 
-    return df.mapInArrow(run, _with_columns(df, {output: _IDS, decoded: T.BinaryType()}))
+    return df.mapInArrow(freeing(run), _with_columns(df, {output: _IDS, decoded: T.BinaryType()}))
 
 
 def digests(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +66,26 @@ def parts(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
             yield batch.slice(lo, rows)
 
 
+def give_back() -> None:
+    """Return the memory that this process has freed to the system. Arrow and the C library keep it
+    otherwise, and an idle worker counts beside the heap of its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, after which the worker keeps no memory that it does not use."""
+    @functools.wraps(run)
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return freed
+
+
 def replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     """``batch`` with another column ``name``, which may change its type. It has to be there, once."""
     i = batch.schema.get_field_index(name)

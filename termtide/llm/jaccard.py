@@ -30,7 +30,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termtide.llm.common import parts, written
+from termtide.llm.common import freeing, give_back, parts, written
 from termtide.llm.components import components
 from termtide.llm.shingles import WordHasher, shingle_sets
 
@@ -185,6 +185,8 @@ def _shared_in_bucket(bits: int):
             [pa.array(uids[more]), pa.array(shingles[more].view(np.int64)),
              pa.array(df[more].astype(np.int64)), nulls, nulls, nulls, pa.nulls(m, pa.binary()),
              pa.nulls(m, pa.list_(pa.int64()))], names=names)
+        del shingles, uids, first, counts, df, more
+        give_back()
         # Every chunk is a message of its own, which the executor holds beside its heap.
         return pa.Table.from_batches(found.to_batches(RETURNED), found.schema)
     return run
@@ -197,7 +199,7 @@ def shared_shingles(df: DataFrame, row: str | None = None) -> tuple[DataFrame, D
     spark = df.sparkSession
     texts = df.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"),
                       "doc_id", "text")
-    counted = written(texts.mapInArrow(_count_frequent, "shingle long, docs long")
+    counted = written(texts.mapInArrow(freeing(_count_frequent), "shingle long, docs long")
                       .groupBy("shingle").agg(F.sum("docs").alias("docs")), "jaccard-frequent")
     total = counted.where("shingle IS NULL").agg(F.sum("docs")).first()[0] or 0
     least = HOT_SHARE * texts.count()
@@ -205,7 +207,8 @@ def shared_shingles(df: DataFrame, row: str | None = None) -> tuple[DataFrame, D
     values = np.sort(np.asarray(
         hot.select("shingle").toArrow().column(0).to_numpy(), np.int64).view(np.uint64))
     bits = _bucket_bits(total)
-    packed = texts.mapInArrow(_packer(bits, spark.sparkContext.broadcast(values)), _INDEX)
+    packed = texts.mapInArrow(
+        freeing(_packer(bits, spark.sparkContext.broadcast(values))), _INDEX)
     both = written(packed.groupBy("bucket").applyInArrow(_shared_in_bucket(bits), _SHARED),
                    "jaccard-shared")
     documents = both.where("shingle IS NULL").select(
@@ -351,6 +354,8 @@ def _link_groups(rows: pa.Table) -> pa.Table:
     for at in own.values():
         _, uid, n, prefix, label, left = ([c[i] for i in at] for c in columns)
         pairs += [(uid[i], uid[j]) for i, j in links(n, [lists[i] for i in at], prefix, label, left)]
+    del columns, lists
+    give_back()
     return pa.table([pa.array([p[0] for p in pairs], pa.int64()),
                      pa.array([p[1] for p in pairs], pa.int64())], names=["u", "v"])
 

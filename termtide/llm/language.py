@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termtide.llm.common import parts, slices, written
+from termtide.llm.common import freeing, parts, slices, written
 
 UNKNOWN = "und"
 # A trigram belongs to a language if it makes up this share of its trigrams, and this share of the
@@ -164,7 +164,7 @@ def _counted(letters) -> object:
 def gram_counts(labelled: DataFrame, letters) -> DataFrame:
     """lang, gram, n over all rows of text and lang; summed in the task before the shuffle."""
     partial = labelled.select("text", "lang").mapInArrow(
-        _counted(letters), "lang string, gram long, n long")
+        freeing(_counted(letters)), "lang string, gram long, n long")
     return partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -216,9 +216,9 @@ def predict(df: DataFrame, filters: Filters, *, text: str = "text", lang: str =
                     names=[*batch.schema.names, lang, score])
 
     if drop_rejected:
-        return df.mapInArrow(run, df.schema)
+        return df.mapInArrow(freeing(run), df.schema)
     if {lang, score} & set(df.columns):
         raise ValueError(f"the input already has a column {lang} or {score}")
-    return df.mapInArrow(run, T.StructType([
+    return df.mapInArrow(freeing(run), T.StructType([
         *df.schema.fields, T.StructField(lang, T.StringType()),
         T.StructField(score, T.DoubleType())]))

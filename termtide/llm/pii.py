@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from termtide.llm.common import parts, replaced
+from termtide.llm.common import freeing, parts, replaced
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -288,7 +288,7 @@ def spans(df: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays],
                                              names=[*batch.schema.names, *names])
 
-    return df.mapInArrow(run, T.StructType(
+    return df.mapInArrow(freeing(run), T.StructType(
         [*df.schema.fields, *(T.StructField(name, _SPANS) for name in names)]))
 
 
@@ -304,4 +304,4 @@ def redacted(df: DataFrame, text: str = "text", n_chars: str | None = None) -> D
                 batch = replaced(batch, n_chars, pa.array(lengths, pa.int64()))
             yield batch
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(freeing(run), df.schema)

@@ -66,7 +66,7 @@ def _pieces(texts: list[str | None], limit: int) -> Iterator[tuple[int, bytes]]:
 
 
 def word_hashes(texts: list[str | None], hasher: WordHasher,
-                limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+                limit: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, number of words of every text) of whole texts, in order."""
     hashes, counts = [np.empty(0, np.uint64)], np.zeros(len(texts), np.int64)
     group: list[tuple[int, bytes]] = []
