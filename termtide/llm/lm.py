@@ -72,7 +72,7 @@ class Vocabulary:
         names, c = held.column("word").to_pylist(), held.column("c").to_pylist()
         known = min(WORDS, len(names))
         # A tail class holds the words beyond the known ones by their last bytes.
-        tail = F.crc32(F.expr(f"right(word, {TAIL_BYTES})")) % TAILS
+        tail = F.crc32(F.substring("word", -TAIL_BYTES, TAIL_BYTES)) % TAILS
         self.tail_tokens, self.tail_types = np.zeros(TAILS), np.zeros(TAILS)
         for row in counts.groupBy(tail.alias("tail")).agg(
                 F.sum("c").alias("n"), F.count("*").alias("v")).collect():

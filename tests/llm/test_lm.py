@@ -176,3 +176,16 @@ def test_many_models_are_averaged_in_levels(spark, monkeypatch):
     model = lm.train(training, vocabulary)
     assert np.isfinite(model.flat()).all()
     assert all(n <= 2 for n, _ in seen) and sum(t for _, t in seen) == vocabulary.tokens
+
+
+def test_tail_classes_go_by_bytes_in_every_script(spark, monkeypatch):
+    monkeypatch.setattr(lm, "WORDS", 2)
+    texts = ["日本 日本 é 語 a b", "日本 x", "本 日 É", "été allé café"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vocabulary = lm.Vocabulary(lm.word_counts(df))
+    counts = Counter(w for t in texts for w in [*t.encode().lower().split(), lm.END])
+    expected = np.zeros(lm.TAILS)
+    for w in sorted(counts, key=lambda w: (-counts[w], w))[2:]:
+        expected[lm.tail_of(w)] += counts[w]
+    assert (vocabulary.tail_tokens == expected).all()
+    assert all(math.isfinite(r.score) and r.score < 0 for r in lm.score(df, F.lit(False)).collect())
