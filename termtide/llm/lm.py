@@ -1,6 +1,7 @@
 """Language-model scores of whole documents by a gated recurrent network.
 
-Counts of all words of all training documents come from one aggregation. The network reads and
+Tasks count the distinct words of many training texts at once, and one aggregation adds the counts
+up. The network reads and
 predicts the most frequent words; any other word belongs to one of a few tail classes by its last
 bytes, the network predicts the class and the counts the word within it, so every word has a
 probability and all sum to one. Texts are cut into words and looked up once, into a table of network
@@ -13,17 +14,17 @@ from __future__ import annotations
 import math
 import pickle
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termtide.llm import gru
-from termtide.llm.common import ascii_lower, parts, written
+from termtide.llm.common import freeing, parts, written
 
 # Words that the network knows, and tail classes for the rest.
 WORDS, TAILS = 1024, 32
@@ -32,6 +33,8 @@ HELD = 200_000
 # Learning rate of every round. The training documents are cut into that many parts by a hash of
 # their ids, and the network learns from every one of them in its round.
 RATES = (0.01, 0.004)
+# Bytes of text that a task cuts into words at once; a longer text is cut alone.
+CUT = 8 << 20
 # Tokens that a task takes together, to learn from and to score.
 GROUP, SCORED = 1_000_000, 4_000_000
 # Models that are averaged at a time, by a task or the driver.
@@ -45,21 +48,43 @@ _ENCODED = ("uid long, doc_id long, held_out boolean, n_tokens long, known long,
 _SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double"
 
 
-def words(text: Column) -> Column:
-    """The words of a text, their case as it is, and the end mark; null counts as empty."""
-    every = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")
-    return F.concat(F.filter(every, lambda w: w != ""), F.array(F.lit(END.decode())))
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts as bytes, one text after another, and the place of the text that each
+    is from. Only A to Z are lower-cased and only ASCII white space parts words; null counts as empty."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words = cut.flatten().cast(pa.binary())
+    real = pc.greater(pc.binary_length(words), 0)  # white space at either end leaves an empty one
+    return words.filter(real), pc.list_parent_indices(cut).filter(real).to_numpy()
+
+
+def by_size(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows (text) of about ``limit`` bytes."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(), dtype=np.int64)
+        lo = 0
+        while lo < len(ends):
+            before = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
 def tail_of(word: bytes) -> int:
     return zlib.crc32(word[-TAIL_BYTES:]) % TAILS
 
 
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in by_size(batches, CUT):
+        counted = words_of(batch.column("text"))[0].value_counts()
+        for word, c in ((counted.field("values"), counted.field("counts")),
+                        (pa.array([END]), pa.array([len(batch)]))):
+            yield pa.RecordBatch.from_arrays([word, c], names=["word", "c"])
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (binary), c: over all rows of ``docs`` (text), the end marks included."""
-    each = docs.select(F.explode(words(F.col("text"))).alias("word"))
-    counted = each.groupBy(ascii_lower(F.col("word")).alias("word")).agg(F.count("*").alias("c"))
-    return written(counted.select(F.col("word").cast("binary").alias("word"), "c"), "lm-counts")
+    each = docs.select("text").mapInArrow(freeing(_counter), "word binary, c long")
+    return written(each.groupBy("word").agg(F.sum("c").alias("c")), "lm-counts")
 
 
 class Vocabulary:
@@ -69,7 +94,8 @@ class Vocabulary:
         total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
         self.tokens, self.types = total["n"] or 0, total["v"]
         held = counts.orderBy(F.desc("c"), "word").limit(HELD).toArrow()
-        names, c = held.column("word").to_pylist(), held.column("c").to_pylist()
+        self.names = held.column("word").combine_chunks()
+        names, c = self.names.to_pylist(), held.column("c").to_pylist()
         known = min(WORDS, len(names))
         # A tail class holds the words beyond the known ones by their last bytes.
         tail = F.crc32(F.substring("word", -TAIL_BYTES, TAIL_BYTES)) % TAILS
@@ -80,30 +106,26 @@ class Vocabulary:
         for word, n in zip(names[:known], c, strict=False):
             self.tail_tokens[tail_of(word)] -= n
             self.tail_types[tail_of(word)] -= 1
-        # Words by place, and by place their network id and log10 (count + 1).
-        self.place = {w: i for i, w in enumerate(names)}
+        # By place of a word its network id and log10 (count + 1).
         self.ids = np.array([*range(known), *(known + tail_of(w) for w in names[known:])], np.int32)
         self.logs = np.log10(np.asarray(c, float) + 1)
         self.known = known
         self.id_type = np.dtype("<u2" if known + TAILS <= 1 << 16 else "<u4")
         self.layout = gru.Layout(np.asarray(c[:known], float), TAILS, self.tail_tokens)
-        self.end = int(self.ids[self.place[END]]) if END in self.place else known + tail_of(END)
+        self.end = int(self.look_up(pa.array([END]))[1][0])
         self.base_log = math.log10(self.tokens + self.types + 1)
         # In a tail class all unseen words together count as one type, as they do in the base.
         self.tail_log = np.log10(self.tail_tokens + self.tail_types + 1)
 
-    def look_up(self, text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The words of a text and the end mark, their places (-1: not held) and network ids."""
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # only A to Z change
-        words.append(END)
-        get = self.place.get
-        places = np.array([get(w, -1) for w in words], np.int32)
-        if not len(self.ids):
-            return words, places, np.array([self.known + tail_of(w) for w in words], np.int32)
-        ids = self.ids[places]
-        for i in np.flatnonzero(places < 0):
-            ids[i] = self.known + tail_of(words[i])
-        return words, places, ids
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The places (-1: not held) and network ids of words."""
+        places = pc.index_in(words, value_set=self.names).fill_null(-1).to_numpy()
+        held, ids = places >= 0, np.empty(len(words), np.int32)
+        ids[held] = self.ids[places[held]]
+        endings = pc.binary_slice(words.filter(pa.array(~held)), -TAIL_BYTES).dictionary_encode()
+        tails = np.array([tail_of(w) for w in endings.dictionary.to_pylist()], np.int32)
+        ids[~held] = self.known + tails[endings.indices.to_numpy()]
+        return places, ids
 
 
 def _shared(df: DataFrame, *values):
@@ -111,41 +133,60 @@ def _shared(df: DataFrame, *values):
     return df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(values))
 
 
+def _encoded(texts: pa.Array, vocabulary: Vocabulary) -> dict[str, pa.Array]:
+    """What ``_ENCODED`` names from n_tokens on. All is looked up once per distinct word."""
+    n = len(texts)
+    words, owner = words_of(texts)
+    n_words = np.bincount(owner, minlength=n)
+    n_tokens, ends = n_words + 1, np.cumsum(n_words)
+    tokens = pa.concat_arrays([words, pa.array([END])]).dictionary_encode()
+    code = tokens.indices.to_numpy()
+    words, code = code[:-1], np.insert(code[:-1], ends, code[-1])  # an end mark after every text
+    places, ids = vocabulary.look_up(tokens.dictionary)
+    held, tail = places >= 0, ids >= vocabulary.known
+    logs, inside = np.zeros(len(ids)), np.zeros(len(ids))
+    logs[held] = vocabulary.logs[places[held]]
+    # Within a tail class the counts decide; those of rare words are added later.
+    inside[tail] = logs[tail] - vocabulary.tail_log[ids[tail] - vocabulary.known]
+
+    starts = np.cumsum(n_tokens) - n_tokens
+
+    def added(values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values[code], starts)
+
+    ids_of_words = ids.astype(vocabulary.id_type)[words]
+    offsets = np.concatenate([[0], ends]) * vocabulary.id_type.itemsize
+    rare = np.flatnonzero(~held[code])
+    owner = np.searchsorted(starts, rare, "right") - 1
+    pairs, m = np.unique(owner * len(ids) + code[rare], return_counts=True)
+    text, word = np.divmod(pairs, len(ids))
+    return {
+        "n_tokens": pa.array(n_tokens), "known": pa.array(added(held.astype(np.int64))),
+        "base": pa.array(added(logs) - n_tokens * vocabulary.base_log),
+        "inside": pa.array(added(inside)),
+        "ids": pa.Array.from_buffers(pa.binary(), n, [
+            None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids_of_words)]),
+        "rare": pa.ListArray.from_arrays(
+            pa.array(np.searchsorted(text, np.arange(n + 1)), pa.int32()), pa.StructArray.from_arrays(
+                [tokens.dictionary.take(pa.array(word)), pa.array(m, pa.int32())], ["word", "m"]))}
+
+
 def _encoder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, = pickle.loads(shared.value)
-        known, number = vocabulary.known, TaskContext.get().partitionId() << 36
-        rare_type = pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int32())]))
-        for batch in parts(batches):
-            columns = {name: [] for name in ("n", "known", "base", "inside", "ids", "rare")}
-            for text in batch.column("text").to_pylist():
-                words, places, ids = vocabulary.look_up(text)
-                held = places >= 0
-                base = vocabulary.logs[places[held]].sum()
-                # Within a tail class the counts decide; those of rare words are added later.
-                tails = ids[ids >= known] - known
-                inside = vocabulary.logs[places[held & (ids >= known)]].sum()
-                rare = Counter([words[i] for i in np.flatnonzero(~held)])
-                for name, value in zip(columns, (
-                        len(ids), int(held.sum()), base - len(ids) * vocabulary.base_log,
-                        inside - vocabulary.tail_log[tails].sum(),
-                        ids[:-1].astype(vocabulary.id_type).tobytes(),
-                        [{"word": w, "m": m} for w, m in rare.items()]), strict=True):
-                    columns[name].append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(number, number + len(batch))), batch.column("doc_id"),
-                 batch.column("held_out"), pa.array(columns["n"], pa.int64()),
-                 pa.array(columns["known"], pa.int64()), pa.array(columns["base"], pa.float64()),
-                 pa.array(columns["inside"], pa.float64()), pa.array(columns["ids"], pa.binary()),
-                 pa.array(columns["rare"], rare_type)],
-                names=["uid", "doc_id", "held_out", "n_tokens", "known", "base", "inside", "ids", "rare"])
+        number = TaskContext.get().partitionId() << 36
+        for batch in by_size(batches, CUT):
+            yield pa.RecordBatch.from_pydict({
+                "uid": pa.array(np.arange(number, number + len(batch))),
+                "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
+                **_encoded(batch.column("text"), vocabulary)})
             number += len(batch)
     return run
 
 
 def encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``rows`` (doc_id, text, held_out) as a table of network ids, with the logs that the counts give."""
-    return written(rows.mapInArrow(_encoder(_shared(rows, vocabulary)), _ENCODED), "lm-encoded")
+    return written(rows.mapInArrow(freeing(_encoder(_shared(rows, vocabulary))), _ENCODED), "lm-encoded")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +190,77 @@ def test_tail_classes_go_by_bytes_in_every_script(spark, monkeypatch):
         expected[lm.tail_of(w)] += counts[w]
     assert (vocabulary.tail_tokens == expected).all()
     assert all(math.isfinite(r.score) and r.score < 0 for r in lm.score(df, F.lit(False)).collect())
+
+
+ODD = [None, "", " \t\n", "a\x1cb \x85x\u00a0y  z", "\u00c9 \u00e9 \u0130 K AbC abc", "\x00 \x00q", "  lead", "trail\r\n",
+       "x\x0by\x0cz", "\u65e5 \u672c \u65e5", "\U0001f642 \U0001f642x", "w " * 3000, "a" * 5000]
+
+
+def test_words_of_many_texts_at_once_are_those_of_each():
+    words, owner = lm.words_of(pa.array(ODD))
+    found = [[w for w, o in zip(words.to_pylist(), owner, strict=True) if o == i] for i in range(len(ODD))]
+    assert found == [(t or "").encode().lower().split() for t in ODD]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(ODD)})
+    for limit in (1, 20, 5000, 1 << 20):
+        cut = list(lm.by_size([batch, batch], limit))
+        assert [t for b in cut for t in b.column("text").to_pylist()] == ODD * 2
+        assert all(b.num_rows == 1 or b.num_rows and sum(
+            len((t or "").encode()) for t in b.column("text").to_pylist()) <= limit for b in cut)
+
+
+def test_counting_hands_on_distinct_words_only(spark, monkeypatch, capsys):
+    training = spark.createDataFrame([("word " * 1000,)] * 20 + [("Word other",), (None,)], "text string")
+    monkeypatch.setattr(lm, "written", lambda df, purpose: df)
+    counts = lm.word_counts(training)
+    counts.explain()
+    assert "Generate" not in capsys.readouterr().out  # no row for every word
+    assert {r.word: r.c for r in counts.collect()} == {b"word": 20_001, b"other": 1, b"\n": 22}
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["word " * 1000] * 20)})
+    assert sum(len(b) for b in lm._counter([batch])) == 2
+
+
+@pytest.mark.parametrize("held", [lm.HELD, 4, 1])
+def test_distinct_words_are_looked_up_once_for_many_texts(spark, monkeypatch, held):
+    monkeypatch.setattr(lm, "HELD", held)
+    monkeypatch.setattr(lm, "WORDS", min(held, 3))
+    learned = ODD[:9] + ["w"]
+    counts = Counter(w for t in learned for w in [*(t or "").encode().lower().split(), lm.END])
+    vocabulary = lm.Vocabulary(lm.word_counts(spark.createDataFrame([(t,) for t in learned], "text string")))
+    looked_up, look_up = [], vocabulary.look_up
+    vocabulary.look_up = lambda words: looked_up.append(words.to_pylist()) or look_up(words)
+    found = lm._encoded(pa.array(ODD), vocabulary)
+    tokens = [[*(t or "").encode().lower().split(), lm.END] for t in ODD]
+    assert len(looked_up) == 1 and Counter(looked_up[0]) == Counter({w for t in tokens for w in t})
+
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    known, kept = ranked[:min(lm.WORDS, held)], ranked[:held]
+    in_tail = Counter()
+    for w in counts:
+        if w not in known:
+            in_tail[lm.tail_of(w)] += counts[w]
+            in_tail[-1 - lm.tail_of(w)] += 1
+    for i, words in enumerate(tokens):
+        ids = [known.index(w) if w in known else len(known) + lm.tail_of(w) for w in words]
+        assert np.frombuffer(found["ids"][i].as_py(), vocabulary.id_type).tolist() == ids[:-1]
+        assert found["n_tokens"][i].as_py() == len(words)
+        assert found["known"][i].as_py() == sum(w in kept for w in words)
+        assert {r["word"]: r["m"] for r in found["rare"][i].as_py()} == Counter(
+            w for w in words if w not in kept)
+        assert found["base"][i].as_py() == pytest.approx(sum(
+            (math.log10(counts[w] + 1) if w in kept else 0)
+            - math.log10(counts.total() + len(counts) + 1) for w in words), rel=1e-12)
+        assert found["inside"][i].as_py() == pytest.approx(sum(
+            (math.log10(counts[w] + 1) if w in kept else 0)
+            - math.log10(in_tail[lm.tail_of(w)] + in_tail[-1 - lm.tail_of(w)] + 1)
+            for w in words if w not in known), rel=1e-12, abs=1e-12)
+
+
+def test_scores_do_not_depend_on_how_many_texts_are_cut_at_once(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(ODD * 2)), "doc_id long, text string").coalesce(1)
+    every = []
+    for cut in (lm.CUT, 100, 1):
+        monkeypatch.setattr(lm, "CUT", cut)
+        every.append(sorted(lm.score(df, F.col("doc_id") % 3 == 0).collect()))
+    for rows in every[1:]:
+        for a, b in zip(every[0], rows, strict=True):
+            assert tuple(a) == pytest.approx(tuple(b), rel=1e-9)
