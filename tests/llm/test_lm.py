@@ -192,7 +192,8 @@ def test_tail_classes_go_by_bytes_in_every_script(spark, monkeypatch):
     assert all(math.isfinite(r.score) and r.score < 0 for r in lm.score(df, F.lit(False)).collect())
 
 
-ODD = [None, "", " \t\n", "a\x1cb \x85x\u00a0y  z", "\u00c9 \u00e9 \u0130 K AbC abc", "\x00 \x00q", "  lead", "trail\r\n",
+ODD = [None, "", " \t\n", "a\x1cb \x85x\u00a0y  z", "\u00c9 \u00e9 \u0130 K AbC abc",
+       "\x00 \x00q", "  lead", "trail\r\n",
        "x\x0by\x0cz", "\u65e5 \u672c \u65e5", "\U0001f642 \U0001f642x", "w " * 3000, "a" * 5000]
 
 
