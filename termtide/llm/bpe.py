@@ -10,20 +10,24 @@ from __future__ import annotations
 
 import base64
 import heapq
+import sys
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termtide.llm.common import freeing, parts
+from termtide.llm.common import by_size, freeing, parts
 
-# Distinct pre-tokens and words that a worker remembers, both together, before it starts anew; bounds
-# memory, not results.
-CACHE = 1_600_000
+# Bytes of words and pre-tokens that a worker remembers, both together: beyond that the oldest table of
+# words goes, and all pre-tokens beyond half of it. Bounds memory, not results.
+CACHE, TABLE = 48 << 20, 4 << 20
+# Bytes of text that a task cuts into words at once; a longer text is cut alone.
+CUT = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -115,7 +119,11 @@ class Encoder:
     """Encodes texts, remembering the ids of pre-tokens and of words, as 32-bit integers.
 
     A space between two characters that are not white space always begins a pre-token, so
-    what lies between such spaces is encoded on its own and remembered.
+    what lies between such spaces is encoded on its own and remembered. Texts are cut at spaces with
+    Arrow, many at a time, and only distinct words that are not remembered are encoded.
+
+    ``memory``: pre-tokens with their ids, and by number, oldest first, tables of words and ids in
+    Arrow's arrays, which take a quarter of what a dictionary does.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, memory: tuple[dict, dict]):
@@ -124,7 +132,12 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.ranks = ranks
         self.queue = RankQueue(max(ranks.values(), default=0))
-        self.pieces, self.words = memory
+        self.pieces, self.tables = memory
+        self.held = sum(map(_size, self.pieces.items()))
+
+    @property
+    def words(self) -> list[str]:
+        return [word for words, _ in self.tables.values() for word in words.to_pylist()]
 
     def merged(self, piece: str) -> bytes:
         data = piece.encode()
@@ -135,52 +148,134 @@ class Encoder:
     def piece(self, piece: str) -> bytes:
         known = self.pieces.get(piece)
         if known is None:
+            if self.held > CACHE // 2:
+                self.pieces.clear()
+                self.held = 0
             known = self.pieces[piece] = self.merged(piece)
-        return known
-
-    def letters(self, word: str) -> bytes:
-        """Ids of a space and letters, remembered as those of the word alone."""
-        known = self.words.get(word)
-        if known is None:
-            known = self.words[word] = self.merged(" " + word)
+            self.held += _size((piece, known))
         return known
 
     def by_pattern(self, text: str) -> bytes:
         return b"".join(map(self.piece, self.find(text)))
 
-    def word(self, word: str) -> bytes | None:
+    def word(self, word: str, letters: dict[str, bytes]) -> bytes | None:
         """Ids of a space and a word; None next to other white space, where the pattern needs
-        its surroundings. Letters alone are one pre-token, a comma or full stop after them another.
+        its surroundings. Letters alone are one pre-token, a comma or full stop after them another;
+        ``letters`` has the ids of those met.
         """
-        if word.isalpha():
-            return self.letters(word)
-        if word[-1:] in (",", ".") and word[:-1].isalpha():
-            return self.letters(word[:-1]) + self.piece(word[-1])
+        stem = _letters(word)
+        if stem:
+            known = letters.get(stem)
+            if known is None:
+                known = letters[stem] = self.merged(" " + stem)
+            return known if stem == word else known + self.piece(word[-1])
         if not word or word[0].isspace() or word[-1].isspace():
             return None
         return self.by_pattern(" " + word)
 
+    def remembered(self, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Ids of those of the distinct ``words`` that are remembered; and before, the place of every
+        word's among them, or -1."""
+        place, found, n = np.full(len(words), -1), [pa.array([], pa.large_binary())], 0
+        for names, ids in self.tables.values():
+            at = pc.index_in(names, value_set=words)
+            found.append(ids.filter(at.is_valid()))
+            place[at.drop_null().to_numpy()] = np.arange(n, n + len(found[-1]))
+            n += len(found[-1])
+        return place, pa.concat_arrays(found)
+
+    def remember(self, ids: dict[str, bytes | None]) -> None:
+        last = next(reversed(self.tables), 0)
+        table = pa.array(ids.keys(), pa.string()), pa.array(ids.values(), pa.large_binary())
+        if last and _bytes(self.tables[last]) + _bytes(table) <= TABLE:
+            table = tuple(map(pa.concat_arrays, zip(self.tables[last], table, strict=True)))
+        else:
+            last += 1
+        self.tables[last] = table
+
+    def ids_of(self, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Ids of the distinct ``words`` (null: see ``word``), each after a space; before, the place of
+        every word's among them."""
+        while self.tables and self.held + sum(map(_bytes, self.tables.values())) > CACHE:
+            del self.tables[next(iter(self.tables))]
+        place, ids = self.remembered(words)
+        fresh = words.filter(pa.array(place < 0)).to_pylist()
+        if fresh:
+            stems = list({stem for word in fresh if (stem := _letters(word)) and stem != word})
+            at, known = self.remembered(pa.array(stems, pa.string()))
+            known = known.to_pylist()
+            letters = {stem: known[i] for stem, i in zip(stems, at, strict=True) if i >= 0}
+            old = set(letters)
+            found = {word: self.word(word, letters) for word in fresh}
+            place[place < 0] = np.arange(len(ids), len(ids) + len(found))
+            ids = pa.concat_arrays([ids, pa.array(found.values(), pa.large_binary())])
+            self.remember(found | {stem: x for stem, x in letters.items() if stem not in old})
+        return place, ids
+
+    def lists(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of every text; none of a null one. What belongs to one text is held at once."""
+        texts = texts.cast(pa.string()).fill_null("")
+        cut = pc.split_pattern(texts, " ")
+        sizes = pc.list_value_length(cut).to_numpy()
+        starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        words = cut.flatten()
+        first = np.zeros(len(words), bool)
+        first[starts[:-1]] = True
+        firsts = words.filter(pa.array(first)).to_pylist()
+        rest = words.filter(pa.array(~first)).dictionary_encode()
+        place, ids = self.ids_of(rest.dictionary)
+        rest = place[rest.indices.to_numpy()]
+        # Texts with a space beside other white space are encoded whole, in the place of their first word.
+        whole = np.array([n > 1 and (not x or x[-1].isspace())
+                          for x, n in zip(firsts, sizes.tolist(), strict=True)], bool)
+        owner = np.repeat(np.arange(len(texts)), sizes - 1)
+        whole[owner[ids.is_null().to_numpy(zero_copy_only=False)[rest]]] = True
+        rest[whole[owner]] = len(ids) + len(texts)  # nothing
+        entire = iter(texts.filter(pa.array(whole)).to_pylist())
+        heads = [self.by_pattern(next(entire) if w else x)
+                 for x, w in zip(firsts, whole.tolist(), strict=True)]
+        rows = np.empty(len(words), np.int64)
+        rows[first] = np.arange(len(ids), len(ids) + len(texts))
+        rows[~first] = rest
+        found = pa.concat_arrays([ids, pa.array([*heads, b""], pa.large_binary())]).take(pa.array(rows))
+        _, ends, data = found.buffers()
+        ends = np.frombuffer(ends, np.int64)[:len(found) + 1]
+        return pa.ListArray.from_arrays(
+            pa.array((ends[starts] // 4).astype(np.int32)),
+            pa.array(np.frombuffer(data, np.int32, ends[-1] // 4) if len(data) else np.empty(0, np.int32)))
+
     def __call__(self, text: str) -> bytes:
-        if len(self.words) + len(self.pieces) > CACHE:
-            self.words.clear()
-            self.pieces.clear()
-        first, *rest = text.split(" ")
-        if rest and (not first or first[-1].isspace()):
-            return self.by_pattern(text)
-        words = self.words
-        for word in set(rest).difference(words):
-            words[word] = self.word(word)
-        try:
-            return self.by_pattern(first) + b"".join(map(words.__getitem__, rest))
-        except TypeError:  # a None among them
-            return self.by_pattern(text)
-
-
-def _lists(ids: list[bytes]) -> pa.ListArray:
-    offsets = np.zeros(len(ids) + 1, np.int32)
-    np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
-    return pa.ListArray.from_arrays(
-        pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+        return self.lists(pa.array([text], pa.string())).flatten().to_numpy().tobytes()
+
+
+def _size(entry: tuple[str, bytes]) -> int:
+    """Bytes that a dictionary needs for an entry, about."""
+    return sum(map(sys.getsizeof, entry)) + 48
+
+
+def _bytes(table: tuple[pa.Array, pa.Array]) -> int:
+    return sum(column.nbytes for column in table)
+
+
+def _letters(word: str) -> str:
+    """``word`` without a comma or full stop at its end, if only letters are left; else empty."""
+    stem = word[:-1] if word[-1:] in (",", ".") else word
+    return stem if stem.isalpha() else ""
+
+
+def _by_id(ranks: dict[bytes, int]) -> pa.Array:
+    tokens = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return pa.array(tokens, pa.large_binary())
+
+
+def _decoded(ids: pa.ListArray, tokens: pa.Array) -> pa.Array:
+    """The tokens of every list joined, as binary; ``tokens`` by their id."""
+    joined = tokens.take(ids.values)
+    _, ends, data = joined.buffers()
+    ends = np.frombuffer(ends, np.int64)[ids.offsets.to_numpy()]
+    return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends), data]).cast(pa.binary())
 
 
 def _with_columns(df: DataFrame, columns: dict[str, T.DataType]) -> T.StructType:
@@ -211,10 +306,10 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make()
-        for batch in parts(batches):
-            ids = [encoder(t) if t else b"" for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids)],
+        for batch in by_size(batches, CUT, text):
+            yield pa.RecordBatch.from_arrays([*batch.columns, encoder.lists(batch.column(text))],
                                              names=[*batch.schema.names, output])
+            pa.default_memory_pool().release_unused()  # what a slice needed, else kept beside the next
 
     return df.mapInArrow(freeing(run), _with_columns(df, {output: _IDS}))
 
@@ -246,16 +341,16 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids",
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
                output: str = "token_ids", decoded: str = "decoded") -> DataFrame:
     """``decode(encode(df))`` in one pass: both columns, without the ids' way out and back."""
-    make, tokens = _encoder(df, ranks_path, pattern), _tokens(df, ranks_path)
+    make = _encoder(df, ranks_path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, token = make(), tokens.value.__getitem__
-        for batch in parts(batches):
-            ids = [encoder(t) if t else b"" for t in batch.column(text).to_pylist()]
-            texts = [b"".join(map(token, memoryview(x).cast("i"))) for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, _lists(ids), pa.array(texts, pa.binary())],
-                names=[*batch.schema.names, output, decoded])
+        encoder = make()
+        by_id = _by_id(encoder.ranks)
+        for batch in by_size(batches, CUT, text):
+            ids = encoder.lists(batch.column(text))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, _decoded(ids, by_id)],
+                                             names=[*batch.schema.names, output, decoded])
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(freeing(run), _with_columns(df, {output: _IDS, decoded: T.BinaryType()}))
 

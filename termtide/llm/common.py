@@ -6,7 +6,9 @@ import ctypes
 import functools
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,19 @@ def parts(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
             yield batch.slice(lo, rows)
 
 
+def by_size(batches: Iterator[pa.RecordBatch], limit: int, column: str = "text"
+            ) -> Iterator[pa.RecordBatch]:
+    """Rows with texts of about ``limit`` bytes."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(), dtype=np.int64)
+        lo = 0
+        while lo < len(ends):
+            before = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def give_back() -> None:
     """Return the memory that this process has freed to the system. Arrow and the C library keep it
     otherwise, and an idle worker counts beside the heap of its executor."""

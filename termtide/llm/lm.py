@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termtide.llm import gru
-from termtide.llm.common import freeing, parts, written
+from termtide.llm.common import by_size, freeing, parts, written
 
 # Words that the network knows, and tail classes for the rest.
 WORDS, TAILS = 1024, 32
@@ -57,18 +57,6 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(real), pc.list_parent_indices(cut).filter(real).to_numpy()
 
 
-def by_size(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows (text) of about ``limit`` bytes."""
-    for batch in batches:
-        ends = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(), dtype=np.int64)
-        lo = 0
-        while lo < len(ends):
-            before = ends[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(ends, before + limit, "right")))
-            yield batch.slice(lo, hi - lo)
-            lo = hi
-
-
 def tail_of(word: bytes) -> int:
     return zlib.crc32(word[-TAIL_BYTES:]) % TAILS
 

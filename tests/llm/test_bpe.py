@@ -1,6 +1,10 @@
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -83,3 +87,46 @@ def test_a_word_is_remembered_once(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 3)  # of both together
     assert encoder("x " + text) and len(encoder.words) + len(encoder.pieces) <= 6
     assert encoder(text) == ids
+
+
+def test_many_texts_at_once_with_words_forgotten_between(monkeypatch):
+    random.seed(9)
+    words = [*"aé文😀1", "", "\n", "hello", "hello,", "naïve.", "x-y", "(and", "don't", "12345", "\xa0z"]
+    texts = [" ".join(random.choices(words, k=random.randint(0, 9))) for _ in range(2000)] + [None, "a" * 999]
+    expected = [REFERENCE.encode_ordinary(t or "") for t in texts]
+    for cache, table in ((1, 1), (300, 40), (bpe.CACHE, bpe.TABLE)):
+        monkeypatch.setattr(bpe, "CACHE", cache)
+        monkeypatch.setattr(bpe, "TABLE", table)
+        encoder = bpe.Encoder(RANKS, PATTERN, ({}, {}))
+        found = [x for lo in range(0, len(texts), 7)
+                 for x in encoder.lists(pa.array(texts).slice(lo, 7)).to_pylist()]
+        assert found == expected
+        assert len(encoder.words) == len(set(encoder.words))
+
+
+HELD = """
+import re
+from pathlib import Path
+import pyarrow as pa
+from termtide.llm import bpe
+from termtide.llm.queries import vocabulary
+
+def held():  # MB
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+encoder = bpe.Encoder(bpe.read_ranks(vocabulary()[0]), vocabulary()[1], ({}, {}))
+letters = "bcdfghjklm"
+encoder("some words, to begin with")
+before = held()
+for k in range(300):
+    encoder(" ".join("".join(letters[int(d)] for d in str(i)) for i in range(100_000 + k * 1000, 101_000 + k * 1000)))
+pa.default_memory_pool().release_unused()
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+def test_remembered_words_take_little_memory():
+    done = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, check=True,
+                          cwd=Path(__file__).parents[2], timeout=300)
+    assert float(done.stdout.split()[-1]) < 30
